@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from tarnmark.llm import packing, tokens
+from tarnmark.llm import decontaminate, language, license_scan, near_dup, packing, quality, tokens
 
 QUERIES = {
     "op2_token_files": tokens.token_ids,
+    "op5_near_duplicates": near_dup.near_duplicate_documents,
+    "op6_decontaminate": decontaminate.contaminated_documents,
+    "op7_language": language.language_documents,
+    "op8_licenses": license_scan.scan_documents,
+    "op9_quality": quality.quality_documents,
     "op10_pack": packing.pack_documents,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": near_dup.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op8_licenses": license_scan.ORACLE,
+}

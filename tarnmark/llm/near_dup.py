@@ -17,7 +17,7 @@ comparison for each member, and no link between different components is lost.
 Comparisons go to the pivot's partition, salted by members, with the texts.
 
 Defined results: null, empty and blank texts have an empty set and link with
-nothing; repeated rows are copies; an empty table gives no row; other columns
+nothing; so do rows without an id, which are kept; repeated rows are copies; an empty table gives no row; other columns
 are ignored.
 """
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, kee
         "doc_id",
         "n_shingles",
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        (F.coalesce("component", "rep", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce(F.coalesce("component", "rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 

@@ -138,12 +138,16 @@ class QuadraticDiscriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
+def fit(x: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
+    """Learn from features (doc_id, x) and labels (doc_id, quality) of rows that are not held out."""
+    train = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    return QuadraticDiscriminant(moments(train.where(~is_held_out()).join(x, "doc_id").select("label", "x")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs; learns from rows not held out."""
     x = materialize(features(docs), "features")
-    train = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    train = train.where(~is_held_out())
-    model = QuadraticDiscriminant(moments(train.join(x, "doc_id").select("label", "x")))
+    model = fit(x, labels)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,6 +160,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows scored below the threshold; scored where they lie, so no text is shuffled."""
+    model, at = fit(features(docs), labels), docs.columns.index("text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            s = model.score(np.array([statistics(t) for t in utf8(batch.column(at))]))
+            return batch.filter(pa.array(s >= threshold))
+
+        return step
+
+    return docs.mapInArrow(per_batch(make), docs.schema)
+
+
 def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op9: all documents, labels of rows that are not held out."""
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnmark.llm import decontaminate, html_text, language, license_scan, near_dup, packing, pii, quality, tokens
+from tarnmark.llm import decontaminate, html_text, language, license_scan, media, near_dup, packing, pii, quality, tokens
 
 QUERIES = {
     "op1_html_text": html_text.page_texts,
     "op2_token_files": tokens.token_ids,
+    "op3_media": media.media_documents,
     "op4_personal_data": pii.personal_data_documents,
     "op5_near_duplicates": near_dup.near_duplicate_documents,
     "op6_decontaminate": decontaminate.contaminated_documents,

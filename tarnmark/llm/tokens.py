@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,20 @@ from pyspark.sql import functions as F
 from tarnmark.llm.common import fresh_path, materialize, text_or_empty, utf8
 
 #: Words kept by one worker; beyond it the memo starts anew (about 200 bytes each).
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_000_000
 
-_ODD_SPACE = re.compile(
-    rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
-)
+#: White space that is not ASCII, and ASCII separators that only some libraries count as such.
+_ODD_SPACES = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u205f", "\u3000"]
+_ODD_SPACES = [x.encode() for x in _ODD_SPACES]
+_QUAD_TO_HAIR_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 _SPACED_WORD = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
 
+
+
+def has_odd_space(text: bytes) -> bool:
+    return any(x in text for x in _ODD_SPACES) or (b"\xe2\x80" in text and bool(_QUAD_TO_HAIR_SPACE.search(text)))
+
+
 _ENCODERS: dict[tuple, "WordEncoder"] = {}
 
 
@@ -70,7 +78,7 @@ class WordEncoder:
 
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -79,16 +87,41 @@ class WordEncoder:
             out += self._encode_some(texts[at : at + 256])
         return out
 
+    def _cut(self, text: bytes) -> list[bytes]:
+        return _SPACED_WORD.findall(text) if self.keeps_space else text.lower().split()  # its tokens have no capitals
+
+    def _learn(self, words: set[bytes]) -> None:
+        """A full stop or comma after an ASCII letter or digit is a token of its own, so the memo shares the stem."""
+        memo, stems = self.memo, {}
+        for w in words:
+            stems[w] = w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w
+        new = [s for s in set(stems.values()) | {b".", b","} if s not in memo]
+        for at in range(0, len(new), 20_000):
+            memo.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
+        for w, s in stems.items():
+            if s is not w:
+                memo[w] = memo[s] + memo[w[-1:]]
+
     def _encode_some(self, texts: list[bytes]) -> list[bytes]:
-        words = [None if _ODD_SPACE.search(t) else _SPACED_WORD.findall(t) if self.keeps_space else t.split() for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*(w for w in words if w)) - memo.keys())
-        for at in range(0, len(new), 20_000):
-            memo.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
-        found = memo.__getitem__
-        return [self._library([t])[0] if w is None else b"".join(map(found, w)) for t, w in zip(texts, words)]
+        known, new = self.memo.get, set()
+        words = [None if has_odd_space(t) else self._cut(t) for t in texts]
+        ids = [w and list(map(known, w)) for w in words]
+        for w, found in zip(words, ids):
+            if w and None in found:
+                new.update(x for x, y in zip(w, found) if y is None)
+        if new:
+            self._learn(new)
+        out = []
+        for text, w, found in zip(texts, words, ids):
+            if w is None:
+                out.append(self._library([text])[0])
+            elif new and None in found:
+                out.append(b"".join([known(x) if y is None else y for x, y in zip(w, found)]))
+            else:
+                out.append(b"".join(found))
+        return out
 
 
 def _filesystem(path: str):

@@ -15,6 +15,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from tarnmark.functions.payload import read_answer, read_decision, read_plan, response_text
 from tarnmark.functions.text import strip, token_estimate
@@ -128,9 +129,14 @@ def generate_messages(question: str, context, visited) -> list[tuple[str, str]]:
     ]
 
 
-_IDS = F.udf(lambda t: read_plan(t), "array<string>")
-_DECISION = F.udf(lambda t: read_decision(t), "struct<enough:boolean,ids:array<string>>")
-_ANSWER = F.udf(lambda t: read_answer(t), "struct<answer:string,citations:array<string>>")
+_NAMES = ArrayType(StringType())
+_DECIDED = StructType([StructField("enough", BooleanType()), StructField("ids", _NAMES)])
+_ANSWERED = StructType([StructField("answer", StringType()), StructField("citations", _NAMES)])
+
+
+def _read(reader: Callable, kind):
+    """A model's replies, a batch at a time, as columns of a type."""
+    return F.udf(reader, kind, useArrow=True)
 
 
 def _known(ids, known: DataFrame, rows: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def navigate(
     state = materialize(start(questions, index_body, index_tokens, can_read), "state")
     done = state.where("step = 'generate'")
     if can_read:
-        replies = _ask(state, model, plan_messages, ["question", "context"]).withColumn("ids", _IDS("reply"))
+        replies = _ask(state, model, plan_messages, ["question", "context"]).withColumn("ids", _read(read_plan, _NAMES)("reply"))
         chosen = _known(F.col("ids"), concepts, replies.where("ids is not null"))
         state = _degrade(state.join(replies.select("question_id", F.col("ids").isNull().alias("bad")), "question_id"), "plan")
         state = materialize(_next(read_round(state, chosen, concepts, **limits), edges, **bounds), "state")
@@ -211,7 +217,7 @@ def navigate(
             if strategy == "exhaustive":
                 chosen, going = active.select("question_id", F.col("candidates").alias("chosen")), active.drop("candidates")
             else:
-                replies = _ask(active, model, decide_messages, ["question", "context", "candidates"]).withColumn("d", _DECISION("reply"))
+                replies = _ask(active, model, decide_messages, ["question", "context", "candidates"]).withColumn("d", _read(read_decision, _DECIDED)("reply"))
                 decided = materialize(active.join(replies, "question_id"), "decided")
                 bad = _degrade(decided.withColumn("bad", F.col("d").isNull()).drop("d", "reply", "candidates"), "decide")
                 over = decided.select("question_id", (F.col("d").isNull() | F.col("d.enough")).alias("over"))
@@ -224,7 +230,7 @@ def navigate(
             state = materialize(_next(read_round(going, chosen, concepts, **limits), edges, **bounds), "state")
         done = done.unionByName(state)
     done = materialize(done, "read")
-    replies = _ask(done, model, generate_messages, ["question", "context", "visited"]).withColumn("a", _ANSWER("reply"))
+    replies = _ask(done, model, generate_messages, ["question", "context", "visited"]).withColumn("a", _read(read_answer, _ANSWERED)("reply"))
     final = _degrade(done.join(replies, "question_id").withColumn("bad", F.col("a").isNull()), "generate")
     cited = F.filter(F.array_distinct("a.citations"), lambda c: F.array_contains("visited", c))
     return final.select(

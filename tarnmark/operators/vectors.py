@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnmark.operators.graph import expand
 from tarnmark.operators.search import documents_of
@@ -31,6 +32,7 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     spark = store.sparkSession
+    asked_type = to_arrow_type(queries.schema["query_id"].dataType)
     asked = queries.select("query_id", F.col("embedding").cast("array<double>")).where("embedding is not null").orderBy("query_id").collect()
     found, kind, key = [], queries.schema["query_id"].dataType.simpleString(), store.schema["doc_id"].dataType.simpleString()
     for at in range(0, len(asked), BLOCK):
@@ -48,9 +50,9 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 n = min(k, len(ids))
                 edge = np.partition(sim, len(ids) - n, axis=0)[len(ids) - n]
                 rows, cols = np.nonzero(sim >= edge[None, :])
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": [names[c] for c in cols], "doc_id": ids[rows].tolist(), "similarity": sim[rows, cols]},
-                )
+                if len(rows):
+                    columns = [pa.array([names[c] for c in cols], asked_type), pa.array(ids[rows].tolist(), batch.column(0).type), pa.array(sim[rows, cols])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "similarity"])
 
         rows = store.select("doc_id", F.col("embedding").cast("array<double>")).where("embedding is not null")
         found.append(rows.mapInArrow(run, f"query_id {kind}, doc_id {key}, similarity double"))

@@ -197,12 +197,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, kee
     named = signed.join(classes.select("set_hash", "rep"), "set_hash", "left").join(
         component.select(F.col("node").alias("rep"), "component"), "rep", "left"
     )
-    return named.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

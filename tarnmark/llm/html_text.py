@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -64,13 +65,19 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.cut, self.items = ["html"], [-1], [False], []
-        self.open = [0]
+        self.open, self.depth = [0], Counter()  # open nodes, and how many of them have a name
+
+    def _close(self, depth: int) -> None:
+        self.depth.subtract(self.tags[n] for n in self.open[depth:])
+        del self.open[depth:]
 
     def _pop_to(self, names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(self.depth[n] for n in names):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.tags[self.open[depth]]
             if tag in names:
-                del self.open[depth:]
+                self._close(depth)
                 return
             if tag in stop:
                 return
@@ -87,15 +94,18 @@ class _Tree(HTMLParser):
         self.items.append((node, None))
         if tag not in VOID:
             self.open.append(node)
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.depth[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[depth]] == tag:
                 self.items.append((self.open[depth], None))
-                del self.open[depth:]
+                self._close(depth)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -104,7 +114,7 @@ class _Tree(HTMLParser):
     def _is_cut(self, tag: str, attrs: list) -> bool:
         if tag in NEVER_TEXT:
             return True
-        in_article = any(self.tags[n] in ("article", "main") for n in self.open)
+        in_article = self.depth["article"] + self.depth["main"] > 0
         if tag == "header" and not in_article:
             return True
         for name, value in attrs:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tarnmark.functions.text import tokens
 from tarnmark.operators.graph import expand
 from tarnmark.operators.search import documents_of
 
@@ -17,6 +18,17 @@ from tarnmark.operators.search import documents_of
 BLOCK = 2048
 
 
+def hashed_embedding(column: Column, dims: int = 64) -> Column:
+    """A deterministic embedding without a model: tokens hashed into buckets, counts scaled to length one (zero without tokens)."""
+    if dims & (dims - 1) or not 0 < dims <= 65536:
+        raise ValueError(f"dims must be a power of two up to 65536, got {dims}")
+    buckets = F.transform(tokens(column), lambda t: F.conv(F.right(F.sha2(t, 256), F.lit(4)), 16, 10).cast("int") % dims)
+    counts = F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = F.transform(counts, lambda c: F.transform(F.array(norm(c)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    return F.get(F.flatten(scaled), F.lit(0))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
 

@@ -262,6 +262,17 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+_HEX = "(strpos('0123456789abcdef', {h}[{k}]) - 1)"
+
+
+@query("hashed_embedding", f"""WITH k AS (SELECT item_id, sha256(unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM benchmark),
+  b AS (SELECT item_id, ({_HEX.format(h='h', k='63')} * 16 + {_HEX.format(h='h', k='64')}) % 64 AS bucket, count(*) AS n FROM k GROUP BY ALL)
+  SELECT item_id, bucket::INT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM b""")
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(vectors.hashed_embedding(F.col("text"))).alias("bucket", "w"))
+    return e.where("w > 0").select("item_id", "bucket", F.round("w", 6).alias("weight"))
+
+
 @query("graph_retrieve", f"""WITH RECURSIVE {_NOTES}, {_OUT}, {_KNN},
 g AS (SELECT query_id, 'notes/doc' || (doc_id % n) AS id, min(hit_rank) AS hit_rank FROM h, n WHERE hit_rank <= 3 AND (doc_id % n) % 50 NOT IN (7, 23, 41) GROUP BY ALL), {_reach('SELECT query_id, id FROM g', 2)},
 u AS (SELECT query_id, id, 0 AS distance, hit_rank FROM g UNION ALL SELECT query_id, id, distance, NULL FROM v)

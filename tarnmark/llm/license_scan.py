@@ -5,7 +5,9 @@ words (ASCII case folded, punctuation gone); its distinct word bigrams are
 compared with those of licence templates. With n and m bigrams the coefficient
 is at most 2 min(n, m) / (n + m), so a template is a candidate only while n lies
 between m * t / (2 - t) and m * (2 - t) / t for the threshold t; that bound is
-part of the join on bigrams, before anything is counted.
+part of the join on bigrams, before anything is counted. The threshold also
+tells how many of a template's bigrams a unit must share; texts and lines
+without any of the words that this makes necessary are not cut into bigrams.
 
 Templates are a small table given as a parameter; its size is checked before it
 is broadcast, and a larger one is joined by shuffle.
@@ -18,15 +20,19 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnmark.llm.common import materialize, text_or_empty
-from tarnmark.llm.decontaminate import words_of
+from tarnmark.llm.decontaminate import LOWER, UPPER, words_of
 
 THRESHOLD = 0.8
 #: Template bigrams up to which they are broadcast (about 60 bytes each).
 BROADCAST_BIGRAMS = 500_000
+#: Words up to which texts are searched for them first.
+MOST_MARKS = 96
 
 #: Licence notices and texts as their authors word them.
 TEMPLATES = {
@@ -83,6 +89,21 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
 
 
+def necessary_words(bigrams: set[str], threshold: float) -> set[str]:
+    """Words of which a unit must contain one to reach the threshold with a template of these bigrams.
+
+    Such a unit shares threshold * m / (2 - threshold) of the m bigrams or more.
+    Words are taken, the longest first, until fewer bigrams are left without one.
+    """
+    left, words = set(bigrams), set()
+    for word in sorted({w for b in bigrams for w in b.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(left) < threshold * len(bigrams) / (2 - threshold):
+            break
+        words.add(word)
+        left = {b for b in left if word not in b.split(" ")}
+    return words
+
+
 def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, license_id, dice) of every unit and template at the threshold or above; unit -1 is the whole text."""
     t = templates.select("license_id", bigrams_of(words_of(text_or_empty())).alias("b")).where("size(b) > 0")
@@ -92,9 +113,18 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float =
     hint = F.broadcast if limits[2] <= BROADCAST_BIGRAMS else (lambda df: df)
 
     text = text_or_empty()
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("unit", "line"))
-    # a text of one line is that line; a longer one is a unit of its own while it is short enough to be a licence
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(-1).alias("unit"), text.alias("line")).where(F.instr("line", "\n") > 0)
+    may = F.lit(True)
+    if limits[2] <= BROADCAST_BIGRAMS:  # templates small enough for the driver
+        marks: set[str] = set()
+        for row in t.groupBy("license_id").agg(F.collect_set("pair").alias("b")).collect():
+            marks |= necessary_words(set(row.b), threshold)
+        if 0 < len(marks) <= MOST_MARKS:
+            folded = F.translate(F.col("line"), UPPER, LOWER)
+            # bound to a lambda, the folded text is made once and not for each word
+            may = F.exists(F.array(folded), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in sorted(marks)]))
+    whole_may = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("line")).where(may)
+    lines = whole_may.select("doc_id", F.posexplode(F.split("line", "\n")).alias("unit", "line")).where(may)
+    whole = whole_may.select("doc_id", F.lit(-1).alias("unit"), "line").where(F.instr("line", "\n") > 0)
     fits = F.size("words") - 1 >= F.lit((limits[0] or 0) * least)
     units = lines.unionByName(whole).select("doc_id", "unit", words_of(F.col("line")).alias("words")).where(fits)
     units = units.select("doc_id", "unit", bigrams_of(F.col("words")).alias("b"))

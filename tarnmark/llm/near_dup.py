@@ -6,7 +6,7 @@ that differ in at most 23 slots have, by pigeonhole, a chunk with at most one
 differing slot; each chunk therefore enumerates its allowed errors: one index
 key for each slot left out. Pairs under that distance always share a key. (At
 similarity 0.8 a slot differs with chance 0.2; a pair shares no key with chance
-1e-7.) Pairs that share a key must also be close in a sketch of 384 one-bit
+1e-7.) Pairs that share a key must also be close in a sketch of 1024 one-bit
 MinHash values, within five standard deviations of what similarity 0.8 gives;
 that test is part of the joins. Links are confirmed on the full sets.
 
@@ -39,14 +39,15 @@ SLOTS, CHUNK = 60, 5
 #: Differing slots up to which a pair is always found: each of the 12 chunks has 2 at least beyond it.
 FOUND_DISTANCE = 2 * (SLOTS // CHUNK) - 1
 #: One-bit values of the sketch, in words of 64.
-SKETCH_WORDS = 6
-#: Differing bits up to which a pair goes on: mean 38.4 and deviation 5.9 at similarity 0.8.
-SKETCH_DISTANCE = 68
+SKETCH_WORDS = 16
+#: Differing bits up to which a pair goes on: mean 102.4 and deviation 9.6 at similarity 0.8.
+SKETCH_DISTANCE = 152
 #: Members of one pivot that one salt takes.
 SALT_MEMBERS = 256
 
 _RNG = np.random.default_rng(20240229)
-_MULTIPLIERS = (_RNG.integers(0, 2**63, SLOTS + 64 * SKETCH_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_MULTIPLIERS = (_RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_SKETCHERS = (_RNG.integers(0, 2**63, 64 * SKETCH_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,44 +72,57 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """60 slots of 16 bits, and the words of the sketch: low bits of the least hash of each function."""
-    least = np.full((len(_MULTIPLIERS), 1), np.uint64(2**64 - 1))
+def least_hashes(shingles: np.ndarray, functions: np.ndarray) -> np.ndarray:
+    """For each hash function the mixed least value over the set."""
+    least = np.full((len(functions), 1), np.uint64(2**64 - 1))
     for at in range(0, len(shingles), 512):
-        part = _MULTIPLIERS * shingles[None, at : at + 512]
-        least = np.minimum(least, part.min(axis=1, keepdims=True))
-    least = _mix(least[:, 0])
-    bits = (least[SLOTS:] & np.uint64(1)).astype(np.uint8)
-    return (least[:SLOTS] & np.uint64(0xFFFF)).astype("<u2").tobytes(), np.packbits(bits).view("<i8")
+        least = np.minimum(least, (functions * shingles[None, at : at + 512]).min(axis=1, keepdims=True))
+    return _mix(least[:, 0])
 
 
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), signature, s0 to s5 (the sketch)."""
+    """doc_id, n_shingles, set_hash (null for an empty set), signature (60 slots of 16 bits)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, hashes, sigs, sketch = [], [], [], []
+            n, hashes, sigs = [], [], []
             for text in utf8(batch.column(1)):
                 s = shingle_set(text, width)
-                sig, words = signature(s)
                 n.append(len(s))
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(sig)
-                sketch.append(words)
-            words = np.array(sketch).reshape(-1, SKETCH_WORDS)
+                sigs.append((least_hashes(s, _MULTIPLIERS) & np.uint64(0xFFFF)).astype("<u2").tobytes())
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), *(pa.array(words[:, k], pa.int64()) for k in range(SKETCH_WORDS))],
-                names=["doc_id", "n_shingles", "set_hash", "signature", *_SKETCH],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "set_hash", "signature"],
             )
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sketch = ", ".join(f"{s} long" for s in _SKETCH)
-    return rows.mapInArrow(per_batch(make), f"doc_id long, n_shingles long, set_hash binary, signature binary, {sketch}")
+    return rows.mapInArrow(per_batch(make), "doc_id long, n_shingles long, set_hash binary, signature binary")
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """rep, n (shingles) and s0 to s15 (1024 one-bit values) of the texts that share a key with another."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, words = [], []
+            for text in utf8(batch.column(1)):
+                s = shingle_set(text, width)
+                n.append(len(s))
+                words.append(np.packbits((least_hashes(s, _SKETCHERS) & np.uint64(1)).astype(np.uint8)).view("<i8"))
+            columns = np.array(words).reshape(-1, SKETCH_WORDS)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(columns[:, k], pa.int64()) for k in range(SKETCH_WORDS))], names=["rep", "n", *_SKETCH]
+            )
+
+        return step
+
+    return texts.select("rep", "text").mapInArrow(per_batch(make), "rep long, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -176,20 +190,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) ->
     classes = materialize(
         signed.where("set_hash is not null and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), *[F.first(s).alias(s) for s in _SKETCH]),
+        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
         "classes",
     )
     keys = index_keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = materialize(keys.join(shared, "key").select("key", "rep", "pivot"), "buckets")
 
-    sizes = classes.select("rep", "n", *_SKETCH)
-    met = materialize(buckets.where("rep <> pivot").select("pivot", "rep").distinct(), "met")
-    stars = met.join(_as(sizes, "b_", "rep"), "rep").join(_as(sizes, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
-    stars = materialize(stars.select("pivot", F.col("rep").alias("member")), "stars")
     wanted = buckets.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(wanted, "rep", "left_semi")
     texts = materialize(texts.groupBy("rep").agg(F.max("text").alias("text")), "texts")  # an id may repeat
+    sizes = materialize(sketches(texts, width), "sketches")
+
+    met = materialize(buckets.where("rep <> pivot").select("pivot", "rep").distinct(), "met")
+    stars = met.join(_as(sizes, "b_", "rep"), "rep").join(_as(sizes, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
+    stars = materialize(stars.select("pivot", F.col("rep").alias("member")), "stars")
     first = materialize(_confirmed(stars, texts, width, threshold), "links")
     component = materialize(connected_components(first, "pivot", "member"), "components")
 

@@ -9,7 +9,8 @@ characters and link tags below it:
 denominator counts as one). A node's density sum is the sum of its children's
 densities. The subtree with the largest sum is the text; the least density on
 its path to the body is a threshold, and it takes in its neighbours along that
-path that reach it, up to the enclosing article. What is never part of an
+path that reach it, and all of the nearest article or main element around it;
+an article inside it never stands for the whole. What is never part of an
 article (menus, forms, scripts, adverts and so on, by element, role or class)
 is cut before densities are computed, unless it encloses an article.
 
@@ -196,14 +197,11 @@ def main_text(html: str | None) -> str:
     below = [False] * n
     for i in range(best, n):
         below[i] = i == best or below[parents[i]]
-    articles = [i for i in path if tags[i] in ("article", "main")] or [i for i in range(n) if below[i] and not cut[i] and tags[i] == "article"]
-    if articles and (articles[0] in path or len(articles) == 1):
-        roots = {articles[0]}
-    else:
-        on_path = set(path)
-        roots = {best} | {
-            i for i in range(1, n) if parents[i] in on_path and i not in on_path and tags[i] in BLOCKS and density[i] >= threshold > 0 and not below[i]
-        }
+    on_path = set(path)
+    roots = {best} | {
+        i for i in range(1, n) if parents[i] in on_path and i not in on_path and tags[i] in BLOCKS and density[i] >= threshold > 0 and not below[i]
+    }
+    roots.update([i for i in path if tags[i] in ("article", "main")][:1])  # only adds text
     kept = [False] * n
     for i in range(n):
         kept[i] = not cut[i] and (i in roots or (i > 0 and kept[parents[i]]))

@@ -270,3 +270,14 @@ def test_html_of_the_table(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", article)]
         assert html_text.main_text(r.html) == "\n".join(x for x in blocks if x)
+
+
+def test_an_article_inside_the_text_does_not_replace_it():
+    paragraphs = [f"Paragraph {i} of the main text, long enough to weigh more than any card beside it." for i in range(4)]
+    card = "<article><h2>Card</h2><p>A short teaser of another page.</p></article>"
+    page = "<body><div>" + "".join(f"<p>{p}</p>" for p in paragraphs[:2]) + card + "".join(f"<p>{p}</p>" for p in paragraphs[2:]) + "</div></body>"
+    assert html_text.main_text(page).split("\n") == [*paragraphs[:2], "Card", "A short teaser of another page.", *paragraphs[2:]]
+    inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+    beside = "A paragraph beside the article that is as dense as those within, so that the threshold takes it in too."
+    got = html_text.main_text(f"<body><div><article>{inner}</article><p>{beside}</p></div></body>")
+    assert got.split("\n") == [*paragraphs, beside]

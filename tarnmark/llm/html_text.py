@@ -15,8 +15,9 @@ article (menus, forms, scripts, adverts and so on, by element, role or class)
 is cut before densities are computed, unless it encloses an article.
 
 Defined results: null or empty html, and pages without text, give an empty
-text; broken markup is read as far as it goes; equal sums go to the first node
-in page order; repeated rows are extracted each; other columns are ignored.
+text; broken markup is read to the end, an odd declaration as a comment; equal
+sums go to the first node in page order; repeated rows are extracted each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,6 +113,10 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.items.append((self.open[-1], data))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A '<![...' is a comment up to its '>', as in browsers."""
+        return self.rawdata.find(">", i + 3) + 1 or -1
+
     def _is_cut(self, tag: str, attrs: list) -> bool:
         if tag in NEVER_TEXT:
             return True
@@ -147,11 +152,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:  # the parser gives up on some broken declarations
-        pass
+    tree.feed(html)
+    tree.close()
     tags, parents, n = tree.tags, tree.parents, len(tree.tags)
 
     encloses = [False] * n  # an article or main element

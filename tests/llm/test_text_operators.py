@@ -281,3 +281,14 @@ def test_an_article_inside_the_text_does_not_replace_it():
     beside = "A paragraph beside the article that is as dense as those within, so that the threshold takes it in too."
     got = html_text.main_text(f"<body><div><article>{inner}</article><p>{beside}</p></div></body>")
     assert got.split("\n") == [*paragraphs, beside]
+
+
+def test_text_after_an_odd_declaration_stays():
+    for odd in ("<![foo[x]]>", "<![>", "<![ 1>", "<![CDATA[x>", "<![if gt IE 8>", "<![CDATA[x]]>", "<![endif]>", "<!foo>", "<!>"):
+        assert html_text.main_text(f"<p>a</p>{odd}<p>b</p>") == "a\nb"
+    assert html_text.main_text("<p>a</p><![CDATA[x><p>b</p><script>//<![CDATA[\n//]]></script><p>c</p>") == "a\nb\nc"
+    rng = random.Random(6)
+    parts = ["<![", "[", "]", "]]>", "]>", ">", "<!", "--", "<", "/", "p", "?", "&", "#", ";", '"', "=", " ", "CDATA[", "if", "doctype", "é", "\n"]
+    for _ in range(3000):
+        page = "<p>a</p>" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert html_text.main_text(page).startswith("a")

@@ -1,13 +1,22 @@
 """Licence scans: Dice coefficient over word bigrams; DataFrame functions only.
 
-Each line of a document, and its whole text, is a unit. A unit is normalised to
-words (ASCII case folded, punctuation gone); its distinct word bigrams are
-compared with those of licence templates. With n and m bigrams the coefficient
+Each line of a document, and its whole text, is a unit, and so is each run of as
+many words as a template has, cut at both ends to bigrams of the template: a
+notice may be wrapped over lines, or stand inside a line or a longer text. Of
+overlapping runs the best counts, and none that lies inside a longer one that is
+as good (the first part of a licence inside its complete text). A run that touches a line that matches the
+same template, or lies in a text that matches it whole, can raise the
+coefficient but is no further unit. A unit is normalised to words (ASCII case
+folded, punctuation gone); its distinct word bigrams are compared with those of licence templates. With n and m bigrams the coefficient
 is at most 2 min(n, m) / (n + m), so a template is a candidate only while n lies
 between m * t / (2 - t) and m * (2 - t) / t for the threshold t; that bound is
 part of the join on bigrams, before anything is counted. The threshold also
 tells how many of a template's bigrams a unit must share; texts and lines
-without any of the words that this makes necessary are not cut into bigrams.
+without any of the words that this makes necessary are not cut into bigrams,
+and runs are sought only in texts with so many of a template's bigrams.
+
+The registered SQL knows lines, whole texts and the notices only; where a table
+has a wrapped notice or a complete licence text, this finds more than it.
 
 Templates are a small table given as a parameter; its size is checked before it
 is broadcast, and a larger one is joined by shuffle.
@@ -77,16 +86,53 @@ TEMPLATES = {
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Complete texts of the licences of which TEMPLATES has the first part.
+COMPLETE = {
+    "BSD-2-Clause-text": TEMPLATES["BSD-2-Clause"] + _BSD_DISCLAIMER,
+    "BSD-3-Clause-text": (
+        TEMPLATES["BSD-2-Clause"]
+        + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission." + _BSD_DISCLAIMER
+    ),
+    "ISC-text": (
+        TEMPLATES["ISC"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MIT-text": (
+        TEMPLATES["MIT"] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+        "THE SOFTWARE."
+    ),
+}
 
 
-def bigrams_of(words: Column) -> Column:
-    """Distinct neighbouring word pairs of an array of words; words have no spaces."""
+def pairs_of(words: Column) -> Column:
+    """Neighbouring word pairs of an array of words, in order; words have no spaces."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))  # the last word has no neighbour
+    return F.filter(pairs, lambda p: p.isNotNull())  # the last word has no neighbour
+
+
+def bigrams_of(words: Column) -> Column:
+    """Distinct neighbouring word pairs of an array of words."""
+    return F.array_distinct(pairs_of(words))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, text string")
+    return spark.createDataFrame(sorted((templates or TEMPLATES | COMPLETE).items()), "license_id string, text string")
 
 
 def necessary_words(bigrams: set[str], threshold: float) -> set[str]:
@@ -104,8 +150,66 @@ def necessary_words(bigrams: set[str], threshold: float) -> set[str]:
     return words
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _dice(pairs: Column, b: Column, m: Column) -> Column:
+    return 2 * F.size(F.array_intersect(pairs, b)) / (F.size(F.array_distinct(pairs)) + m)
+
+
+def run_matches(texts: DataFrame, templates: DataFrame, pairs: DataFrame, hint, threshold: float) -> DataFrame:
+    """(doc_id, unit, license_id, dice) of matching runs of words; unit is -2 minus the first word, null for no further unit.
+
+    texts: doc_id and line; templates: license_id and text; pairs: license_id, m and pair of each template.
+    """
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "line"))
+    found = (
+        texts.select("h", F.explode(bigrams_of(words_of(F.col("line")))).alias("pair"))
+        .join(hint(pairs), "pair")
+        .groupBy("h", "license_id", "m")
+        .agg(F.count("*").alias("both"))
+        .where(F.col("both") >= F.col("m") * (threshold / (2 - threshold)))
+        .drop("both")
+    )
+    t = templates.select("license_id", pairs_of(words_of(text_or_empty())).alias("all"))
+    t = t.select("license_id", F.size("all").alias("long"), F.array_distinct("all").alias("b"))
+    lines = F.transform(F.split("line", "\n"), lambda x: words_of(x))
+    c = texts.join(found, "h").join(t, "license_id").withColumn("lines", lines)
+    c = c.withColumn("pairs", pairs_of(F.flatten("lines")))
+    c = c.withColumn("at", F.flatten(F.transform("lines", lambda ws, i: F.transform(ws, lambda w: i))))  # line of each word
+    c = c.withColumn("shared", F.transform("pairs", lambda p: F.array_contains("b", p)))
+    b, m, long, pairs_ = F.col("b"), F.col("m"), F.col("long"), F.col("pairs")
+
+    def run(s: Column) -> Column:  # s counts from 0; the last shared bigram of as many as the template has ends it
+        flags = F.slice("shared", s + 1, long)
+        size = F.size(flags) + 1 - F.array_position(F.reverse(flags), True).cast("int")
+        return _let(size, lambda z: F.struct(s.alias("s"), (s + z - 1).alias("e"), _dice(F.slice(pairs_, s + 1, z), b, m).alias("dice")))
+
+    starts = F.filter(F.transform("shared", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    runs = F.filter(F.transform(starts, run), lambda r: r["dice"] >= threshold)
+    # from the left, the best of those that overlap
+    best = F.aggregate(
+        runs,
+        F.array().cast("array<struct<s:int,e:int,dice:double>>"),
+        lambda kept, r: F.when((F.size(kept) == 0) | (r["s"] > F.element_at(kept, -1)["e"]), F.concat(kept, F.array(r)))
+        .when(r["dice"] > F.element_at(kept, -1)["dice"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(r)))
+        .otherwise(kept),
+    )
+    matching = F.filter(F.transform("lines", lambda ws, i: F.when(_let(pairs_of(ws), lambda p: _dice(p, b, m)) >= threshold, i)), lambda i: i.isNotNull())
+    c = c.select("doc_id", "h", "license_id", "at", matching.alias("matching"), (_dice(pairs_, b, m) >= threshold).alias("is_whole"), F.explode(best).alias("r"))
+    first, last = F.get("at", F.col("r.s")), F.get("at", F.col("r.e") + 1)
+    known = F.col("is_whole") | F.exists("matching", lambda i: i.between(first, last))
+    found = F.struct("r.s", "r.e", "r.dice", "license_id", F.when(~known, -2 - F.col("r.s")).cast("int").alias("unit"))
+    c = c.groupBy("doc_id", "h").agg(F.collect_set(found).alias("runs"))
+    inside = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]) & (y["dice"] >= x["dice"])
+    c = c.select("doc_id", F.explode(F.filter("runs", lambda x: ~F.exists("runs", lambda y: inside(x, y)))).alias("r"))
+    return c.select("doc_id", "r.unit", "r.license_id", "r.dice")
+
+
 def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, license_id, dice) of every unit and template at the threshold or above; unit -1 is the whole text."""
+    """(doc_id, unit, license_id, dice) of every unit and template at the threshold or above; unit -1 is the whole text, below are runs."""
     t = templates.select("license_id", bigrams_of(words_of(text_or_empty())).alias("b")).where("size(b) > 0")
     t = materialize(t.select("license_id", F.size("b").alias("m"), F.explode("b").alias("pair")), "templates")
     limits = t.agg(F.min("m"), F.max("m"), F.count("*")).first()
@@ -122,7 +226,7 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float =
             folded = F.translate(F.col("line"), UPPER, LOWER)
             # bound to a lambda, the folded text is made once and not for each word
             may = F.exists(F.array(folded), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in sorted(marks)]))
-    whole_may = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("line")).where(may)
+    whole_may = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("line")).where(may), "licensed")
     lines = whole_may.select("doc_id", F.posexplode(F.split("line", "\n")).alias("unit", "line")).where(may)
     whole = whole_may.select("doc_id", F.lit(-1).alias("unit"), "line").where(F.instr("line", "\n") > 0)
     fits = F.size("words") - 1 >= F.lit((limits[0] or 0) * least)
@@ -136,7 +240,8 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float =
         .groupBy("doc_id", "unit", "license_id", "n", "m")
         .agg(F.count("*").alias("both"))
     )
-    return shared.select("doc_id", "unit", "license_id", (2 * F.col("both") / (F.col("n") + F.col("m"))).alias("dice")).where(F.col("dice") >= threshold)
+    shared = shared.select("doc_id", "unit", "license_id", (2 * F.col("both") / (F.col("n") + F.col("m"))).alias("dice")).where(F.col("dice") >= threshold)
+    return shared.unionByName(run_matches(whole_may, templates, t, hint, threshold))
 
 
 def license_scan(docs: DataFrame, templates: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

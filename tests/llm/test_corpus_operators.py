@@ -131,6 +131,30 @@ def test_licences_against_brute_force(spark):
         assert got[i] == (best[1], round(best[0], 9), len(units), ",".join(sorted(names)))
 
 
+def test_licences_inside_longer_texts(spark):
+    import textwrap
+
+    t, full = license_scan.TEMPLATES, license_scan.COMPLETE
+    code = "\n".join(f"value_{i} = compute_{i}(left, right)" for i in range(80))
+    comment = lambda x: "\n".join("# " + line for line in textwrap.wrap(x, 70))
+    texts = [
+        comment(t["Apache-2.0-header"]) + "\n" + code,
+        "MIT License\n\nCopyright (c) 2026 A Person\n\n" + textwrap.fill(full["MIT-text"], 78),
+        code + "\n" + comment(full["ISC-text"]) + "\n" + code,
+        textwrap.fill(full["BSD-2-Clause-text"], 78),
+        code + "\n\n" + textwrap.fill(full["BSD-3-Clause-text"], 60) + "\n" + code,
+        code + "\nThis file is part of a tool. " + t["GPL-3.0-line"] + " Ask us for more of it at any time.\n" + code,
+        code + "\n" + (comment(t["GPL-3.0-header"]) + "\n") * 2 + code,
+        code,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.license_id, r.dice, r.n_units) for r in license_scan.license_scan(df, license_scan.template_table(spark)).collect()), key=lambda r: r[0])
+    want = ["Apache-2.0-header", "MIT-text", "ISC-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-3.0-line", "GPL-3.0-header", None]
+    assert [r[1] for r in got] == want
+    assert all(r[2] == (1.0 if r[1] else 0.0) for r in got)
+    assert (got[5][3], got[6][3], got[7][3]) == (1, 2, 0)
+
+
 def test_language(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     model = language.learn(d)

@@ -7,7 +7,8 @@ sum, octet range, separators, what stands on either side), and a dynamic
 program over segments of bounded length chooses boundaries and types jointly.
 Text without a digit or an at sign has no candidate segment and scores zero
 everywhere, so the program runs over the windows around those only; that is
-exact, not a cut (a window ends after 4096 characters; the next one goes on).
+exact, not a cut: a window ends only where no candidate segment can cross, and
+for a long one the program keeps borders and best scores, not candidates.
 
 The field is trained here, by gradient steps on its conditional likelihood, on
 generated windows; training is deterministic and takes seconds, once a driver.
@@ -85,31 +86,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]+")
+#: Further characters that count as digits of a candidate; searched for only in texts that have one.
+_DIGITS = frozenset(c for c in map(chr, range(128, 0x20000)) if c.isdigit())
+_ANY_TRIGGER = re.compile("[0-9@" + "".join(sorted(_DIGITS)) + "]+")
 _ENDS = frozenset("0123456789+(") | _LOCAL - frozenset(".%-")
 
 
 def windows(text: str):
-    """(start, end) around digits and at signs, wide enough for every candidate segment that holds one."""
+    """(start, end) around digits and at signs; every candidate segment lies in one, and none ends inside an atom."""
     start = end = None
-    for m in _TRIGGER.finditer(text):
-        a, b = m.start(), m.end()
-        low = max(0, a - MAX_CHARS)
-        while a > low and (text[a - 1] in _LOCAL or text[a - 1] in "("):
-            a -= 1
-        high = min(len(text), b + MAX_CHARS)
-        while b < high and (text[b] in _LOCAL or text[b] in ")"):
+    for m in (_TRIGGER if text.isascii() or _DIGITS.isdisjoint(text) else _ANY_TRIGGER).finditer(text):
+        a, b = m.span()
+        low = max(0, b - MAX_CHARS)
+        low = max(low, text.rfind("\n", low, a) + 1)
+        # a number starts with a digit, a bracket or a plus
+        first = min((x for x in (text.find("(", low, a), text.find("+", low, a)) if x >= 0), default=a)
+        if "@" in m[0]:  # what an address can reach: no blank, whole atoms
+            low, high = max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)
+            first = min(first, max(low, text.rfind(" ", low, a) + 1, text.rfind("\n", low, a) + 1))
+            b = min(x for x in (high, text.find(" ", b, high), text.find("\n", b, high)) if x >= 0)
+        gap = start is not None and m.start() - last < MAX_CHARS and text.find("\n", last, m.start()) < 0
+        last = m.end()
+        while 0 < first and _is_letter(text[first]) and _is_letter(text[first - 1]) and (start is None or first > end or first <= start):
+            first -= 1
+        while b < len(text) and _is_letter(text[b]) and _is_letter(text[b - 1]):
             b += 1
         if start is None:
-            start, end = a, b
-        elif a <= end + 2 and b - start <= 4096:
-            end = max(end, b)
+            start, end = first, b
+        elif gap or first <= end:
+            start, end = min(start, first), max(end, b)
         else:
             yield start, end
-            start, end = max(a, end), b
+            start, end = first, b
     if start is not None:
         yield start, end
 
 
+def _is_letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
 def span_features(text: str, start: int, end: int, kind: int) -> list[str]:
     """Features of the whole segment text[start:end] as one of KINDS."""
     span, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
@@ -142,34 +158,43 @@ def span_features(text: str, start: int, end: int, kind: int) -> list[str]:
     return out
 
 
+def atom_borders(text: str, start: int, end: int) -> list[int]:
+    return [start] + [m.end() for m in _ATOM.finditer(text, start, end)]
+
+
+def segments_at(text: str, borders: list[int], i: int):
+    """(last border, kind) of the candidate segments from border i."""
+    a = borders[i]
+    first = text[a]
+    if first not in _ENDS:
+        return
+    number = first.isdigit() or first in "+("
+    if not number and text.find("@", a, a + MAX_CHARS) < 0:
+        return
+    for j in range(i + 1, min(len(borders), i + 1 + MAX_ATOMS)):
+        b = borders[j]
+        if b - a > MAX_CHARS or "\n" in text[borders[j - 1] : b]:
+            break
+        last, span = text[b - 1], text[a:b]
+        if not last.isalnum():
+            continue
+        if "@" in span:
+            if " " not in span and span[0] != "(":
+                yield j, 0
+        elif number and last.isdigit() and "." in span and span.count(".") == 3 and first.isdigit():
+            yield j, 1
+        if number and last.isdigit():
+            n = sum(c.isdigit() for c in span)
+            if first.isdigit() and 13 <= n <= 20:
+                yield j, 2
+            if 9 <= n <= 16:
+                yield j, 3
+
+
 def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Atom borders of a window and its candidate segments (first border, last border, kind)."""
-    borders = [start] + [m.end() for m in _ATOM.finditer(text, start, end)]
-    out = []
-    for i in range(len(borders) - 1):
-        first = text[borders[i]]
-        if first not in _ENDS:
-            continue
-        number = first.isdigit() or first in "+("
-        for j in range(i + 1, min(len(borders), i + 1 + MAX_ATOMS)):
-            a, b = borders[i], borders[j]
-            if b - a > MAX_CHARS or "\n" in text[borders[j - 1] : b]:
-                break
-            last, span = text[b - 1], text[a:b]
-            if not last.isalnum():
-                continue
-            if "@" in span:
-                if " " not in span and span[0] != "(":
-                    out.append((i, j, 0))
-            elif number and last.isdigit() and "." in span and span.count(".") == 3 and first.isdigit():
-                out.append((i, j, 1))
-            if number and last.isdigit():
-                n = sum(c.isdigit() for c in span)
-                if first.isdigit() and 13 <= n <= 20:
-                    out.append((i, j, 2))
-                if 9 <= n <= 16:
-                    out.append((i, j, 3))
-    return borders, out
+    borders = atom_borders(text, start, end)
+    return borders, [(i, j, kind) for i in range(len(borders) - 1) for j, kind in segments_at(text, borders, i)]
 
 
 class SemiMarkovField:
@@ -189,18 +214,22 @@ class SemiMarkovField:
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         """The best segmentation of a window: (start, kind number, end) of its entities."""
-        borders, by_end = self._scored(text, start, end)
+        borders, get = atom_borders(text, start, end), self.weights.get
         n, touch = len(borders), self.weights.get("touch", 0.0)
         plain, entity = [0.0] * n, [-math.inf] * n  # best that ends here after plain text, after an entity
         back_plain, back_entity = [False] * n, [None] * n
-        for j in range(1, n):
-            back_plain[j] = entity[j - 1] > plain[j - 1]
-            plain[j] = max(plain[j - 1], entity[j - 1])
-            for i, kind, score, _ in by_end.get(j, ()):
-                after = entity[i] + touch
-                here = score + max(plain[i], after)
+        for i in range(n - 1):
+            if i:
+                back_plain[i] = entity[i - 1] > plain[i - 1]
+                plain[i] = max(plain[i - 1], entity[i - 1])
+            after = entity[i] + touch
+            for j, kind in segments_at(text, borders, i):
+                here = sum(get(x, 0.0) for x in span_features(text, borders[i], borders[j], kind)) + max(plain[i], after)
                 if here > entity[j]:
                     entity[j], back_entity[j] = here, (i, kind, after > plain[i])
+        if n > 1:
+            back_plain[n - 1] = entity[n - 2] > plain[n - 2]
+            plain[n - 1] = max(plain[n - 2], entity[n - 2])
         out, j, in_entity = [], n - 1, entity[n - 1] > plain[n - 1]
         while j > 0:
             if in_entity:

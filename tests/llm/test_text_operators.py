@@ -292,3 +292,27 @@ def test_text_after_an_odd_declaration_stays():
     for _ in range(3000):
         page = "<p>a</p>" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert html_text.main_text(page).startswith("a")
+
+
+def test_field_windows_cut_nothing():
+    field = pii.trained()
+    rng = random.Random(12)
+
+    def unsplit(text):
+        taken = pii.base_spans(text)
+        return [x for x in field.decode(text, 0, len(text)) if all(x[2] <= s or e <= x[0] for s, _, e in taken)]
+
+    cards = [pii._with_luhn(rng, 16, True) for _ in range(1000)]
+    text = " ".join(c[i : i + 4] for c in cards for i in range(0, 16, 4))
+    base, added = pii.find_spans(text, field)
+    assert len(text) > 19_990 and base == [] and added == unsplit(text)
+    assert len(list(pii.windows(text))) == 1
+    assert list(pii.windows("4111 - 1111 - 1111 - 1111")) == [(0, 25)]
+    parts = ["4111", " ", " - ", "+", "(", ")", "@", ".", "b.co", "\n", "#", "é", "²", "٣", "x" * 70, "a", " word ", "12", "1.2.3.4", "4111111111111111", ", of a longer sentence with words "]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.find_spans(text, field)[1] == unsplit(text)
+        borders, inside = set(pii.atom_borders(text, 0, len(text))), list(pii.windows(text))
+        assert all(a in borders and b in borders for a, b in inside)
+        every, found = pii.candidates(text, 0, len(text))
+        assert all(any(a <= every[i] and every[j] <= b for a, b in inside) for i, j, _ in found)

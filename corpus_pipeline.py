@@ -21,10 +21,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the smallest id stays."""
-    found = near_dup.near_duplicates(docs, width=5, threshold=80)
+    """Of each group of near duplicates (five-word shingles, 0.8) one row stays, of the smallest id; rows without an id come last."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        rows = docs.withColumn("row_id_", F.col("doc_id"))
+    else:  # ids do not tell rows apart; rows are numbered in the order of their ids
+        ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+        rows = materialize(ordered.withColumn("row_id_", F.monotonically_increasing_id()), "rows")
+    found = near_dup.near_duplicates(rows.select(F.col("row_id_").alias("doc_id"), "text"), width=5, threshold=80)
     gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return rows.join(gone, F.col("row_id_") == F.col("gone_id"), "left_anti").drop("row_id_")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

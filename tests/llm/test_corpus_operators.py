@@ -232,3 +232,15 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for docs in (d.limit(0), d.where("doc_id < 3").withColumn("text", packing.F.lit(None).cast("string"))):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf_dir).columns == d.columns, name
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    near = a + " end"
+    rows = [(5, a, "x"), (5, a, "x"), (None, a, "x"), (2, near, "x"), (None, b, "y"), (None, b, "y"), (7, c, "z"), (7, d, "z"), (9, c, "z"), (8, d, "z"), (1, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(3)
+    got = corpus_pipeline.keep_one_of_each(spark, df, "")
+    assert got.schema == df.schema
+    assert {tuple(r) for r in got.collect()} == {(2, near, "x"), (None, b, "y"), (7, c, "z"), (7, d, "z"), (1, None, "n")} and got.count() == 5

@@ -5,18 +5,22 @@ A corpus becomes shards. Each shard is one flat file of unsigned integers
 (``.idx``: document ids, their validity, and ``n + 1`` 64-bit offsets). Shards
 follow each other in ascending document order; where a shard begins in the
 whole corpus comes from prefix sums over the manifest, so no task needs to see
-another's rows. Files are memory-mapped on reading where the store is local.
+another's rows. Files are memory-mapped on reading where the store is local and
+read by ranges elsewhere; there are as many shards as the bytes of text ask for.
 
 The manifest names the very file that a successful task attempt wrote. Files
 of lost or repeated attempts stay unnamed, so retries cannot mix shards.
 
-Defined results: a null or empty text has the end id only; an empty table gives
+Defined results: the literal of an added token in a text is that token, as the
+library has it; a null or empty text has the end id only; an empty table gives
 no shard and no row; a null id sorts first; repeated ids are ordered by text;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import uuid
 import zlib
@@ -31,8 +35,12 @@ from pyspark.sql import functions as F
 
 from tarnmark.llm.common import fresh_path, materialize, text_or_empty, utf8
 
-#: Words kept by one worker; beyond it the memo starts anew (about 200 bytes each).
-MEMO_WORDS = 1_000_000
+#: Words kept by one worker, and the first learned, mostly common ones, that stay when the rest goes (at most 300 bytes each).
+MEMO_WORDS, CORE_WORDS = 250_000, 125_000
+#: Bytes of the longest word that is kept; longer ones (scripts without spaces) go to the library each time.
+MEMO_BYTES = 48
+#: UTF-8 bytes of text that one shard takes, and bytes read at once from a shard in a remote store.
+SHARD_BYTES, READ_BYTES = 256 << 20, 16 << 20
 
 #: White space that is not ASCII, and ASCII separators that only some libraries count as such.
 _ODD_SPACES = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u205f", "\u3000"]
@@ -54,8 +62,8 @@ class WordEncoder:
 
     Both kinds of tokenizer cut a text at white space before they merge, so the
     ids of a text are those of its space-separated pieces, in order. A piece is
-    encoded by the library once per worker and looked up afterwards. Texts with
-    white space other than ASCII go to the library whole.
+    encoded by the library and looked up afterwards. Texts with white space
+    other than ASCII, or with an added token, go to the library whole.
 
     keeps_space: the space before a word belongs to its token (byte-level BPE);
     otherwise white space vanishes (BPE with word ends).
@@ -65,9 +73,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() if keeps_space else t.content.encode().lower() for t in added]
         self.memo: dict[bytes, bytes] = {}
+        self.core: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str, keeps_space: bool) -> "WordEncoder":
@@ -87,38 +97,51 @@ class WordEncoder:
             out += self._encode_some(texts[at : at + 256])
         return out
 
+    def _whole(self, text: bytes) -> bool:
+        folded = text if self.keeps_space else text.lower()
+        return any(x in folded for x in self.added) or has_odd_space(text)
+
     def _cut(self, text: bytes) -> list[bytes]:
         return _SPACED_WORD.findall(text) if self.keeps_space else text.lower().split()  # its tokens have no capitals
 
-    def _learn(self, words: set[bytes]) -> None:
-        """A full stop or comma after an ASCII letter or digit is a token of its own, so the memo shares the stem."""
-        memo, stems = self.memo, {}
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the memo lacks; short ones go into the memo.
+
+        A full stop or comma after an ASCII letter or digit is a token of its own, so the memo shares the stem.
+        """
+        memo, stems, learned = self.memo, {}, {}
         for w in words:
             stems[w] = w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w
         new = [s for s in set(stems.values()) | {b".", b","} if s not in memo]
         for at in range(0, len(new), 20_000):
-            memo.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
+            learned.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
         for w, s in stems.items():
             if s is not w:
-                memo[w] = memo[s] + memo[w[-1:]]
+                learned[w] = b"".join(learned[x] if x in learned else memo[x] for x in (s, w[-1:]))
+        memo.update((w, ids) for w, ids in learned.items() if len(w) <= MEMO_BYTES)
+        return learned
+
+    def _forget(self) -> None:
+        if not self.core:
+            self.core = dict(itertools.islice(self.memo.items(), CORE_WORDS))
+        self.memo = dict(self.core)
 
     def _encode_some(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self._forget()
         known, new = self.memo.get, set()
-        words = [None if has_odd_space(t) else self._cut(t) for t in texts]
+        words = [None if self._whole(t) else self._cut(t) for t in texts]
         ids = [w and list(map(known, w)) for w in words]
         for w, found in zip(words, ids):
             if w and None in found:
                 new.update(x for x, y in zip(w, found) if y is None)
-        if new:
-            self._learn(new)
+        learned = self._learn(new) if new else {}
         out = []
         for text, w, found in zip(texts, words, ids):
             if w is None:
                 out.append(self._library([text])[0])
             elif new and None in found:
-                out.append(b"".join([known(x) if y is None else y for x, y in zip(w, found)]))
+                out.append(b"".join([learned[x] if y is None else y for x, y in zip(w, found)]))
             else:
                 out.append(b"".join(found))
         return out
@@ -184,11 +207,10 @@ def write_token_files(
             schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("unsigned_bits", pa.int32())]),
         )
 
-    ordered = (
-        docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     written = materialize(ordered.mapInArrow(shard, "shard long, file string, n_docs long, n_tokens long, unsigned_bits int"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return written.select(
@@ -199,23 +221,39 @@ def write_token_files(
     )
 
 
-def open_shard(path: str, file: str, unsigned_bits: int):
-    """(document ids, validity, offsets, tokens) of one shard; memory-mapped if local."""
-    fs, root = _filesystem(path)
-    dtype = {16: "<u2", 32: "<u4"}[unsigned_bits]
-    if fs.type_name == "local":
-        index = np.memmap(f"{root}/{file}.idx", dtype="u1", mode="r")
-        tokens = np.memmap(f"{root}/{file}.bin", dtype=dtype, mode="r")
-    else:
-        with fs.open_input_file(f"{root}/{file}.idx") as f:
-            index = np.frombuffer(f.read(), dtype="u1")
-        with fs.open_input_file(f"{root}/{file}.bin") as f:
-            tokens = np.frombuffer(f.read(), dtype=dtype)
-    n = int(index[:8].view("<u8")[0])
-    ids = index[8 : 8 + 8 * n].tobytes()
-    valid = np.asarray(index[8 + 8 * n : 8 + 9 * n])
-    offsets = index[8 + 9 * n :].tobytes()
-    return np.frombuffer(ids, dtype="<i8"), valid, np.frombuffer(offsets, dtype="<u8").astype("i8"), tokens
+class Shard:
+    """One shard: document ids, their validity, offsets, and ids by ranges; memory-mapped if the store is local."""
+
+    def __init__(self, path: str, file: str, unsigned_bits: int):
+        self.dtype = np.dtype({16: "<u2", 32: "<u4"}[unsigned_bits])
+        fs, root = _filesystem(path)
+        if fs.type_name == "local":
+            index = np.memmap(f"{root}/{file}.idx", dtype="u1", mode="r")
+            empty = os.path.getsize(f"{root}/{file}.bin") == 0
+            self.mapped = np.zeros(0, self.dtype) if empty else np.memmap(f"{root}/{file}.bin", dtype=self.dtype, mode="r")
+        else:
+            with fs.open_input_file(f"{root}/{file}.idx") as f:
+                index = np.frombuffer(f.read(), dtype="u1")
+            self.mapped, self.remote = None, fs.open_input_file(f"{root}/{file}.bin")
+        n = int(index[:8].view("<u8")[0])
+        self.ids = np.frombuffer(index[8 : 8 + 8 * n].tobytes(), dtype="<i8")
+        self.valid = np.asarray(index[8 + 8 * n : 8 + 9 * n])
+        self.offsets = np.frombuffer(index[8 + 9 * n :].tobytes(), dtype="<u8").astype("i8")
+
+    def tokens(self, first: int, last: int) -> np.ndarray:
+        """The ids from offset first up to last."""
+        if self.mapped is not None:
+            return np.asarray(self.mapped[first:last])
+        return np.frombuffer(self.remote.read_at((last - first) * self.dtype.itemsize, first * self.dtype.itemsize), dtype=self.dtype)
+
+    def parts(self):
+        """Ranges of documents, each of 1024 documents and about READ_BYTES at most, one document at least."""
+        at, n, most = 0, len(self.ids), READ_BYTES // self.dtype.itemsize
+        while at < n:
+            end = int(np.searchsorted(self.offsets, self.offsets[at] + most, side="right")) - 1
+            end = min(max(end, at + 1), at + 1024, n)
+            yield at, end
+            at = end
 
 
 def read_token_files(manifest: DataFrame, *, with_tokens: bool = False) -> DataFrame:
@@ -229,12 +267,14 @@ def read_token_files(manifest: DataFrame, *, with_tokens: bool = False) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, valid, offsets, tokens = open_shard(row["path"], row["file"], row["unsigned_bits"])
-                for at in range(0, len(ids), 1024):
-                    cut = [np.asarray(tokens[offsets[i] : offsets[i + 1]]) for i in range(at, min(at + 1024, len(ids)))]
+                shard = Shard(row["path"], row["file"], row["unsigned_bits"])
+                for at, end in shard.parts():
+                    offsets = shard.offsets[at : end + 1]
+                    here = shard.tokens(int(offsets[0]), int(offsets[-1]))
+                    cut = [here[a:b] for a, b in itertools.pairwise((offsets - offsets[0]).tolist())]
                     out = {
-                        "doc_id": pa.array(ids[at : at + 1024], pa.int64(), mask=valid[at : at + 1024] == 0),
-                        "start": pa.array(offsets[at : at + len(cut)] + row["token_base"], pa.int64()),
+                        "doc_id": pa.array(shard.ids[at:end], pa.int64(), mask=shard.valid[at:end] == 0),
+                        "start": pa.array(offsets[:-1] + row["token_base"], pa.int64()),
                         "n_tokens": pa.array([len(x) for x in cut], pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64()),
                     }

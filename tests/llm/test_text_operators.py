@@ -29,9 +29,7 @@ def none(spark):
 def library_ids(name, text, end):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(public_path(name)).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -51,12 +49,43 @@ def test_token_files(docs, none):
 
 
 @pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_memo_gives_what_the_library_gives(name, keeps):
+def test_memo_gives_what_the_library_gives(name, keeps, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 40)
+    monkeypatch.setattr(tokens, "CORE_WORDS", 10)
     rng = random.Random(5)
-    parts = ["word", "Word.", "it's", ",", "...", " ", "  ", "\n", "\n\n", " \n", "\t", "é", "9", "12.", "a,", " ", "$$", "'s", "don't,", "日本", "x."]
+    parts = ["word", "Word.", "it's", ",", "...", " ", "  ", "\n", "\n\n", " \n", "\t", "é", "9", "12.", "a,", " ", "$$", "'s", "don't,", "日本", "x.", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日本語の文章" * 30, "w" * 200, "q" * 90 + "."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
-    got = tokens.WordEncoder(public_path(name), keeps).encode([t.encode() for t in texts])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library_ids(name, t, 0)[:-1] for t in texts]
+    texts += ["".join(rng.choice(parts[:21]) + rng.choice(["", str(rng.random())]) for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    encoder = tokens.WordEncoder(public_path(name), keeps)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_path(name))
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.core and all(len(w) <= tokens.MEMO_BYTES for w in encoder.memo)
+
+
+def test_shards_in_ranges(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "READ_BYTES", 40)
+    lengths = [0, 3, 50, 1, 1, 0, 9, 11, 20]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+    np.arange(offsets[-1], dtype="<u2").tofile(tmp_path / "a.bin")
+    with open(tmp_path / "a.idx", "wb") as f:
+        f.write(np.array([9], "<u8").tobytes() + np.arange(9, dtype="<i8").tobytes() + np.ones(9, "u1").tobytes() + offsets.tobytes())
+    shard = tokens.Shard(f"file://{tmp_path}", "a", 16)
+    parts = list(shard.parts())
+    assert [i for a, b in parts for i in range(a, b)] == list(range(9)) and len(parts) > 3
+    for a, b in parts:
+        first, last = int(shard.offsets[a]), int(shard.offsets[b])
+        assert b - a == 1 or 2 * (last - first) <= 40
+        mapped = shard.tokens(first, last).tolist()
+        shard_remote = tokens.Shard.__new__(tokens.Shard)
+        shard_remote.mapped, shard_remote.dtype = None, shard.dtype
+        import pyarrow as pa
+
+        shard_remote.remote = pa.OSFile(str(tmp_path / "a.bin"))
+        if last > first:
+            assert shard_remote.tokens(first, last).tolist() == mapped == list(range(first, last))
 
 
 def test_packing(docs, none):

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from tarnmark.llm.common import materialize
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """As a table of its own, so that both sides of the next join are plain and Spark can split a hub's rows."""
+    return materialize(least, "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    least = both.groupBy("hi").agg(F.least(F.col("hi"), F.min("lo")).alias("least"))
+    least = _written(both.groupBy("hi").agg(F.least(F.col("hi"), F.min("lo")).alias("least")))
     return both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("least"))
+    least = _written(edges.groupBy("hi").agg(F.min("lo").alias("least")))
     across = edges.join(least, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return across.unionByName(least.select("hi", F.col("least").alias("lo"))).distinct()
 

@@ -6,19 +6,26 @@ that differ in at most 23 slots have, by pigeonhole, a chunk with at most one
 differing slot; each chunk therefore enumerates its allowed errors: one index
 key for each slot left out. Pairs under that distance always share a key. (At
 similarity 0.8 a slot differs with chance 0.2; a pair shares no key with chance
-1e-7.) Pairs that share a key must also be close in a sketch of 1024 one-bit
-MinHash values, within five standard deviations of what similarity 0.8 gives;
-that test is part of the joins. Links are confirmed on the full sets.
-
-Equal sets form one class first, so copies cost nothing further. In a bucket of
-one key, every member is compared with the smallest one, its pivot; then, among
-all members that have met a pivot, those outside its component are compared with
-those of other components. Groups of near copies thus cost about one
-comparison for each member, and no link between different components is lost.
-Comparisons go to the pivot's partition, salted by members, with the texts.
+1e-7.) Equal sets form one class first, so copies cost nothing further.
+
+Pairs that share a key pass three bounds inside the joins before anything is
+compared: on the sizes; on a parity sketch (each shingle flips one of 1024
+bits, so two sketches differ in no more bits than the sets do in shingles; of
+sets above 1024 shingles a known share is drawn, and the bound is the mean and
+five deviations); and, in the second pass, on the shingles that a set shares
+with no other set of the pass, which no partner can contain. Links are confirmed
+on the full sets; the two bounds without a draw lose none.
+
+In a bucket of one key, every member is compared with the smallest one, its
+pivot; then, among all members that have met a pivot, those outside its
+component are compared with those of other components. Groups of near copies
+thus cost about one comparison for each member, and no link between different
+components is lost. Comparisons go to the pivot's partition, salted by members,
+with hashed sets.
 
 Defined results: null, empty and blank texts have an empty set and link with
-nothing; so do rows without an id, which are kept; repeated rows are copies; an
+nothing; so do rows without an id, which are kept; repeated rows are copies;
+rows that share an id but not a text are linked by their own texts each; an
 empty table gives no row; other columns are ignored.
 """
 
@@ -38,16 +45,14 @@ from tarnmark.llm.graph import connected_components
 SLOTS, CHUNK = 60, 5
 #: Differing slots up to which a pair is always found: each of the 12 chunks has 2 at least beyond it.
 FOUND_DISTANCE = 2 * (SLOTS // CHUNK) - 1
-#: One-bit values of the sketch, in words of 64.
-SKETCH_WORDS = 16
-#: Differing bits up to which a pair goes on: mean 102.4 and deviation 9.6 at similarity 0.8.
-SKETCH_DISTANCE = 152
+#: Bits of the sketch, in words of 64; and the shingles that it takes at most, drawn beyond.
+SKETCH_WORDS, SKETCH_BITS, SKETCH_SHINGLES = 16, 1024, 1024
 #: Members of one pivot that one salt takes.
 SALT_MEMBERS = 256
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = (_RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_SKETCHERS = (_RNG.integers(0, 2**63, 64 * SKETCH_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_SKETCHER = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,6 +85,20 @@ def least_hashes(shingles: np.ndarray, functions: np.ndarray) -> np.ndarray:
     return _mix(least[:, 0])
 
 
+def sketch_level(n: int) -> int:
+    """Of a set of n shingles one in 2 ** level is drawn, so that about SKETCH_SHINGLES remain."""
+    return max(0, (n - 1) // SKETCH_SHINGLES).bit_length()
+
+
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS signed words; a bit is set where an odd number of drawn shingles fall."""
+    level = sketch_level(len(shingles))
+    mixed = _mix(shingles * _SKETCHER)
+    drawn = mixed[mixed >> np.uint64(64 - level) == 0] if level else mixed
+    odd = np.bincount((drawn & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -105,67 +124,113 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(per_batch(make), "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
+_SKETCHED = "cls long, n long, level int, shingles binary, " + ", ".join(f"{s} long" for s in _SKETCH)
+
+
 def sketches(texts: DataFrame, width: int) -> DataFrame:
-    """rep, n (shingles) and s0 to s15 (1024 one-bit values) of the texts that share a key with another."""
+    """cls, n, level, shingles (sorted 64-bit hashes) and s0 to s15 of rows (cls, set_hash, text).
+
+    Rows whose text is not of the class (an id that repeats with another text) go.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, words = [], []
-            for text in utf8(batch.column(1)):
+            rows, words = [], []
+            for cls, wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 s = shingle_set(text, width)
-                n.append(len(s))
-                words.append(np.packbits((least_hashes(s, _SKETCHERS) & np.uint64(1)).astype(np.uint8)).view("<i8"))
-            columns = np.array(words).reshape(-1, SKETCH_WORDS)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(columns[:, k], pa.int64()) for k in range(SKETCH_WORDS))], names=["rep", "n", *_SKETCH]
-            )
+                blob = s.tobytes()
+                if xxhash.xxh3_128_digest(blob) == wanted:
+                    rows.append((cls, len(s), sketch_level(len(s)), blob))
+                    words.append(parity_sketch(s))
+            columns = np.array(words, dtype=np.int64).reshape(-1, SKETCH_WORDS)
+            kinds, own = (pa.int64(), pa.int64(), pa.int32(), pa.binary()), list(zip(*rows)) or [()] * 4
+            arrays = [*map(pa.array, own, kinds), *(pa.array(columns[:, k], pa.int64()) for k in range(SKETCH_WORDS))]
+            return pa.RecordBatch.from_arrays(arrays, names=["cls", "n", "level", "shingles", *_SKETCH])
+
+        return step
+
+    return texts.select("cls", "set_hash", "text").mapInArrow(per_batch(make), _SKETCHED)
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """(cls, h): one row for each shingle of rows (cls, shingles)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 256):
+                sets_ = [np.frombuffer(b, "<i8") for b in batch.column(1).slice(at, 256).to_pylist()]
+                cls = np.repeat(np.array(batch.column(0).slice(at, 256).to_pylist(), dtype=np.int64), [len(s) for s in sets_])
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets_))], names=["cls", "h"])
 
         return step
 
-    return texts.select("rep", "text").mapInArrow(per_batch(make), "rep long, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield from step(batch)
+
+    return sets.select("cls", "shingles").mapInArrow(run, "cls long, h long")
+
+
+def unshared(sets: DataFrame) -> DataFrame:
+    """(cls, u): shingles of a class that no other class of sets has; classes without any are absent."""
+    once = exploded(sets).groupBy("h").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).where("n = 1")
+    return once.groupBy("cls").agg(F.count("*").alias("u"))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep): one key for each chunk and each slot of it that may differ."""
+    """(key, cls): one key for each chunk and each slot of it that may differ."""
     slots = [F.substring("signature", 2 * i + 1, 2) for i in range(SLOTS)]
     keys = [
         F.xxhash64(F.lit(c * CHUNK + out), F.concat(*[slots[c * CHUNK + k] for k in range(CHUNK) if k != out]))
         for c in range(SLOTS // CHUNK)
         for out in range(CHUNK)
     ]
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "rep")
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "cls")
+
+
+def _reaches(both: Column, total: Column, threshold: int) -> Column:
+    """Sets of ``total`` shingles together, ``both`` of them common, reach the similarity."""
+    return 100 * both >= threshold * (total - both)
 
 
 def _close(a: str, b: str, threshold: int) -> Column:
     """Set sizes and sketches of the rows prefixed a and b allow the similarity."""
     distance = sum(F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SKETCH)
-    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (distance <= SKETCH_DISTANCE)
+    total, share = F.col(f"{a}n") + F.col(f"{b}n"), F.pow(F.lit(0.5), F.col(f"{a}level"))
+    apart = total * ((100 - threshold) / (100 + threshold))  # most shingles that only one set has
+    drawn = apart * share + 5 * F.sqrt(apart * share * (1 - share))
+    within = (F.col(f"{a}level") != F.col(f"{b}level")) | (distance <= drawn + 1e-6)
+    return _reaches(F.least(f"{a}n", f"{b}n"), total, threshold) & within
+
+
+_BOUNDS = ("n", "level", *_SKETCH)
 
 
-def _as(classes: DataFrame, prefix: str, name: str) -> DataFrame:
-    return classes.select(F.col("rep").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SKETCH)])
+def _as(sets: DataFrame, prefix: str, name: str) -> DataFrame:
+    return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in _BOUNDS])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of (pivot, member), those with 100 * intersection >= threshold * union on full sets; texts by rep."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of (pivot, member), those with 100 * intersection >= threshold * union on full sets; sets: cls and shingles."""
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
-    pivots = salts.join(texts, F.col("pivot") == F.col("rep")).select(
-        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text"
+    pivots = salts.join(sets, F.col("pivot") == F.col("cls")).select(
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "shingles"
     )
-    members = pairs.join(salts, "pivot").join(texts, F.col("member") == F.col("rep")).select(
-        "pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", "text"
+    members = pairs.join(salts, "pivot").join(sets, F.col("member") == F.col("cls")).select(
+        "pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", "shingles"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             found = []
-            pivots_, salts_, members_ = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            for pivot, salt, member, text in zip(pivots_, salts_, members_, utf8(batch.column(3))):
-                other = shingle_set(text, width)
+            pivots_, salts_, members_, sets_ = (batch.column(k) for k in range(4))
+            for i, (pivot, salt, member) in enumerate(zip(pivots_.to_pylist(), salts_.to_pylist(), members_.to_pylist())):
+                other = np.frombuffer(sets_[i].as_buffer(), dtype="<u8")
                 if member is None:
-                    now, own = (pivot, salt), other
+                    now, own = (pivot, salt), other.copy()
                 elif now == (pivot, salt) and 100 * min(len(own), len(other)) >= threshold * max(len(own), len(other)):
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     if 100 * both >= threshold * (len(own) + len(other) - both):
@@ -177,6 +242,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
     return rows.mapInArrow(compare, "pivot long, member long")
 
 
+def _second_pass(met: DataFrame, component: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(pivot, member): pairs of one bucket in different components that no bound rules out."""
+    pivot_of = component.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
+    labelled = met.join(component.withColumnRenamed("node", "cls"), "cls", "left").join(pivot_of, "pivot", "left")
+    labelled = labelled.select("cls", "pivot", F.coalesce("component", "cls").alias("c"), F.coalesce("pivot_component", "pivot").alias("pc"))
+    mixed = labelled.groupBy("pivot").agg(F.max(F.col("c") != F.col("pc")).alias("mixed")).where("mixed").select("pivot")
+    labelled = materialize(labelled.join(mixed, "pivot", "left_semi"), "mixed")
+
+    known = sets.join(labelled.select("cls").distinct(), "cls", "left_semi")
+    known = known.join(unshared(known), "cls", "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0)))
+    known = materialize(known.where(100 * F.col("s") >= threshold * F.col("n")).select("cls", "s", *_BOUNDS), "bounds")
+    labelled = labelled.join(known, "cls")
+    fields = ("c", "s", *_BOUNDS)
+    strays = labelled.where("c <> pc").select(F.col("pivot").alias("by"), F.col("cls").alias("pivot"), *[F.col(x).alias(f"a_{x}") for x in fields])
+    others = labelled.select(F.col("pivot").alias("with"), F.col("cls").alias("member"), "pc", *[F.col(x).alias(f"b_{x}") for x in fields])
+    new = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("pc")) | (F.col("pivot") < F.col("member")))
+    may = _reaches(F.least("a_s", "b_s"), F.col("a_n") + F.col("b_n"), threshold)
+    return strays.join(others, (F.col("by") == F.col("with")) & new & may & _close("a_", "b_", threshold)).select("pivot", "member").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
@@ -187,45 +272,36 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) ->
     if threshold < 80:
         raise ValueError("the index guarantees similarities of 80 percent or more")
     signed = materialize(signatures(docs, width), "signatures")
-    classes = materialize(
+    classes = (
         signed.where("set_hash is not null and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
-        "classes",
+        .agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"))
     )
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbers stay as written
     keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(keys.join(shared, "key").select("key", "rep", "pivot"), "buckets")
-
-    wanted = buckets.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(wanted, "rep", "left_semi")
-    texts = materialize(texts.groupBy("rep").agg(F.max("text").alias("text")), "texts")  # an id may repeat
-    sizes = materialize(sketches(texts, width), "sketches")
-
-    met = materialize(buckets.where("rep <> pivot").select("pivot", "rep").distinct(), "met")
-    stars = met.join(_as(sizes, "b_", "rep"), "rep").join(_as(sizes, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
-    stars = materialize(stars.select("pivot", F.col("rep").alias("member")), "stars")
-    first = materialize(_confirmed(stars, texts, width, threshold), "links")
-    component = materialize(connected_components(first, "pivot", "member"), "components")
+    shared = materialize(keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size"), "keys")
+    met = materialize(keys.join(shared, "key").where("cls <> pivot").select("pivot", "cls").distinct(), "met")
 
-    pivot_of = component.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-    labelled = met.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(pivot_of, "pivot", "left")
-    labelled = labelled.select("rep", "pivot", F.coalesce("component", "rep").alias("c"), F.coalesce("pivot_component", "pivot").alias("pc"))
-    mixed = labelled.groupBy("pivot").agg(F.max(F.col("c") != F.col("pc")).alias("mixed")).where("mixed").select("pivot")
-    labelled = labelled.join(mixed, "pivot", "left_semi").join(sizes, "rep")
-    fields = ("c", "n", *_SKETCH)
-    strays = labelled.where("c <> pc").select(F.col("pivot").alias("by"), F.col("rep").alias("pivot"), *[F.col(x).alias(f"a_{x}") for x in fields])
-    others = labelled.select(F.col("pivot").alias("with"), F.col("rep").alias("member"), "pc", *[F.col(x).alias(f"b_{x}") for x in fields])
-    new = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("pc")) | (F.col("pivot") < F.col("member")))
-    crossing = materialize(strays.join(others, (F.col("by") == F.col("with")) & new & _close("a_", "b_", threshold)).select("pivot", "member").distinct(), "crossing")
+    wanted = met.select("cls").unionByName(met.select(F.col("pivot").alias("cls"))).distinct()
+    wanted = classes.join(wanted, "cls", "left_semi").select(F.col("least_id").alias("id"), "cls", "set_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(wanted, "id")
+    sets = materialize(sketches(texts.distinct(), width), "sets")  # an id may repeat
+
+    stars = met.join(_as(sets, "b_", "cls"), "cls").join(_as(sets, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
+    stars = materialize(stars.select("pivot", F.col("cls").alias("member")), "stars")
+    first = materialize(_confirmed(stars, sets, threshold), "links")
+    component = materialize(connected_components(first, "pivot", "member"), "components")
+    crossing = materialize(_second_pass(met, component, sets, threshold), "crossing")
     if not crossing.isEmpty():
-        second = materialize(_confirmed(crossing, texts, width, threshold), "links")
+        second = materialize(_confirmed(crossing, sets, threshold), "links")
         component = materialize(connected_components(first.unionByName(second), "pivot", "member"), "components")
 
-    named = signed.join(classes.select("set_hash", "rep"), "set_hash", "left").join(
-        component.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    )
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    member = component.select(F.col("node").alias("cls"), "component")
+    labelled = classes.select("set_hash", "cls", "least_id").join(member, "cls", "left")
+    least = labelled.where("component is not null").groupBy("component").agg(F.min("least_id").alias("of_component"))
+    labelled = labelled.join(least, "component", "left").select("set_hash", F.coalesce("of_component", "least_id").alias("least_id"))
+    named = signed.join(labelled, "set_hash", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

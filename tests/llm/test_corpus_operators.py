@@ -68,6 +68,48 @@ def test_signatures_share_a_key_within_the_distance():
         assert differ.min() <= 1
 
 
+def test_parity_sketch_bounds_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 200, 1024, 1500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for share in (0.02, 0.1):
+            b = np.unique(np.concatenate([a[int(share * n) :], rng.integers(0, 2**63, int(share * n), dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            x = near_dup.parity_sketch(a) ^ near_dup.parity_sketch(b)
+            distance = sum(int(w).bit_count() for w in x.view("<u8"))
+            level = near_dup.sketch_level(len(a))
+            drawn = apart * 0.5**level
+            assert near_dup.sketch_level(len(b)) != level or distance <= drawn + 5 * (drawn * (1 - 0.5**level)) ** 0.5
+        assert len(a) / 2 ** near_dup.sketch_level(len(a)) <= near_dup.SKETCH_SHINGLES
+
+
+def test_dense_group_of_near_copies(spark):
+    """Every degree of edit around one text: many components within the same buckets."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = []
+    for i in range(160):
+        x = list(base) if i % 4 else list(rng.choice(rows)[1].split() if rows else base)
+        for _ in range(rng.randrange(0, 14)):
+            x[rng.randrange(len(x))] = rng.choice(words)
+        rows.append((i, " ".join(x)))
+    rows += [(7, "another text under an id that repeats " * 3), (900, "another text under an id that repeats " * 3)]
+    sets = [(i, shingles(t, 4)) for i, t in rows]
+    group = {k: {k} for k in range(len(sets))}
+    for k, (_, a) in enumerate(sets):
+        for m in range(k):
+            b = sets[m][1]
+            if 100 * len(a & b) >= 80 * len(a | b) and group[k] is not group[m]:
+                group[k] |= group[m]
+                for x in group[m]:
+                    group[x] = group[k]
+    want = sorted((i, min(sets[x][0] for x in group[k])) for k, (i, _) in enumerate(sets))
+    assert len({c for _, c in want}) > 20
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 4), (20, 20), (None, 1)] + [(100, 100 + k) for k in range(1, 40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -17,11 +17,12 @@ with no other set of the pass, which no partner can contain. Links are confirmed
 on the full sets; the two bounds without a draw lose none.
 
 In a bucket of one key, every member is compared with the smallest one, its
-pivot; then, among all members that have met a pivot, those outside its
-component are compared with those of other components. Groups of near copies
-thus cost about one comparison for each member, and no link between different
-components is lost. Comparisons go to the pivot's partition, salted by members,
-with hashed sets.
+pivot; then, in buckets that still hold several components, with a centre: the
+member with the largest share of common shingles. Last, among all members that
+have met a pivot, those outside its component are compared with those of other
+components. Groups of near copies thus cost about two comparisons for each
+member, and no link between different components is lost. Comparisons go to the
+pivot's partition, salted by members, with hashed sets.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; so do rows without an id, which are kept; repeated rows are copies;
@@ -242,24 +243,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(compare, "pivot long, member long")
 
 
-def _second_pass(met: DataFrame, component: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(pivot, member): pairs of one bucket in different components that no bound rules out."""
+def _mixed(met: DataFrame, component: DataFrame) -> DataFrame:
+    """(cls, pivot, c, pc): members, with their and their pivot's component, of buckets that hold several."""
     pivot_of = component.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
     labelled = met.join(component.withColumnRenamed("node", "cls"), "cls", "left").join(pivot_of, "pivot", "left")
     labelled = labelled.select("cls", "pivot", F.coalesce("component", "cls").alias("c"), F.coalesce("pivot_component", "pivot").alias("pc"))
-    mixed = labelled.groupBy("pivot").agg(F.max(F.col("c") != F.col("pc")).alias("mixed")).where("mixed").select("pivot")
-    labelled = materialize(labelled.join(mixed, "pivot", "left_semi"), "mixed")
+    several = labelled.groupBy("pivot").agg(F.max(F.col("c") != F.col("pc")).alias("several")).where("several").select("pivot")
+    return materialize(labelled.join(several, "pivot", "left_semi"), "mixed")
+
 
-    known = sets.join(labelled.select("cls").distinct(), "cls", "left_semi")
+def _bounds(mixed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(cls, s, n, level, sketch): s shingles are not of this class alone; classes that can reach nothing are absent."""
+    known = sets.join(mixed.select("cls").distinct(), "cls", "left_semi")
     known = known.join(unshared(known), "cls", "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0)))
-    known = materialize(known.where(100 * F.col("s") >= threshold * F.col("n")).select("cls", "s", *_BOUNDS), "bounds")
-    labelled = labelled.join(known, "cls")
-    fields = ("c", "s", *_BOUNDS)
-    strays = labelled.where("c <> pc").select(F.col("pivot").alias("by"), F.col("cls").alias("pivot"), *[F.col(x).alias(f"a_{x}") for x in fields])
-    others = labelled.select(F.col("pivot").alias("with"), F.col("cls").alias("member"), "pc", *[F.col(x).alias(f"b_{x}") for x in fields])
-    new = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("pc")) | (F.col("pivot") < F.col("member")))
-    may = _reaches(F.least("a_s", "b_s"), F.col("a_n") + F.col("b_n"), threshold)
-    return strays.join(others, (F.col("by") == F.col("with")) & new & may & _close("a_", "b_", threshold)).select("pivot", "member").distinct()
+    return materialize(known.where(100 * F.col("s") >= threshold * F.col("n")).select("cls", "s", *_BOUNDS), "bounds")
+
+
+def _may_link(threshold: int) -> Column:
+    """Rows prefixed a_ and b_ are of different components, and no bound rules a link out."""
+    shared = _reaches(F.least("a_s", "b_s"), F.col("a_n") + F.col("b_n"), threshold)
+    return (F.col("a_c") != F.col("b_c")) & shared & _close("a_", "b_", threshold)
+
+
+def _with_bounds(rows: DataFrame, bounds: DataFrame, prefix: str) -> DataFrame:
+    fields = ("cls", "c", "s", *_BOUNDS)
+    return rows.join(bounds, "cls").select("pivot", "pc", *[F.col(x).alias(f"{prefix}{x}") for x in fields])
+
+
+def _centre_pairs(mixed: DataFrame, bounds: DataFrame, threshold: int) -> DataFrame:
+    """(pivot, member): the centre of each bucket, and the members of other components that no bound rules out."""
+    scored = mixed.join(bounds.select("cls", (F.col("s") / F.col("n")).alias("share")), "cls")
+    centres = scored.groupBy("pivot").agg(F.min(F.struct(-F.col("share"), "cls", "c", "pc")).alias("m")).select("pivot", "m.cls", "m.c", "m.pc")
+    a = materialize(_with_bounds(centres, bounds, "a_").drop("pc"), "centres")
+    pairs = _with_bounds(mixed, bounds, "b_").join(a, "pivot").where(_may_link(threshold))
+    return pairs.select(F.col("a_cls").alias("pivot"), F.col("b_cls").alias("member")).distinct()
+
+
+def _crossing_pairs(mixed: DataFrame, bounds: DataFrame, threshold: int) -> DataFrame:
+    """(pivot, member): pairs of one bucket in different components that no bound rules out."""
+    strays = _with_bounds(mixed.where("c <> pc"), bounds, "a_").select(F.col("pivot").alias("by"), *[F.col(f"a_{x}") for x in ("cls", "c", "s", *_BOUNDS)])
+    others = _with_bounds(mixed, bounds, "b_").select(F.col("pivot").alias("with"), "pc", *[F.col(f"b_{x}") for x in ("cls", "c", "s", *_BOUNDS)])
+    once = (F.col("b_c") == F.col("pc")) | (F.col("a_cls") < F.col("b_cls"))
+    pairs = strays.join(others, (F.col("by") == F.col("with")) & once & _may_link(threshold))
+    return pairs.select(F.col("a_cls").alias("pivot"), F.col("b_cls").alias("member")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -289,17 +315,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) ->
 
     stars = met.join(_as(sets, "b_", "cls"), "cls").join(_as(sets, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
     stars = materialize(stars.select("pivot", F.col("cls").alias("member")), "stars")
-    first = materialize(_confirmed(stars, sets, threshold), "links")
-    component = materialize(connected_components(first, "pivot", "member"), "components")
-    crossing = materialize(_second_pass(met, component, sets, threshold), "crossing")
-    if not crossing.isEmpty():
-        second = materialize(_confirmed(crossing, sets, threshold), "links")
-        component = materialize(connected_components(first.unionByName(second), "pivot", "member"), "components")
-
-    member = component.select(F.col("node").alias("cls"), "component")
-    labelled = classes.select("set_hash", "cls", "least_id").join(member, "cls", "left")
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("least_id").alias("of_component"))
-    labelled = labelled.join(least, "component", "left").select("set_hash", F.coalesce("of_component", "least_id").alias("least_id"))
+    links = materialize(_confirmed(stars, sets, threshold), "links")
+    component = materialize(connected_components(links, "pivot", "member"), "components")
+    mixed, bounds = _mixed(met, component), None
+    for pairs_of in (_centre_pairs, _crossing_pairs):
+        if mixed.isEmpty():
+            break
+        bounds = bounds or _bounds(mixed, sets, threshold)  # later buckets are among the first ones
+        pairs = materialize(pairs_of(mixed, bounds, threshold), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(_confirmed(pairs, sets, threshold))
+            links = materialize(links, "links")
+            component = materialize(connected_components(links, "pivot", "member"), "components")
+            mixed = _mixed(met, component) if pairs_of is _centre_pairs else mixed
+
+    least = classes.select(F.col("cls").alias("node"), "least_id").join(component, "node").groupBy("component").agg(F.min("least_id").alias("of_component"))
+    linked = component.join(materialize(least, "least"), "component").select(F.col("node").alias("cls"), "of_component")
+    labelled = classes.select("set_hash", "cls", "least_id").join(linked, "cls", "left")
+    labelled = labelled.select("set_hash", F.coalesce("of_component", "least_id").alias("least_id"))
     named = signed.join(labelled, "set_hash", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -41,3 +41,7 @@ class LinkUnresolved(KnowledgeError):
         warnings.warn("unresolved links are rows, not errors", DeprecationWarning, stacklevel=2)
         self.source_id, self.target = source_id, target
         super().__init__(f"cannot resolve link {target!r} from concept {source_id!r}")
+
+
+class StorageError(KnowledgeError):
+    """The session names no folder that all executors share."""

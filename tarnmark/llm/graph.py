@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmark.llm.common import materialize
+from tarnmark.storage import discard
 
 
 def _written(least: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tarnmark.llm.common import materialize, per_batch, text_or_empty, utf8
 from tarnmark.llm.graph import connected_components
+from tarnmark.storage import discard
 
 SLOTS, CHUNK = 60, 5
 #: Differing slots up to which a pair is always found: each of the 12 chunks has 2 at least beyond it.
@@ -324,11 +325,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) ->
         bounds = bounds or _bounds(mixed, sets, threshold)  # later buckets are among the first ones
         pairs = materialize(pairs_of(mixed, bounds, threshold), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(_confirmed(pairs, sets, threshold))
-            links = materialize(links, "links")
+            before, links = links, materialize(links.unionByName(_confirmed(pairs, sets, threshold)), "links")
+            discard(before, pairs)
             component = materialize(connected_components(links, "pivot", "member"), "components")
             mixed = _mixed(met, component) if pairs_of is _centre_pairs else mixed
 
+    discard(shared, met, sets, stars, mixed, bounds, links)
     least = classes.select(F.col("cls").alias("node"), "least_id").join(component, "node").groupBy("component").agg(F.min("least_id").alias("of_component"))
     linked = component.join(materialize(least, "least"), "component").select(F.col("node").alias("cls"), "of_component")
     labelled = classes.select("set_hash", "cls", "least_id").join(linked, "cls", "left")

@@ -276,6 +276,15 @@ def test_stages_keep_the_columns(spark, sf_dir):
             assert stage(spark, docs, sf_dir).columns == d.columns, name
 
 
+def test_stages_bear_any_columns(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = {c: packing.F.lit(k) for k, c in enumerate(("gone_id", "row_number", "row_gone", "component_id", "hit_id", "words", "cls", "id", "set_hash"))}
+    for docs in (d.withColumns(more), d.withColumns(more).union(d.withColumns(more).withColumn("doc_id", packing.F.lit(None).cast("long")))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, sf_dir)
+            assert got.columns == docs.columns and got.count() <= docs.count(), name
+
+
 def test_one_row_of_each_group_stays(spark):
     rng = random.Random(9)
     text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(80))

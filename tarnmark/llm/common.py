@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnmark.storage import fresh_path, materialize, shared_dir
 
-__all__ = ["fresh_path", "is_held_out", "materialize", "per_batch", "shared_dir", "table", "text_or_empty", "utf8"]
+__all__ = ["fresh_path", "is_held_out", "materialize", "per_batch", "shared_dir", "table", "tidy", "text_or_empty", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,24 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(kind), b"").to_pylist()
 
 
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that gives free memory back to the system when its task ends.
+
+    Workers live on for later tasks, and idle ones count against an executor's memory too.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> Callable:
     """A mapInArrow function from a factory; the factory runs once per task."""
 
@@ -44,4 +63,4 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
-    return run
+    return tidy(run)

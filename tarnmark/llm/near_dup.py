@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmark.llm.common import materialize, per_batch, text_or_empty, utf8
+from tarnmark.llm.common import materialize, per_batch, text_or_empty, tidy, utf8
 from tarnmark.llm.graph import connected_components
 from tarnmark.storage import discard
 
@@ -172,7 +172,7 @@ def exploded(sets: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield from step(batch)
 
-    return sets.select("cls", "shingles").mapInArrow(run, "cls long, h long")
+    return sets.select("cls", "shingles").mapInArrow(tidy(run), "cls long, h long")
 
 
 def unshared(sets: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["pivot", "member"])
 
     rows = pivots.unionByName(members).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(compare, "pivot long, member long")
+    return rows.mapInArrow(tidy(compare), "pivot long, member long")
 
 
 def _mixed(met: DataFrame, component: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmark.llm.common import materialize, text_or_empty, utf8
+from tarnmark.llm.common import materialize, text_or_empty, tidy, utf8
 from tarnmark.llm.tokens import WordEncoder, public_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local_rank long"
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -
                         [pa.array(x, pa.int64()) for x in zip(*rows)], names=[x.split()[0] for x in PIECES.split(", ")]
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 1024, end_id: int = 0) -> DataFrame:

@@ -19,8 +19,6 @@ label row of an id counts; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,31 +79,17 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """label -> (count, mean, covariance) of rows (label, x); sums per task, then sums of sums."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            labels, x = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist())
-            for label in set(labels.tolist()):
-                own = np.hstack([np.ones((int((labels == label).sum()), 1)), x[labels == label]])
-                sums[label] = sums.get(label, 0) + own.T @ own
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], names=["label", "s"]
-            )
-
-    total = labelled.mapInArrow(add, "label int, s array<double>").select("label", F.posexplode("s")).groupBy("label", "pos").agg(F.sum("col").alias("v"))
-    d, out = N_FEATURES + 1, {}
-    rows = total.collect()  # labels x (features + 1)^2 numbers
-    for label in {r.label for r in rows}:
-        s = np.zeros(d * d)
-        for r in rows:
-            if r.label == label:
-                s[r.pos] = r.v
-        s = s.reshape(d, d)
+    """label -> (count, mean, covariance) of rows (label, x); one aggregate of sums of products for each label."""
+    d = N_FEATURES
+    x = [F.lit(1.0), *(F.col("x")[k] for k in range(d))]
+    cells = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    out = {}
+    for r in labelled.groupBy("label").agg(F.array(*[F.sum(x[i] * x[j]) for i, j in cells]).alias("sums")).collect():  # a row a label
+        s = np.zeros((d + 1, d + 1))
+        for (i, j), v in zip(cells, r.sums):
+            s[i, j] = s[j, i] = v
         mean = s[0, 1:] / s[0, 0]
-        out[label] = (s[0, 0], mean, s[1:, 1:] / s[0, 0] - np.outer(mean, mean))
+        out[r.label] = (s[0, 0], mean, s[1:, 1:] / s[0, 0] - np.outer(mean, mean))
     return out
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmark.llm.common import fresh_path, materialize, text_or_empty, utf8
+from tarnmark.llm.common import fresh_path, materialize, text_or_empty, tidy, utf8
 
 #: Words kept by one worker, and the first learned, mostly common ones, that stay when the rest goes (at most 300 bytes each).
 MEMO_WORDS, CORE_WORDS = 250_000, 125_000
@@ -70,6 +70,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, keeps_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -211,7 +212,7 @@ def write_token_files(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = materialize(ordered.mapInArrow(shard, "shard long, file string, n_docs long, n_tokens long, unsigned_bits int"), "manifest")
+    written = materialize(ordered.mapInArrow(tidy(shard), "shard long, file string, n_docs long, n_tokens long, unsigned_bits int"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return written.select(
         "*",
@@ -283,7 +284,7 @@ def read_token_files(manifest: DataFrame, *, with_tokens: bool = False) -> DataF
                     yield pa.RecordBatch.from_pydict(out)
 
     spread = manifest.select("path", "file", "unsigned_bits", "token_base").repartition(max(1, manifest.count()))
-    return spread.mapInArrow(read, schema)
+    return spread.mapInArrow(tidy(read), schema)
 
 
 def public_path(name: str) -> str:

@@ -269,6 +269,29 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert got == sizes
 
 
+def test_statistics_and_moments_against_plain_sums(spark):
+    rng = random.Random(8)
+    texts = [None, "", "A b, c!\nA b\n\n9 | é", *("".join(rng.choice("ab Z9.,|é\n$") for _ in range(rng.randint(1, 300))) for _ in range(40)), "word " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: np.array(r.x) for r in quality.features(df).collect()}
+    logit = lambda p: np.log((p + 0.002) / (1.002 - p))
+    classes = [str.islower, str.isupper, str.isdigit, lambda c: c in " \t\n\r\f\v", lambda c: c in ".,;:?'\"()-", lambda c: c in "#$%&*@^~+=_`\\/<>{}[]", lambda c: c in "|!"]
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        shares = [sum(1 for b in raw if b < 128 and f(chr(b))) for f in classes] + [sum(1 for b in raw if b > 127)]
+        usual = [0.77, 0.02, 0.005, 0.16, 0.02, 0.005, 0.005, 0.015]
+        want = [logit((n + 40 * u) / (len(raw) + 40)) for n, u in zip(shares, usual)]
+        w, lines = raw.split(), raw.split(b"\n")
+        want += [np.log(1 + len(w)), np.log((len(raw) - len(w) + 200) / (len(w) + 40)), logit((len(set(w)) + 40) / (len(w) + 40)), logit((len(set(lines)) + 5) / (len(lines) + 5)), np.log((len(w) + 40) / (len(lines) + 2))]
+        assert np.allclose(got[i], want), i
+    labels = spark.createDataFrame([(i, i % 2) for i in got], "doc_id long, label int")
+    seen = quality.moments(labels.join(quality.features(df), "doc_id").select("label", "x"))
+    for label in (0, 1):
+        x = np.array([got[i] for i in sorted(got) if i % 2 == label])
+        n, mean, cov = seen[label]
+        assert n == len(x) and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True), atol=1e-8)
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for docs in (d.limit(0), d.where("doc_id < 3").withColumn("text", packing.F.lit(None).cast("string"))):

@@ -3,17 +3,20 @@
 A window is ``window`` consecutive words of an item (all of a shorter item). A
 document contains a window if all its words stand there in order, so the
 overlap asked for is the whole window and one necessary token is a prefix long
-enough: of the window's word shingles the rarest in the corpus, counted over
-all documents. Documents' shingles are looked up among the shingles of all
-windows while the words are exploded (nothing else leaves that stage), postings
-of rare shingles are joined with the windows that have them as prefix, the
-offset within the window bounds position and length, and the words around the
-posting verify the whole window exactly.
+enough: of the window's word shingles the rarest in the corpus. The first pass
+over the documents counts the shingles of all windows; nothing but sums leaves
+it. The second looks for the prefix shingles only (one a window, and none of
+windows of which some shingle occurs nowhere). The offset within the window
+bounds position and length there, and the words around it verify the whole
+window exactly. Items are attached to documents as sets of items, once for each
+document and set.
+
+Broadcasts are checked by rows and bytes; what is larger is joined by shuffle.
 
 Defined results: null, empty and wordless texts have no words and no hits;
 items without words have no windows; items with equal text are all reported;
-rows that repeat an id are each returned, with the hits of that id; an empty
-benchmark hits nothing; other columns are ignored.
+rows that repeat an id are each returned, each with the hits of its own text; an
+empty benchmark hits nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from tarnmark.llm.common import materialize, text_or_empty
 #: ASCII letters that fold, and what separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to which their shingles are broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Rows and bytes up to which a table is broadcast (rows take about 60 bytes beside their strings).
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -37,14 +40,14 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(win, size, items): each distinct window, its words joined by spaces, with all item ids as strings."""
+    """(win, size, items): each distinct window, its words joined by spaces, with all item ids as sorted strings."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_or_empty()).alias("words"))
     items = items.where("size(words) > 0").withColumn("size", F.least(F.size("words"), F.lit(window)))
     starts = items.select("item_id", "size", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
     return (
         starts.select("item_id", "size", F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ").alias("win"))
         .groupBy("win", "size")
-        .agg(F.collect_set("item_id").alias("items"))
+        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
 
 
@@ -53,19 +56,27 @@ def _hash_at(words: str, at: str | Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *[F.get(F.col(words), at + k) for k in range(width)])
 
 
-def _postings(docs: DataFrame, shingles: DataFrame, width: int, window: int, small: bool) -> DataFrame:
-    """Where documents have a shingle of a window: (doc_id, at, h, first, near), near the words around it."""
-    here = (
-        docs.where(F.size("words") >= width)
-        .select("doc_id", "words", F.posexplode("words").alias("at", "_"))
-        .where(F.col("at") <= F.size("words") - width)
-        .withColumn("h", _hash_at("words", "at", width))
-    )
-    wanted = shingles.where(F.col("width") == width).select("h").distinct()
+def _hint(table: DataFrame, text: Column | None = None):
+    """broadcast if the table is within the bounds, else nothing."""
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)) if text is not None else F.lit(0), F.lit(0))).first()
+    return F.broadcast if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else (lambda df: df)
+
+
+def _shingled(docs: DataFrame, width: int) -> DataFrame:
+    """(id, copy, words, at, h): every shingle of the documents."""
+    rows = docs.where(F.size("words") >= width).select("id", "copy", "words", F.posexplode("words").alias("at", "_"))
+    return rows.where(F.col("at") <= F.size("words") - width).withColumn("h", _hash_at("words", "at", width))
+
+
+def _found(docs: DataFrame, prefix: DataFrame, width: int, window: int, hint) -> DataFrame:
+    """(id, copy, start, size, set_id): where documents have a window, by its prefix shingle."""
     first = F.greatest(F.lit(0), F.col("at") - (window - width))
     near = F.slice("words", first + 1, F.col("at") + window - first)
-    here = here.select("doc_id", "at", "h", first.alias("first"), near.alias("near"))
-    return here.join(F.broadcast(wanted) if small else wanted, "h")
+    here = _shingled(docs, width).select("id", "copy", "at", "h", first.alias("first"), near.alias("near"))
+    start = F.col("at") - F.col("offset")
+    within = (start >= 0) & (start - F.col("first") + F.col("size") <= F.size("near"))
+    equal = F.array_join(F.slice("near", start - F.col("first") + 1, F.col("size")), " ") == F.col("win")
+    return here.join(hint(prefix.where(F.col("width") == width)), "h").where(within).where(equal).select("id", "copy", start.alias("start"), "size", "set_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 5) -> DataFrame:
@@ -74,31 +85,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
     ``hits`` lists the spans of words (start, size), sorted; null without any.
     """
     windows = materialize(benchmark_windows(benchmark, window), "windows")
-    n_windows, widths = windows.count(), [r[0] for r in windows.select(F.least("size", F.lit(shingle))).distinct().collect()]
-    small = n_windows <= BROADCAST_WINDOWS
-    hint = F.broadcast if small else (lambda df: df)
-
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_or_empty()).alias("words"))
-    parts = windows.select("win", "size", F.split("win", " ").alias("w"), F.least("size", F.lit(shingle)).alias("width"))
-    parts = parts.select("win", "size", "width", "w", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("offset"))
+    sets = materialize(windows.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()), "items")
+    windows = windows.join(sets, "items").select("win", "size", "set_id", F.least("size", F.lit(shingle)).alias("width"))
+    parts = windows.withColumn("w", F.split("win", " ")).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))))
     by_width = reduce(lambda e, k: F.when(F.col("width") == k, _hash_at("w", "offset", k)).otherwise(e), range(1, shingle + 1), F.lit(0).cast("long"))
-    shingles = materialize(parts.select("win", "size", "width", "offset", by_width.alias("h")), "shingles")
+    shingles = materialize(parts.select("win", "size", "set_id", "width", "offset", by_width.alias("h")), "shingles")
+    widths = sorted(r[0] for r in shingles.select("width").distinct().collect())  # ``shingle`` rows at most
 
-    counted = words.select("doc_id", F.size("words").cast("long").alias("n_words"))
+    words = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("copy"), words_of(text_or_empty()).alias("words"))
+    counted = words.select(F.col("id").alias("doc_id"), F.col("copy").alias("own"), F.size("words").cast("long").alias("n_words"))
     if widths:
-        postings = materialize(reduce(DataFrame.unionByName, [_postings(words, shingles, k, window, small) for k in sorted(widths)]), "postings")
-        rarity = postings.groupBy("h").agg(F.count("*").alias("n"))
+        wanted = materialize(shingles.select("width", "h").distinct(), "wanted")
+        hint = _hint(wanted)
+        seen = [_shingled(words, k).select("h").join(hint(wanted.where(F.col("width") == k).select("h")), "h") for k in widths]
+        rarity = reduce(DataFrame.unionByName, seen).groupBy("h").agg(F.count("*").alias("n"))
         rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "h")).alias("p")
-        prefix = shingles.join(rarity, "h", "left").groupBy("win", "size").agg(rarest).where("p.n > 0")
-        prefix = prefix.select("win", "size", F.col("p.offset").alias("offset"), F.col("p.h").alias("h"))
-        start = F.col("at") - F.col("offset")
-        candidates = postings.join(hint(prefix), "h").where((start >= 0) & (start - F.col("first") + F.col("size") <= F.size("near")))
-        found = candidates.where(F.array_join(F.slice("near", start - F.col("first") + 1, F.col("size")), " ") == F.col("win"))
-        found = found.select("doc_id", start.alias("start"), "size", "win").join(hint(windows.select("win", "items")), "win")
-        hits = found.groupBy("doc_id").agg(
-            F.sort_array(F.collect_set(F.struct("start", "size"))).alias("hits"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+        prefix = shingles.join(rarity, "h", "left").groupBy("win", "size", "set_id", "width").agg(rarest).where("p.n > 0")
+        prefix = materialize(prefix.select("win", "size", "set_id", "width", "p.offset", "p.h"), "prefix")
+        hint = _hint(prefix, F.col("win"))
+        found = materialize(reduce(DataFrame.unionByName, [_found(words, prefix, k, window, hint) for k in widths]), "found")
+        spans = found.groupBy("id", "copy").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("hits"))
+        named = found.select("id", "copy", "set_id").distinct().join(_hint(sets, F.concat_ws(" ", "items"))(sets), "set_id")
+        named = named.groupBy("id", "copy").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         # spans come by start: each adds what reaches beyond the end so far
         covered = F.aggregate(
             "hits",
@@ -109,8 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
             ),
             lambda s: s["n"],
         )
-        hits = hits.select(F.col("doc_id").alias("hit_id"), "hits", "items", covered.cast("long").alias("n_hit"))
-        counted = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+        same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["copy"] == b["copy"])
+        hits = spans.join(named, same(spans, named)).select(spans["id"], spans["copy"], "hits", "items", covered.cast("long").alias("n_hit"))
+        counted = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("copy")), "left")
     else:
         counted = counted.withColumns({"n_hit": F.lit(0), "hits": F.lit(None).cast("array<struct<start:int,size:int>>"), "items": F.lit(None).cast("array<string>")})
     items = F.coalesce("items", F.array().cast("array<string>"))

@@ -116,7 +116,7 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1} | {k: 4 for k in range(4, 10)} | {100 + k: 100 for k in range(40)}
 
 
-def test_contamination_against_brute_force(spark):
+def test_contamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = ["a", "b", "c", "é", "the"]
     text = lambda n: rng.choice([" ", ", "]).join(rng.choice(vocabulary) for _ in range(n))
@@ -139,6 +139,14 @@ def test_contamination_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, words string, h int").repartition(2)
     bench = spark.createDataFrame(items, "item_id string, text string")
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(df, bench).collect()} == want
+    odd = spark.createDataFrame([(1, texts[-1]), (1, texts[-1]), (1, "clean words"), (None, texts[-2]), (None, None)], "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.contamination(odd, bench).collect())
+    n = len(texts)
+    assert got == sorted([(1, *want[n - 1][:2])] * 2 + [(1, 2, 0), (0, *want[n - 2][:2]), (0, 0, 0)])
+    long = spark.createDataFrame([(1, "zz " * 30_000 + items[5][1] + " yy" * 30_000)], "doc_id long, text string")
+    assert decontaminate.contamination(long, bench).first().n_hit >= 15
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(df, bench).collect()} == want
     clean = decontaminate.contamination(df, bench.limit(0)).collect()
     assert len(clean) == len(texts) and not any(r.contaminated for r in clean)
     assert decontaminate.contamination(df.limit(0), bench).count() == 0

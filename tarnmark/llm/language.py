@@ -8,9 +8,12 @@ cosine. Distance-based rejection: a text farther from its centroid than nearly
 all sample texts of that language is marked ``rejected`` (its nearest language
 stays in ``lang_pred``).
 
-Learning uses a bounded sample, ``sample_rows`` labelled rows at most, split
-evenly over languages and picked by a hash of the id; document frequencies come
-from that sample. Prediction reads the whole text and nothing else.
+Learning uses a bounded sample, ``sample_rows`` labelled rows (or LEAST_ROWS a
+language, if that is more), split evenly over languages. A language is counted
+first; rows whose hash of id and text lies below the share that its count leaves
+are taken where they lie, the share being five deviations short of the bound.
+Document frequencies come from that sample. Prediction reads the whole text and
+nothing else.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0.0; so is everything if no labelled row can be learned from; equal cosines go
@@ -24,7 +27,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnmark.llm.common import is_held_out, per_batch, text_or_empty
@@ -32,6 +35,8 @@ from tarnmark.llm.common import is_held_out, per_batch, text_or_empty
 BUCKETS = 4096
 SAMPLE_ROWS = 2400
 CLUSTERS = 4
+#: Rows that a language may have in the sample however many languages there are; languages up to which their shares are broadcast.
+LEAST_ROWS, BROADCAST_LANGUAGES = 36, 100_000
 #: Vectors made at once; bounds a worker's memory.
 ROWS_AT_ONCE = 256
 
@@ -119,12 +124,16 @@ class NearestCentroid:
 def learn(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS) -> NearestCentroid | None:
     """Fit on a bounded sample of labelled rows that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
-    n_langs = usable.select("lang").distinct().count()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    n_langs = counts.count()
     if not n_langs:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, sample_rows // n_langs))
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # sample_rows at most
+    quota = max(LEAST_ROWS, sample_rows // n_langs)
+    share = F.when(F.col("rows") <= quota, 1.0).otherwise((quota - 5 * quota**0.5) / F.col("rows"))
+    shares = counts.select("lang", (share * float(1 << 40)).alias("below"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40))
+    sample = usable.select("lang", "doc_id", "text").join(F.broadcast(shares) if n_langs <= BROADCAST_LANGUAGES else shares, "lang")
+    sample = sample.where(drawn < F.col("below")).select("lang", "doc_id", "text").distinct()  # repeated rows count once
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,7 +143,7 @@ def learn(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, clusters: int = CL
 
         return step
 
-    rows = sample.select("lang", "text").mapInArrow(per_batch(make), "lang string, counts binary").limit(4 * sample_rows).collect()
+    rows = sample.select("lang", "text").mapInArrow(per_batch(make), "lang string, counts binary").collect()  # the sample
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.counts)))

@@ -216,6 +216,61 @@ def test_language(spark, sf_dir):
     assert language.identify(odd, None).where("lang_pred <> 'und' or score <> 0").count() == 0
 
 
+def slow_ngrams(text):
+    """Counts of hashed n-grams, one letter at a time."""
+    x = [32]
+    for c in text.lower():
+        if c.isalpha():
+            x.append(ord(c))
+        elif x[-1] != 32:
+            x.append(32)
+    x += [32] * (x[-1] != 32)
+    out = [0] * language.BUCKETS
+    for i, c in enumerate(x):
+        one = c * 2654435761 % 2**32
+        if c != 32:
+            out[one >> 20] += 1
+        if i + 1 < len(x):
+            two = ((one ^ 0x9E3779B9) * 2246822519 + x[i + 1]) % 2**32 * 3266489917 % 2**32
+            out[two >> 20] += 1
+        if i + 2 < len(x):
+            three = ((two ^ (two >> 15)) * 2246822519 + x[i + 2]) % 2**32 * 668265263 % 2**32
+            out[three >> 20] += 1
+    return out
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learn(d, sample_rows=150)
+    texts = [r.text for r in d.where("text is not null").limit(30).collect()] + ["Ein ÖLMÜHLE-Test, ja!", "x", "a b", "der die das " * 20_000]
+    rows = [(i, t, "q", 0.5) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double").repartition(3)
+    got = language.identify(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        x = [np.log(1 + n) * w for n, w in zip(slow_ngrams(texts[r.doc_id]), model.idf.tolist())]
+        size = sum(v * v for v in x) ** 0.5
+        cosines = [sum(v * c for v, c in zip(x, row)) / size for row in model.centroids.tolist()]
+        assert abs(r.score - max(cosines)) < 1e-4
+        assert r.lang_pred in {model.langs[j] for j, c in enumerate(cosines) if c > max(cosines) - 1e-5}
+    assert language.identify(df.limit(0), model).count() == 0
+    tied = language.NearestCentroid.__new__(language.NearestCentroid)
+    tied.idf, tied.langs, tied.reach, tied.centroids = model.idf, ["a", "b"], [1.0, 1.0], np.vstack([model.centroids[:1]] * 2)
+    assert {r.lang_pred for r in language.identify(df.limit(3), tied).collect()} == {"a"}
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i} ab" if i % 3 else "same text", "x" if i % 10 else "y") for i in range(5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    keep, language.NearestCentroid = language.NearestCentroid, lambda counts, langs, **k: seen.extend(langs)
+    try:
+        language.learn(d, sample_rows=400)
+    finally:
+        language.NearestCentroid = keep
+    assert 60 < seen.count("x") <= 200 and 60 < seen.count("y") <= 200
+
+
 def test_quality(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

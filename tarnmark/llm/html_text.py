@@ -6,13 +6,19 @@ characters and link tags below it:
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 (C characters, T tags, LC and LT those of links, Cb and LCb of the body; a zero
-denominator counts as one). A node's density sum is the sum of its children's
-densities. The subtree with the largest sum is the text; the least density on
-its path to the body is a threshold, and it takes in its neighbours along that
-path that reach it, and all of the nearest article or main element around it;
-an article inside it never stands for the whole. What is never part of an
-article (menus, forms, scripts, adverts and so on, by element, role or class)
-is cut before densities are computed, unless it encloses an article.
+denominator counts as one). A node's density sum is the sum of its child elements' densities. The subtree
+with the largest sum is the text; the least density on its path to the body is a
+threshold, and it takes in its neighbours along that path that reach it, and all
+of the nearest article or main element around it; an article inside it never
+stands for the whole.
+
+What is never part of an article by its element, ARIA role or visibility (menus,
+forms, scripts and so on) is cut before densities are computed; so is an element
+whose class or id is, as a whole word or with words of place and shape only, one
+of MARKS (adverts, notices, reader comments). Neither holds for an element that
+encloses an article, nor for a form around more than half of the page; buttons
+and labels inside a sentence are text; and if nothing would be left, classes
+count for nothing.
 
 Defined results: null or empty html, and pages without text, give an empty
 text; broken markup is read to the end, an odd declaration as a comment; equal
@@ -45,13 +51,19 @@ NEVER_TEXT = set(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label math menu nav noscript "
     "object option script select style svg template textarea title video".split()
 )
+#: Within these, buttons and labels are words of a sentence.
+SENTENCES = set("p li dd td th blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in class or id that mark what surrounds an article.
+#: Class or id words of what surrounds an article, and words that may stand beside them.
 MARKS = set(
     "ad ads advert adverts advertisement adsense adbox banner breadcrumb breadcrumbs comment comments commentlist consent "
-    "cookie cookies copyright disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices notification pager pagination popup promo promotion recommended related reply replies respond share "
-    "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "cookie cookies copyright discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation "
+    "newsletter notice notices notification pager pagination popup promo promotion recommended related reply replies respond "
+    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+)
+BESIDE = set(
+    "area bar block bottom box buttons container content footer form global group header inner item items left links list main "
+    "outer page posts primary reader readers right row secondary section site slot stories thread top unit user wrap wrapper".split()
 )
 _PARTS = re.compile(r"[a-z]+")
 _SIBLINGS = {
@@ -66,7 +78,7 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.cut, self.items = ["html"], [-1], [False], []
+        self.tags, self.parents, self.cut, self.marked, self.items = ["html"], [-1], [False], [False], []
         self.open, self.depth = [0], Counter()  # open nodes, and how many of them have a name
 
     def _close(self, depth: int) -> None:
@@ -93,6 +105,7 @@ class _Tree(HTMLParser):
         self.tags.append(tag)
         self.parents.append(self.open[-1])
         self.cut.append(self._is_cut(tag, attrs))
+        self.marked.append(self._is_marked(tag, attrs))
         self.items.append((node, None))
         if tag not in VOID:
             self.open.append(node)
@@ -117,27 +130,33 @@ class _Tree(HTMLParser):
         """A '<![...' is a comment up to its '>', as in browsers."""
         return self.rawdata.find(">", i + 3) + 1 or -1
 
+    def _in_article(self) -> bool:
+        return self.depth["article"] + self.depth["main"] > 0
+
     def _is_cut(self, tag: str, attrs: list) -> bool:
         if tag in NEVER_TEXT:
-            return True
-        in_article = self.depth["article"] + self.depth["main"] > 0
-        if tag == "header" and not in_article:
+            return tag not in ("button", "label") or not any(self.depth[x] for x in SENTENCES)
+        if tag == "header" and not self._in_article():
             return True
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value and value.lower() in ROLES):
                 return True
-            if not value or tag in ("html", "body", "article", "main"):
-                continue
-            if name == "role" and value.lower() in ROLES:
-                return True
-            if name in ("class", "id"):
-                found = MARKS & set(_PARTS.findall(value.lower()))
-                if found and not (in_article and found <= {"header"}):
-                    return True
-            if name == "style" and "display:none" in value.lower().replace(" ", ""):
+            if name == "style" and value and "display:none" in value.lower().replace(" ", ""):
                 return True
         return False
 
+    def _is_marked(self, tag: str, attrs: list) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return False
+        for name, value in attrs:
+            if value and name in ("class", "id"):
+                for word in value.lower().split():
+                    parts = set(_PARTS.findall(word))
+                    marks = parts & MARKS
+                    if marks and parts <= MARKS | BESIDE and not (self._in_article() and marks == {"header"}):
+                        return True
+        return False
+
 
 def _density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> float:
     if not c:
@@ -156,13 +175,25 @@ def main_text(html: str | None) -> str:
     tree.close()
     tags, parents, n = tree.tags, tree.parents, len(tree.tags)
 
-    encloses = [False] * n  # an article or main element
+    encloses, held = [False] * n, [0] * n  # an article or main element; characters
+    for i, text in tree.items:
+        if text and tags[i] not in ("script", "style"):
+            held[i] += len(text.strip())
     for i in range(n - 1, 0, -1):
+        held[parents[i]] += held[i]
         if tags[i] in ("article", "main") or encloses[i]:
             encloses[parents[i]] = True
-    cut = [False] * n
-    for i in range(1, n):
-        cut[i] = cut[parents[i]] or (tree.cut[i] and not encloses[i])
+
+    def cut_by(classes: bool) -> list[bool]:
+        out = [False] * n
+        for i in range(1, n):
+            own = tree.cut[i] and not (tags[i] == "form" and 2 * held[i] > held[0])
+            out[i] = out[parents[i]] or ((own or (classes and tree.marked[i])) and not encloses[i])
+        return out
+
+    cut = cut_by(True)
+    if not any(text and not cut[i] and not text.isspace() for i, text in tree.items):
+        cut = cut_by(False)
 
     chars, link_chars, count, links, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
@@ -185,7 +216,7 @@ def main_text(html: str | None) -> str:
     density = [_density(chars[i], count[i], link_chars[i], links[i], chars[body], link_chars[body]) for i in range(n)]
     sums = [0.0] * n
     for i in range(1, n):
-        if not cut[i] and tags[i] in BLOCKS:
+        if not cut[i]:
             sums[parents[i]] += density[i]
     inside = [i == body for i in range(n)]
     for i in range(body + 1, n):

@@ -312,6 +312,74 @@ def test_an_article_inside_the_text_does_not_replace_it():
     assert got.split("\n") == [*paragraphs, beside]
 
 
+def test_words_of_classes_do_not_take_the_text():
+    body = "<h1>Title</h1><p>The first paragraph of the page, of some length.</p><p>The second paragraph of the page, of some length.</p>"
+    want = ["Title", "The first paragraph of the page, of some length.", "The second paragraph of the page, of some length."]
+    for page in (
+        f'<div class="layout with-sidebar"><div id="content">{body}</div><div class="sidebar">side</div></div>',
+        f'<div class="page no-ads">{body}</div>',
+        f'<form id="aspnetForm"><nav>menu</nav><div>{body}</div></form>',
+        f'<div class="notice">{body}</div>',
+        f'<div><div>{body}</div><div class="discussion"><p>{"A reader says much more than the page does. " * 9}</p></div></div>',
+        f'<div><div>{body}</div><ul class="comment-list"><li>{"A reader says much more than the page does. " * 9}</li></ul><div id="site-footer">foot</div></div>',
+    ):
+        assert html_text.main_text(f"<body>{page}</body>").split("\n") == want
+    inside = '<article><h1>Title</h1><p class="share-price">The share price rose by nine percent.</p><p>Press <button>Save</button> or the <label>name</label> field.</p></article>'
+    assert html_text.main_text(inside).split("\n") == ["Title", "The share price rose by nine percent.", "Press Save or the name field."]
+
+
+def test_density_sums_against_brute_force():
+    """Random trees: the subtree of the largest sum of densities, and what the threshold takes in."""
+    import math
+    from xml.etree import ElementTree
+
+    rng = random.Random(21)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{'w' * rng.randint(1, 80)}{f'<a>{chr(108) * rng.randint(1, 30)}</a>' if rng.random() < 0.4 else ''}</p>"
+        return "<div>" + "".join(grow(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    def measure(node):
+        size, links = len("".join(node.itertext())), [a for a in node.iter("a") if a is not node]
+        return size, sum(1 for _ in node.iter()) - 1, size if node.tag == "a" else sum(len("".join(a.itertext())) for a in links), len(links)
+
+    for _ in range(300):
+        page = "<body>" + "".join(grow(3) for _ in range(rng.randint(1, 4))) + "</body>"
+        body = ElementTree.fromstring(page)
+        total, _, total_links, _ = measure(body)
+
+        def density(node):
+            c, t, lc, lt = measure(node)
+            base = math.log(c / max(1, c - lc) * lc + total_links / total * c + math.e)
+            inner = c / max(1, lc) * t / max(1, lt)
+            return 0.0 if not c or inner <= 1 else c / max(1, t) * (math.log(inner) / math.log(base) if base > 1 else math.log(inner))
+
+        nodes = list(body.iter())
+        parent = {child: node for node in nodes for child in node}
+        sums = [sum(map(density, node)) for node in nodes]
+        best = nodes[sums.index(max(sums))]
+        path = [best]
+        while path[-1] is not body:
+            path.append(parent[path[-1]])
+        least = min(map(density, path))
+        roots = [best] + [x for node in path[1:] for x in node if x not in path and x.tag != "a" and density(x) >= least > 0]
+        kept = {x for root in roots for x in root.iter()}
+        want = ["".join(x.itertext()) for x in nodes if x.tag == "p" and x in kept]
+        assert html_text.main_text(page).split("\n") == (want if any(want) else [""]), page
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "<p>the text of a deep page</p>" + "</div>" * 3000
+    assert html_text.main_text(f"<body>{deep}</body>") == "the text of a deep page"
+    long = [f"paragraph {i} of a very long page with a number of words" for i in range(20_000)]
+    assert html_text.main_text("<body><div>" + "".join(f"<p>{x}</p>" for x in long) + "</div></body>").split("\n") == long
+    one = "word " * 400_000
+    assert html_text.main_text(f"<body><p>{one}</p></body>") == one.strip()
+    twin = "<div><p>one two three</p><p>one two three</p></div>"
+    assert html_text.main_text(f"<body><section>{twin}</section><section>{twin}</section></body>").startswith("one two three\none two three")
+
+
 def test_text_after_an_odd_declaration_stays():
     for odd in ("<![foo[x]]>", "<![>", "<![ 1>", "<![CDATA[x>", "<![if gt IE 8>", "<![CDATA[x]]>", "<![endif]>", "<!foo>", "<!>"):
         assert html_text.main_text(f"<p>a</p>{odd}<p>b</p>") == "a\nb"

@@ -18,7 +18,9 @@ so equal bytes give equal pixels on every machine.
 
 Defined results: null and empty texts have a payload of 64 zero bytes; repeated
 rows are stored each; other columns are ignored. A stream that is not
-progressive JPEG raises ValueError.
+progressive JPEG, or is broken or cut off anywhere, raises ValueError with the
+reason; ``tensors`` gives such a row nulls and the reason instead. Pictures that
+stop after some of their scans, but with an end marker, are whole.
 """
 
 from __future__ import annotations
@@ -75,7 +77,11 @@ def huffman_table(lengths: dict[int, int]) -> tuple[bytes, dict[int, tuple[int,
 def _lookup(body: bytes) -> np.ndarray:
     """For each 16 bits ahead: code length * 256 + symbol; 0 where there is no code."""
     table, code, at = np.zeros(65536, dtype=np.int64), 0, 16
+    if len(body) < 16 or len(body) < 16 + sum(body[:16]):
+        raise ValueError("code table cut off")
     for n in range(1, 17):
+        if code + body[n - 1] > 1 << n:
+            raise ValueError("more codes than their lengths allow")
         for _ in range(body[n - 1]):
             table[code << (16 - n) : (code + 1) << (16 - n)] = n * 256 + body[at]
             code, at = code + 1, at + 1
@@ -237,8 +243,14 @@ class _Image:
     """Frame, tables and scans of one stream; component arrays of blocks in raster order, padded to whole units."""
 
     def __init__(self, data: bytes):
+        try:
+            self._read(data)
+        except (struct.error, IndexError, StopIteration, KeyError, TypeError, ZeroDivisionError) as e:
+            raise ValueError(f"broken segment: {type(e).__name__}") from None
+
+    def _read(self, data: bytes) -> None:
         self.data, self.scans, self.quantisers, self.payload_blocks = data, [], {}, None
-        tables, restart, at = {}, 0, 2
+        tables, restart, at, ended = {}, 0, 2, False
         self.components: list[dict] = []
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG stream")
@@ -250,9 +262,12 @@ class _Image:
                 at += 1
                 continue
             if marker == 0xD9:
+                ended = True
                 break
             size = struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
+            if len(body) != size - 2:
+                raise ValueError("segment cut off")
             at += 2 + size
             if marker == 0xFE and (m := re.fullmatch(rb"payload-blocks=(\d+)", body)):
                 self.payload_blocks = int(m[1])
@@ -280,20 +295,32 @@ class _Image:
                 chosen = [(next(i for i, c in enumerate(self.components) if c["id"] == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(n)]
                 ss, se, approx = body[1 + 2 * n : 4 + 2 * n]
                 end = m.start() if (m := _SCAN_END.search(data, at)) else len(data)
+                if not 0 <= ss <= se < 64 or (ss and n != 1) or (approx >> 4 and approx >> 4 != (approx & 15) + 1):
+                    raise ValueError("no progressive scan")
                 need = tuple(tables.get(t >> 4) if ss == 0 else tables.get(16 + (t & 15)) for _, t in chosen)
+                if None in need and (ss or not approx >> 4):
+                    raise ValueError("a scan without its table")
                 self.scans.append((tuple(c for c, _ in chosen), ss, se, approx >> 4, approx & 15, need, restart, (at, end)))
                 at = end
         if not self.components:
             raise ValueError("no progressive frame")
+        if not ended:
+            raise ValueError("no end marker")
+        if any(c["q"] not in self.quantisers or len(self.quantisers[c["q"]]) != 64 for c in self.components):
+            raise ValueError("a component without its quantiser")
 
     def _frame(self, body: bytes) -> None:
         _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
         parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+        if n not in (1, 3) or not self.width * self.height or not all(1 <= p[k] <= 4 for p in parts for k in (1, 2)):
+            raise ValueError("no frame of one or three components")
         self.h, self.v = max(p[1] for p in parts), max(p[2] for p in parts)
         self.columns, self.rows = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
         for name, h, v, q in parts:
             across, down = -(-(-(-self.width * h // self.h)) // 8), -(-(-(-self.height * v // self.v)) // 8)
             self.components.append({"id": name, "h": h, "v": v, "q": q, "wide": self.columns * h, "high": self.rows * v, "across": across, "down": down})
+        if sum(c["wide"] * c["high"] for c in self.components) > 8 * len(self.data):  # each block has a code
+            raise ValueError("more blocks than bits")
 
     def block_order(self, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
         """(component, block) of a scan's blocks in order, and blocks for each unit that restarts count."""
@@ -360,6 +387,8 @@ def _dc_scan(bits: _Bits, coefficients, place, first, count, component, tables,
                 own = comp == c
                 entry[own] = _lookup(table)[word[own] >> 16]
             n, size = entry >> 8, entry & 255
+            if not entry.all() or size.max() > 16 or (n + size).max() > 32:
+                raise ValueError("unknown code")
             diff = _extend((word >> (32 - n - size)) & ((1 << size) - 1), size)
             value = predicted[live, comp] + diff
             predicted[live, comp] = value
@@ -378,10 +407,14 @@ def _ac_first(bits: _Bits, coefficients, place, first, count, table: bytes, ss:
     while len(live):
         word = bits.peek(live)
         entry = lookup[word >> 16]
+        if not entry.all():
+            raise ValueError("unknown code")
         n, run, size = entry >> 8, (entry >> 4) & 15, entry & 15
         at = k[live] + run
         extra = (word >> (32 - n - size)) & ((1 << size) - 1)
-        some = (size > 0) & (at <= se)
+        if ((size > 0) & (at > se)).any():
+            raise ValueError("a coefficient beyond its band")
+        some = size > 0
         hit = live[some]
         flat[place[block[hit]] * 64 + at[some]] = _extend(extra[some], size[some]) << al
         used, following = n + size, at + 1
@@ -396,12 +429,12 @@ def _ac_first(bits: _Bits, coefficients, place, first, count, table: bytes, ss:
         over = following > se
         k[live] = np.where(over, ss, following)
         block[live] += over
-        if over.any() or not entry.all():
-            live = live[(block[live] < last[live]) & (entry > 0)]
+        if over.any():
+            live = live[block[live] < last[live]]
 
 
-def _ac_refine(data: np.ndarray, start: int, coefficients, places: np.ndarray, table: bytes, ss: int, se: int, al: int) -> None:
-    """One segment; correction bits make each step depend on what is known, so symbols come one by one."""
+def _ac_refine(data: np.ndarray, start: int, coefficients, places: np.ndarray, table: bytes, ss: int, se: int, al: int) -> int:
+    """One segment, and the bit after it; correction bits make each step depend on what is known, so symbols come one by one."""
     lookup, at = _lookup(table), start * 8
     raw = data.tobytes() + b"\xff" * 8
 
@@ -422,6 +455,8 @@ def _ac_refine(data: np.ndarray, start: int, coefficients, places: np.ndarray, t
         if not skip:
             while k <= se:
                 entry = int(lookup[(int.from_bytes(raw[at >> 3 : (at >> 3) + 4], "big") >> (16 - (at & 7))) & 0xFFFF])
+                if not entry:
+                    raise ValueError("unknown code")
                 at += entry >> 8
                 run, size, value = (entry >> 4) & 15, entry & 15, 0
                 if size:
@@ -445,6 +480,9 @@ def _ac_refine(data: np.ndarray, start: int, coefficients, places: np.ndarray, t
                 if block[k]:
                     correct(k)
             skip -= 1
+        if at >> 3 > len(raw):
+            break
+    return at
 
 
 def decode_coefficients(streams: list[bytes]) -> list[tuple[_Image, list[np.ndarray]]]:
@@ -469,6 +507,8 @@ def decode_coefficients(streams: list[bytes]) -> list[tuple[_Image, list[np.ndar
                 comp, block, per_unit = images[i].block_order(components)
                 place = offsets[i][comp] + block
                 step = images[i].scans[turn][6] * per_unit or len(place)
+                if n_segments * step < len(place):
+                    raise ValueError("restart segments are missing")
                 begin = np.minimum(np.arange(n_segments) * step, len(place))
                 first.append(at + begin)
                 count.append(np.minimum(step, len(place) - begin))
@@ -476,13 +516,16 @@ def decode_coefficients(streams: list[bytes]) -> list[tuple[_Image, list[np.ndar
                 comps.append(comp)
                 at += len(place)
             place, first, count = np.concatenate(places), np.concatenate(first), np.concatenate(count)
+            bits = _Bits(data, starts)
             if ss == 0:
-                _dc_scan(_Bits(data, starts), coefficients, place, first, count, np.concatenate(comps), dict(zip(components, tables)), ah, al)
+                _dc_scan(bits, coefficients, place, first, count, np.concatenate(comps), dict(zip(components, tables)), ah, al)
             elif ah == 0:
-                _ac_first(_Bits(data, starts), coefficients, place, first, count, tables[0], ss, se, al)
+                _ac_first(bits, coefficients, place, first, count, tables[0], ss, se, al)
             else:
-                for s, f, n in zip(starts, first, count):
-                    _ac_refine(data, int(s), coefficients, place[f : f + n], tables[0], ss, se, al)
+                for k, (s, f, n) in enumerate(zip(starts, first, count)):
+                    bits.at[k] = _ac_refine(data, int(s), coefficients, place[f : f + n], tables[0], ss, se, al)
+            if (bits.at > 8 * np.concatenate([starts[1:], [len(data)]])).any():
+                raise ValueError("a scan ends early")
     return [(im, [coefficients[o[c] : o[c + 1]] for c in range(len(im.components))]) for im, o in zip(images, offsets)]
 
 
@@ -505,8 +548,8 @@ def to_rgb(image: _Image, coefficients: list[np.ndarray]) -> np.ndarray:
     planes = []
     for c, blocks in zip(image.components, coefficients):
         plane = _plane(blocks, c, image.quantisers[c["q"]])
-        plane = plane.repeat(image.v // c["v"], axis=0).repeat(image.h // c["h"], axis=1)
-        planes.append(plane[: image.height, : image.width].astype(np.int32))
+        y, x = np.arange(image.height) * c["v"] // image.v, np.arange(image.width) * c["h"] // image.h
+        planes.append(plane[y[:, None], x].astype(np.int32))
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
     y, cb, cr = planes[0] * 65536 + 32768, planes[1] - 128, planes[2] - 128
@@ -567,25 +610,43 @@ def to_media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(per_batch(make), "doc_id long, n_bytes long, media binary")
 
 
+def decode_each(streams: list[bytes]) -> list[tuple[np.ndarray | None, str | None]]:
+    """(RGB tensor, None) of each stream, or (None, reason) where it is broken; whole batches are decoded at once."""
+    out: list[tuple[np.ndarray | None, str | None]] = []
+    for a, b in _in_batches(streams):
+        try:
+            out += [(to_rgb(*x), None) for x in decode_coefficients(streams[a:b])]
+        except ValueError as e:
+            if b - a == 1:
+                out.append((None, str(e)))
+            else:
+                for s in streams[a:b]:
+                    out += decode_each([s])
+    return out
+
+
 def tensors(media: DataFrame, column: str = "media") -> DataFrame:
-    """height, width and rgb (row-major bytes) of a column of progressive JPEGs, beside the other columns.
+    """height, width, rgb (row-major bytes) and error of a column of progressive JPEGs, beside the other columns.
 
-    A null stays null.
+    A null stays null; a broken stream has nulls and its reason in ``error``.
+    Columns of these four names that media has already are replaced.
     """
     at, names = media.columns.index(column), media.columns
+    stay = [k for k, x in enumerate(names) if x not in ("height", "width", "rgb", "error")]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = batch.column(at).to_pylist()
-            rgb = iter([to_rgb(*x) for x in decode_coefficients([m for m in found if m is not None])])
-            out = [None if m is None else next(rgb) for m in found]
-            more = [pa.array([None if x is None else x.shape[k] for x in out], pa.int32()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array([None if x is None else x.tobytes() for x in out], pa.binary())], names=[*names, "height", "width", "rgb"])
+            decoded = iter(decode_each([m for m in found if m is not None]))
+            out = [(None, None) if m is None else next(decoded) for m in found]
+            more = [pa.array([None if x is None else x.shape[k] for x, _ in out], pa.int32()) for k in (0, 1)]
+            more += [pa.array([None if x is None else x.tobytes() for x, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())]
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), *more], names=[*(names[k] for k in stay), "height", "width", "rgb", "error"])
 
         return step
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(per_batch(make), f"{kinds}, height int, width int, rgb binary")
+    kinds = "".join(f"`{names[k]}` {media.schema[k].dataType.simpleString()}, " for k in stay)
+    return media.mapInArrow(per_batch(make), f"{kinds}height int, width int, rgb binary, error string")
 
 
 def digests(media: DataFrame) -> DataFrame:

@@ -141,6 +141,63 @@ def test_media_keeps_any_bytes():
         media.decode_coefficients([b"\xff\xd8\xff\xd9"])
 
 
+def test_broken_media_are_rows_with_a_reason(spark):
+    rng = random.Random(7)
+    whole = media.encode_batch([bytes(rng.choice(b"etaoin shrdlu") for _ in range(64 * n)) for n in (1, 9, 40)])
+    streams = [(i, w, "old") for i, w in enumerate(whole)] + [(10, None, "old"), (11, b"", "old"), (12, b"\xff\xd8\xff\xd9", "old"), (13, whole[0][:-2], "old")]
+    df = spark.createDataFrame(streams, "doc_id long, media binary, rgb string").repartition(2)
+    got = {r.doc_id: r for r in media.tensors(df).collect()}
+    assert all(got[i].error is None and len(got[i].rgb) == 3 * got[i].height * got[i].width for i in range(3))
+    assert got[10].rgb is None and got[10].error is None
+    assert all(got[i].rgb is None and got[i].error for i in (11, 12, 13))
+    for w in whole:
+        for _ in range(120):
+            cut = rng.randrange(len(w))
+            with pytest.raises(ValueError):
+                media.decode_coefficients([w[:cut]])
+            (rgb, reason), = media.decode_each([w[:cut] + b"\xff\xd9"])  # a scan cut off before an end marker
+            assert (rgb is None) == (reason is not None)
+            broken = bytearray(w)
+            broken[rng.randrange(len(w))] = rng.randrange(256)
+            media.decode_each([bytes(broken)])
+
+
+def test_pixels_against_plain_loops():
+    """A slow inverse transform, upsampling and colour matrix, from the payload bytes."""
+    import math
+
+    payload = media.pad_payload(b"Some text, a bit of it. " * 12)
+    found = media.decode_coefficients(media.encode_batch([payload]))[0]
+    rgb = media.to_rgb(*found)
+    units = -(-len(payload) // 64 // 6)
+    blocks = [payload[64 * k : 64 * k + 64] for k in range(len(payload) // 64)]
+    blocks += [bytes([media.CENTRE]) * 64] * (6 * units - len(blocks))
+    scan = sorted(((i, j) for i in range(8) for j in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
+    basis = [[round(4096 * (math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16)) for x in range(8)] for u in range(8)]
+
+    def samples(block):
+        f = [[0] * 8 for _ in range(8)]
+        for k, (i, j) in enumerate(scan):
+            f[i][j] = block[k] - media.CENTRE
+        half = [[sum(f[u][v] * basis[v][x] for v in range(8)) for x in range(8)] for u in range(8)]
+        return [[min(255, max(0, math.floor(sum(half[u][x] * basis[u][y] for u in range(8)) / 4096**2 + 128.5))) for x in range(8)] for y in range(8)]
+
+    for n in range(units):
+        planes = [samples(b) for b in blocks[6 * n : 6 * n + 6]]
+        for y in range(16):
+            for x in range(16):
+                luma, cb, cr = planes[y // 8 * 2 + x // 8][y % 8][x % 8], planes[4][y // 2][x // 2] - 128, planes[5][y // 2][x // 2] - 128
+                want = [luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb]
+                at = rgb[y + 16 * (n // found[0].columns), x + 16 * (n % found[0].columns)]
+                assert all(abs(int(a) - min(255, max(0, w))) <= 1 for a, w in zip(at, want))
+    flat = rgb.reshape(-1, 3).tolist()
+    feature = f"{rgb.shape[1]}x{rgb.shape[0]}"
+    for c in range(3):
+        mean = sum(p[c] for p in flat) / len(flat)
+        feature += f";{mean:.3f},{(sum(p[c] ** 2 for p in flat) / len(flat) - mean**2) ** 0.5:.3f}"
+    assert media.feature_of(rgb) == feature
+
+
 def slow_progressive(coefficients, restart=0):
     """A grey 8-wide progressive stream with successive approximation, bit by bit, as the format describes it."""
     n, ac_lengths = len(coefficients), {16 * r + s: 8 for r in range(16) for s in range(1, 9)} | {0xF0: 8} | {r << 4: 8 for r in range(15)}

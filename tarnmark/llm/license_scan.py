@@ -40,7 +40,7 @@ from tarnmark.llm.decontaminate import LOWER, UPPER, words_of
 THRESHOLD = 0.8
 #: Template bigrams up to which they are broadcast (about 60 bytes each).
 BROADCAST_BIGRAMS = 500_000
-#: Words up to which texts are searched for them first.
+#: Necessary words up to which texts are searched for each; more are looked up among the words of the text.
 MOST_MARKS = 96
 
 #: Licence notices and texts as their authors word them.
@@ -222,7 +222,9 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float =
         marks: set[str] = set()
         for row in t.groupBy("license_id").agg(F.collect_set("pair").alias("b")).collect():
             marks |= necessary_words(set(row.b), threshold)
-        if 0 < len(marks) <= MOST_MARKS:
+        if len(marks) > MOST_MARKS:
+            may = F.arrays_overlap(words_of(F.col("line")), F.array(*[F.lit(w) for w in sorted(marks)]))
+        elif marks:
             folded = F.translate(F.col("line"), UPPER, LOWER)
             # bound to a lambda, the folded text is made once and not for each word
             may = F.exists(F.array(folded), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in sorted(marks)]))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnmark.functions.text import casefold, tokens
+from tarnmark.storage import materialize
 
 #: What a token found in each field adds to the score.
 WEIGHTS = {"title": 4, "tags": 3, "description": 2, "body": 1}
-#: Queries that one pass over a concept takes together.
-BLOCK = 256
+#: Queries that come together as one row, and UTF-8 bytes of queries that one pass over the concepts takes.
+BLOCK, PASS_BYTES = 256, 16 << 20
 
 
 def _folded() -> Column:
@@ -20,36 +21,51 @@ def _folded() -> Column:
     return F.array(F.struct(blank("title").alias("title"), tags.alias("tags"), blank("description").alias("description"), blank("body").alias("body")))
 
 
+def weight(t: Column, fields: Column) -> Column:
+    """What one occurrence of a token adds: the weights of the fields that contain it; fields are case-folded already."""
+    hits = {n: F.exists(fields[n], lambda g: F.contains(g, t)) if n == "tags" else F.contains(fields[n], t) for n in WEIGHTS}
+    return sum((F.when(found, F.lit(WEIGHTS[n])).otherwise(F.lit(0)) for n, found in hits.items()), F.lit(0))
+
+
 def score(query_tokens: Column, fields: Column) -> Column:
-    """Every token occurrence adds the weights of the fields that contain it; fields are case-folded already."""
+    """Every token occurrence adds its weight."""
+    return F.aggregate(query_tokens, F.lit(0), lambda total, t: total + weight(t, fields))
 
-    def add(total: Column, t: Column) -> Column:
-        hits = {n: F.exists(fields[n], lambda g: F.contains(g, t)) if n == "tags" else F.contains(fields[n], t) for n in WEIGHTS}
-        return total + sum((F.when(found, F.lit(WEIGHTS[n])).otherwise(F.lit(0)) for n, found in hits.items()), F.lit(0))
 
-    return F.aggregate(query_tokens, F.lit(0), add)
+def _blocks(queries: DataFrame) -> DataFrame:
+    """(part, terms, asked): up to BLOCK queries; their distinct tokens, and of each query the places of its tokens among them."""
+    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0")
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    parts = -(-size // PASS_BYTES) or 1
+    h = F.xxhash64("query_id")
+    grouped = asked.groupBy(F.pmod(h, F.lit(parts)).alias("part"), F.pmod(F.shiftright(h, 20), F.lit(max(1, -(-n // (BLOCK * parts))))).alias("b"))
+    blocks = grouped.agg(F.collect_list(F.struct("query_id", "t")).alias("q")).withColumn("terms", F.array_distinct(F.flatten("q.t")))
+    places = F.transform("q", lambda q: F.struct(q["query_id"].alias("query_id"), F.transform(q["t"], lambda t: F.array_position("terms", t).cast("int") - 1).alias("at")))
+    return materialize(blocks.select("part", "terms", places.alias("asked")), "queries")
 
 
 def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the best concepts of each query (query_id, query).
 
-    Queries are a stated set: they come in blocks, one row for each block, and
-    every concept scores a block in one expression. Concepts are folded once,
-    only positive scores leave the scan, and the cut to ``top_k`` happens before
-    the shuffle by query.
+    Queries are a stated set: they come in blocks, and a pass takes PASS_BYTES
+    of them. Each concept is folded once and searched once for each distinct
+    token of a block; the scores of its queries are sums of those weights. Only
+    positive scores leave the scan, and the cut to ``top_k`` happens before the
+    shuffle by query.
     """
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
-    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0")
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("b")).agg(
-        F.collect_list(F.struct("query_id", "t")).alias("asked")
-    )
-    asked_of = F.broadcast(blocks.select("asked"))  # one row for each block of queries
-    scored = concepts.select("id", _folded().alias("f")).join(asked_of).select(
-        "id", F.explode(F.flatten(F.transform("f", lambda f: F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(q["t"], f).alias("score")))))).alias("s")
-    )
-    found = scored.where("s.score > 0").select("s.query_id", "id", "s.score")
+    blocks = _blocks(queries)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = None
+    for part in sorted(r.part for r in blocks.select("part").distinct().collect()) or [0]:  # one for each PASS_BYTES of queries
+        some = F.broadcast(blocks.where(F.col("part") == part).drop("part"))  # PASS_BYTES or so
+        weighed = concepts.select("id", _folded().alias("f")).join(some).select(
+            "id", "asked", F.flatten(F.transform("f", lambda f: F.transform("terms", lambda t: weight(t, f)))).alias("w")
+        )
+        scores = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.aggregate(q["at"], F.lit(0), lambda n, i: n + F.get("w", i)).alias("score")))
+        scored = weighed.select("id", F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select("s.query_id", "id", "s.score")
+        found = scored if found is None else found.unionByName(scored)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
 

@@ -37,14 +37,15 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, hit_rank, doc_id, similarity): cosine, ties by doc_id, zero vectors at 0.0.
 
     store: doc_id, embedding. queries: query_id, embedding; a stated set that is
-    sent to the tasks in blocks. Each task keeps its own best k of each query
-    (all ties at the edge included), so the shuffle carries tasks x queries x k
-    rows, whatever the size of the store.
+    sent to the tasks in blocks of BLOCK, each a pass over the store. Similarities
+    are compared to twelve digits. Each task keeps its own best k of each query
+    over all its batches, so the shuffle carries tasks x queries x k rows,
+    whatever the size of the store.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     spark = store.sparkSession
-    asked_type = to_arrow_type(queries.schema["query_id"].dataType)
+    asked_type, doc_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(store.schema["doc_id"].dataType)
     asked = queries.select("query_id", F.col("embedding").cast("array<double>")).where("embedding is not null").orderBy("query_id").collect()
     found, kind, key = [], queries.schema["query_id"].dataType.simpleString(), store.schema["doc_id"].dataType.simpleString()
     for at in range(0, len(asked), BLOCK):
@@ -55,25 +56,36 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q, norms = shipped.value
+            best: list[list[tuple]] = [[] for _ in names]  # (minus rounded similarity, id, similarity)
             for batch in batches:
-                ids, x = np.array(batch.column(0).to_pylist(), dtype=object), _matrix(batch.column(1))
+                ids, x = batch.column(0).to_pylist(), _matrix(batch.column(1))
+                if not ids:
+                    continue
                 size = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
                 sim = np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 0)
+                near = np.round(sim, 12)
                 n = min(k, len(ids))
-                edge = np.partition(sim, len(ids) - n, axis=0)[len(ids) - n]
-                rows, cols = np.nonzero(sim >= edge[None, :])
-                if len(rows):
-                    columns = [pa.array([names[c] for c in cols], asked_type), pa.array(ids[rows].tolist(), batch.column(0).type), pa.array(sim[rows, cols])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "similarity"])
+                edge = np.partition(near, len(ids) - n, axis=0)[len(ids) - n]
+                cols, rows = np.nonzero((near >= edge[None, :]).T)  # ties at the edge included
+                bounds = np.searchsorted(cols, np.arange(len(names) + 1))
+                for c, own in enumerate(best):
+                    here = rows[bounds[c] : bounds[c + 1]]
+                    own += zip((-near[here, c]).tolist(), [ids[r] for r in here], sim[here, c].tolist())
+                    own.sort(key=lambda x: x[:2])
+                    del own[k:]
+            flat = [(name, i, s, -r) for name, own in zip(names, best) for r, i, s in own]
+            if flat:
+                kinds = (asked_type, doc_type, pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), kinds)], names=["query_id", "doc_id", "similarity", "near"])
 
         rows = store.select("doc_id", F.col("embedding").cast("array<double>")).where("embedding is not null")
-        found.append(rows.mapInArrow(run, f"query_id {kind}, doc_id {key}, similarity double"))
+        found.append(rows.mapInArrow(run, f"query_id {kind}, doc_id {key}, similarity double, near double"))
     if not found:
         return spark.createDataFrame([], f"query_id {kind}, hit_rank int, doc_id {key}, similarity double")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "doc_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "doc_id")
     return out.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k).select("query_id", "hit_rank", "doc_id", "similarity")
 
 

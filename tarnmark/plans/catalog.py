@@ -84,13 +84,12 @@ def search_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_one(text_concepts(table(spark, sf_dir, "documents")), "src3 fr", 25)
 
 
-_ITEM_TOKENS = "list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 6)"
+_ITEM_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
 def _item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six tokens of each benchmark text."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
+    """Each benchmark text is a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _BATCH = (
@@ -116,7 +115,7 @@ def retriever_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("parse_frontmatter_fields", f"""WITH {_NOTES} SELECT id, lang AS type, 'Doc ' || i AS title, source || ',' || lang AS tags,
-  'Alias ' || i || CASE WHEN i % 10 = 0 THEN ',Shared' ELSE '' END AS aliases, '2026-07-01T09:30:00' AS ts_iso, '{{"rank": ' || (i % 7) || '}}' AS extra FROM c""")
+  'Alias ' || i || CASE WHEN i % 10 = 0 THEN ',Shared' ELSE '' END AS aliases, '2025-11-03T21:15:00' AS ts_iso, '{{"rank": ' || (i % 7) || '}}' AS extra FROM c""")
 def parse_frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, _ = generated_bundle(spark, sf_dir)
     return c.select("id", "type", "title", F.array_join("tags", ",").alias("tags"), F.array_join("aliases", ",").alias("aliases"), "ts_iso", "extra")
@@ -214,13 +213,14 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.adjacency(generated_bundle(spark, sf_dir)[1]).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
 
 
-_STARTS = "SELECT i AS query_id, id FROM c WHERE i % 25 = 0 UNION ALL SELECT i, 'notes/doc' || (i + 1) FROM c WHERE i % 25 = 0"
+_STARTS = "SELECT i AS query_id, id FROM c UNION ALL SELECT i, 'notes/doc' || (i + 1) FROM c"
 
 
 @query("expand_many", f"WITH RECURSIVE {_NOTES}, {_OUT}, {_reach(_STARTS, 2)} SELECT query_id, id, distance FROM v")
 def expand_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, e, _ = generated_bundle(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").where("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("i"))
+    c, e, _ = generated_bundle(spark, sf_dir)
+    i = F.substring("id", 10, 20).cast("long")
+    d = c.select(i.alias("query_id"), F.explode(F.array(i, i + 1)).alias("i"))
     return graph.expand(d.select("query_id", F.concat(F.lit("notes/doc"), F.col("i").cast("string")).alias("id")), e, 2)
 
 
@@ -382,7 +382,7 @@ s{number} AS (SELECT s.q, s.had + count(w.id) FILTER (w.used + w.total <= {budge
 
 def _explored(hops: int, concepts: int, budget: int) -> str:
     rounds = ", ".join(_round(k, budget, concepts) for k in range(1, hops + 1))
-    return f"""WITH {_NOTES}, {_COST}, start AS (SELECT i::VARCHAR AS q, id, 1 AS pos FROM c WHERE i % 40 = 0),
+    return f"""WITH {_NOTES}, {_COST}, start AS (SELECT i::VARCHAR AS q, id, 1 AS pos FROM c WHERE i % 20 = 0),
 r0 AS (SELECT q, id, 0 AS pos FROM start WHERE false), s0 AS (SELECT q, 0 AS had, {max(1, len(_INDEX) // 4)} AS used, 0 AS hops, true AS go FROM start), {rounds},
 p AS (SELECT q, string_agg(id, ',' ORDER BY pos) AS visited FROM r{hops} GROUP BY q)
 SELECT s.q AS question_id, coalesce(p.visited, '') AS visited, s.used::BIGINT AS tokens_used, s.hops::INT AS hops FROM s{hops} s LEFT JOIN p ON p.q = s.q"""
@@ -391,7 +391,7 @@ SELECT s.q AS question_id, coalesce(p.visited, '') AS visited, s.used::BIGINT AS
 def _explore(hops: int, concepts: int, budget: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c, e, _ = generated_bundle(spark, sf_dir)
-        starts = c.where("cast(substring(id, 10) as long) % 40 = 0").select(F.substring("id", 10, 20).alias("question_id"), F.lit("?").alias("question"), F.array("id").alias("chosen"))
+        starts = c.where("cast(substring(id, 10) as long) % 20 = 0").select(F.substring("id", 10, 20).alias("question_id"), F.lit("?").alias("question"), F.array("id").alias("chosen"))
         out = navigation.explore(starts, c, e, _INDEX, max_hops=hops, max_concepts=concepts, token_budget=budget)
         return out.select("question_id", F.array_join("visited", ",").alias("visited"), "tokens_used", "hops")
 
@@ -426,7 +426,7 @@ def citations_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("read_concept_text", f"""WITH {_NOTES}, g AS (SELECT source_id, string_agg(DISTINCT target_id, ', ' ORDER BY target_id) FILTER (resolved) AS good, string_agg(DISTINCT target_id, ', ' ORDER BY target_id) FILTER (NOT resolved) AS broken FROM e GROUP BY source_id)
-  SELECT id, '# Doc ' || i || chr(10) || chr(10) || 'ID: ' || id || chr(10) || 'Type: ' || lang || chr(10) || 'Tags: ' || source || ', ' || lang || chr(10) || 'Timestamp: 2026-07-01T09:30:00' || chr(10) ||
+  SELECT id, '# Doc ' || i || chr(10) || chr(10) || 'ID: ' || id || chr(10) || 'Type: ' || lang || chr(10) || 'Tags: ' || source || ', ' || lang || chr(10) || 'Timestamp: 2025-11-03T21:15:00' || chr(10) ||
   'Related (resolved): ' || coalesce(good, 'none') || chr(10) || 'Related (unresolved): ' || coalesce(broken, 'none') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || trim({_BODY}, ' ' || chr(10)) AS text
   FROM c JOIN n ON true JOIN g ON g.source_id = c.id""")
 def read_concept_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def generated_notes(documents: DataFrame, n: int | None = None) -> DataFrame:
     shared = F.when(i % 10 == 0, ", Shared").otherwise("")
     meta = F.concat(
         F.when(i % 50 == 7, "kind: ").otherwise("type: "), "lang", F.lit("\ntitle: Doc "), d, F.lit("\ntags: ["), "source", F.lit(", "), "lang",
-        F.lit("]\naliases: [Alias "), d, shared, F.lit("]\ntimestamp: 2026-07-01T09:30:00\nrank: "), (i % 7).cast("string"), F.lit("\n"),
+        F.lit("]\naliases: [Alias "), d, shared, F.lit("]\ntimestamp: 2025-11-03T21:15:00\nrank: "), (i % 7).cast("string"), F.lit("\n"),
     )
     body = F.concat(
         F.lit("# Doc "), d, F.lit("\n\nSee [next]("), _doc((7 * i + 3) % n), F.lit(".md) and [missing]("), _doc(i + n), F.lit('.md "gone").\n'),

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from tarnmark.functions.payload import json_payload, read_answer, read_decision, read_plan, response_text
-from tarnmark.operators.navigation import explore, navigate
+from tarnmark.operators.navigation import ASKED, explore, index_token_cost, navigate
 from tarnmark.plans.bundle import Bundle
 
 INDEX = "# I\n"
@@ -28,8 +28,7 @@ def star(spark):
 
 def model(plan, decide=None, answer='{"answer": "yes", "citations": ["a", "zz", "a"]}'):
     def say(messages):
-        system = messages[0][1]
-        return plan if system.startswith("Choose") else decide if system.startswith("Judge") else answer
+        return {ASKED["plan"]: plan, ASKED["decide"]: decide, ASKED["generate"]: answer}[messages[0][1]]
 
     return say
 
@@ -86,3 +85,18 @@ def test_payloads():
     assert read_decision('{"sufficient": "yes"}') == (True, []) and read_decision('{"sufficient": 2}') is None
     assert read_answer(json.dumps({"answer": "x"})) == ("x", []) and read_answer('{"answer": 1}') is None
     assert response_text([{"text": "a"}, "b", {"image": 1}]) == "ab" and response_text(5) == "5"
+
+
+def test_token_estimator(spark, chain):
+    words = lambda text: len(text.split())
+    index = spark.createDataFrame([("# I\n",)], "body string")
+    assert (index_token_cost(index), index_token_cost(index, words)) == (1, 2)
+    say = model('["a"]', '{"sufficient": true}')
+    r = run(spark, chain, say, token_estimator=words)
+    assert (r.visited, r.tokens_used) == (["a"], 2 + words("## Concept: a\n\n[b](b.md)"))
+    assert run(spark, chain, say, token_estimator=words, token_budget=5).visited == []
+    with pytest.raises(ValueError):
+        run(spark, chain, say, token_estimator=words, token_budget=1)
+    starts = spark.createDataFrame([("1", "why?", ["a"])], "question_id string, question string, chosen array<string>")
+    got = explore(starts, chain.concepts, chain.edges, INDEX, token_estimator=words, token_budget=7).first()
+    assert (got.visited, got.tokens_used) == (["a"], 6)

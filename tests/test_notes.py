@@ -34,7 +34,7 @@ def test_invalid_metadata(meta):
 
 def test_metadata_values():
     m = check_metadata({"type": " t ", "tags": None, "aliases": ["a"], "timestamp": datetime.date(2026, 7, 1), "owner": "me", "n": {"k": 1}})
-    assert (m.type, m.tags, m.aliases, m.timestamp, m.extra) == (" t ", [], ["a"], datetime.datetime(2026, 7, 1), {"owner": "me", "n": {"k": 1}})
+    assert (m["type"], m["tags"], m["aliases"], m["timestamp"], m["extra"]) == (" t ", [], ["a"], datetime.datetime(2026, 7, 1), {"owner": "me", "n": {"k": 1}})
     aware = parse_note("---\ntype: x\ntimestamp: 2026-07-01T09:30:00+02:00\n---\n", "a")
     assert (aware["ts_iso"], aware["ts_offset_s"]) == ("2026-07-01T09:30:00+02:00", 7200)
 

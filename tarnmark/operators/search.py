@@ -44,6 +44,15 @@ def _blocks(queries: DataFrame) -> DataFrame:
     return materialize(blocks.select("part", "terms", places.alias("asked")), "queries")
 
 
+def _spread(concepts: DataFrame) -> DataFrame:
+    """Concepts dealt out anew where a plain scan has fewer partitions than there are cores (a small table in one file)."""
+    cores = concepts.sparkSession.sparkContext.defaultParallelism
+    plan = concepts._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Exchange", "Join", "Aggregate", "Window", "Sort")):
+        return concepts
+    return concepts.repartition(cores) if concepts.rdd.getNumPartitions() < cores else concepts
+
+
 def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the best concepts of each query (query_id, query).
 
@@ -55,16 +64,17 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
     """
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
-    blocks = _blocks(queries)
+    blocks, concepts = _blocks(queries), _spread(concepts)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = None
     for part in sorted(r.part for r in blocks.select("part").distinct().collect()) or [0]:  # one for each PASS_BYTES of queries
         some = F.broadcast(blocks.where(F.col("part") == part).drop("part"))  # PASS_BYTES or so
-        weighed = concepts.select("id", _folded().alias("f")).join(some).select(
-            "id", "asked", F.flatten(F.transform("f", lambda f: F.transform("terms", lambda t: weight(t, f)))).alias("w")
-        )
-        scores = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.aggregate(q["at"], F.lit(0), lambda n, i: n + F.get("w", i)).alias("score")))
-        scored = weighed.select("id", F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select("s.query_id", "id", "s.score")
+        # fields and weights are bound to lambdas: each is computed once for a concept, not at every use
+        weights = F.transform("f", lambda f: F.transform("terms", lambda t: weight(t, f)))
+        total = lambda at, w: F.aggregate(at, F.lit(0), lambda n, i: n + F.get(w, i))
+        scores = F.transform(weights, lambda w: F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), total(q["at"], w).alias("score"))))
+        scored = concepts.select("id", _folded().alias("f")).join(some).select("id", F.explode(F.flatten(scores)).alias("s"))
+        scored = scored.where("s.score > 0").select("s.query_id", "id", "s.score")
         found = scored if found is None else found.unionByName(scored)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
@@ -74,7 +84,7 @@ def search_one(concepts: DataFrame, query: str, top_k: int = 5) -> DataFrame:
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
     asked = tokens(F.lit(query))
-    scored = concepts.select("id", F.get(F.transform(_folded(), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
+    scored = _spread(concepts).select("id", F.get(F.transform(_folded(), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
     top = scored.orderBy(F.desc("score"), "id").limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "score")
 

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tarnmark.llm.common import fresh_path, materialize, text_or_empty, tidy, utf8
 
-#: Words kept by one worker, and the first learned, mostly common ones, that stay when the rest goes (at most 300 bytes each).
-MEMO_WORDS, CORE_WORDS = 250_000, 125_000
+#: Words kept by one worker, and the first learned, mostly common ones, that stay when the rest goes (about 150 bytes each).
+MEMO_WORDS, CORE_WORDS = 1_000_000, 500_000
 #: Bytes of the longest word that is kept; longer ones (scripts without spaces) go to the library each time.
 MEMO_BYTES = 48
 #: UTF-8 bytes of text that one shard takes, and bytes read at once from a shard in a remote store.
@@ -46,6 +46,8 @@ SHARD_BYTES, READ_BYTES = 256 << 20, 16 << 20
 _ODD_SPACES = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u205f", "\u3000"]
 _ODD_SPACES = [x.encode() for x in _ODD_SPACES]
 _QUAD_TO_HAIR_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+#: ASCII marks without the apostrophe, and what is no letter among two-byte characters that begin with C3.
+_MARKS, _NO_LETTERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", (b"\x97", b"\xb7")
 _SPACED_WORD = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -106,20 +108,34 @@ class WordEncoder:
         return _SPACED_WORD.findall(text) if self.keeps_space else text.lower().split()  # its tokens have no capitals
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the memo lacks; short ones go into the memo.
+        """Ids of words that the memo lacks; short ones go into the memo, of those with marks only such as end with a stop or comma.
 
-        A full stop or comma after an ASCII letter or digit is a token of its own, so the memo shares the stem.
+        ASCII marks at the end of a word, after a letter or digit, are tokens of their own (an apostrophe may not be).
         """
-        memo, stems, learned = self.memo, {}, {}
+        memo, parts, new, learned = self.memo, [], set(), {}
         for w in words:
-            stems[w] = w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w
-        new = [s for s in set(stems.values()) | {b".", b","} if s not in memo]
-        for at in range(0, len(new), 20_000):
-            learned.update(zip(new[at : at + 20_000], self._library(new[at : at + 20_000])))
-        for w, s in stems.items():
-            if s is not w:
-                learned[w] = b"".join(learned[x] if x in learned else memo[x] for x in (s, w[-1:]))
-        memo.update((w, ids) for w, ids in learned.items() if len(w) <= MEMO_BYTES)
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and (stem[-1:].isalnum() or stem[-2:-1] == b"\xc3" and stem[-1:] not in _NO_LETTERS):
+                marks = w[len(stem) :]
+                parts.append((w, stem, marks))
+                if stem not in memo:
+                    new.add(stem)
+                if marks not in memo:
+                    new.add(marks)
+            else:
+                new.add(w)
+        listed = list(new)
+        for at in range(0, len(listed), 20_000):
+            some = listed[at : at + 20_000]
+            learned.update(zip(some, self._library(some)))
+        memo.update(learned)
+        for w, stem, marks in parts:
+            learned[w] = ids = memo[stem] + memo[marks]
+            if marks == b"." or marks == b",":
+                memo[w] = ids
+        for w in learned:
+            if len(w) > MEMO_BYTES:
+                memo.pop(w, None)
         return learned
 
     def _forget(self) -> None:

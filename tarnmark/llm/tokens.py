@@ -91,7 +91,9 @@ class WordEncoder:
 
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = array("I", itertools.chain.from_iterable(ids)).tobytes()
+        return [flat[4 * a : 4 * b] for a, b in itertools.pairwise(itertools.accumulate(map(len, ids), initial=0))]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

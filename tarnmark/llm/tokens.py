@@ -19,6 +19,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import os
 import re
@@ -49,6 +50,17 @@ _QUAD_TO_HAIR_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: ASCII marks without the apostrophe, and what is no letter among two-byte characters that begin with C3.
 _MARKS, _NO_LETTERS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", (b"\x97", b"\xb7")
 _SPACED_WORD = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
+#: Words of nothing but letters from A to ÿ: any byte-level tokenizer takes one, with the space before it, as one piece.
+_PLAIN_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _byte_characters() -> str:
+    """The character of each byte in a byte-level vocabulary: printable ones stand for themselves, others follow from 256 on."""
+    rest = itertools.count(256)
+    return "".join(chr(b) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else chr(next(rest)) for b in range(256))
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 
@@ -65,7 +77,9 @@ class WordEncoder:
     Both kinds of tokenizer cut a text at white space before they merge, so the
     ids of a text are those of its space-separated pieces, in order. A piece is
     encoded by the library and looked up afterwards. Texts with white space
-    other than ASCII, or with an added token, go to the library whole.
+    other than ASCII, or with an added token, go to the library whole. A piece
+    of plain letters goes straight to the library's merge model, which is all
+    that acts on it; a tokenizer that gives other ids for probes is not asked so.
 
     keeps_space: the space before a word belongs to its token (byte-level BPE);
     otherwise white space vanishes (BPE with word ends).
@@ -81,6 +95,11 @@ class WordEncoder:
         self.added = [t.content.encode() if keeps_space else t.content.encode().lower() for t in added]
         self.memo: dict[bytes, bytes] = {}
         self.core: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        probes = [b"a", b"The", b"hello", "Éclair".encode(), "straße".encode(), b"xqzjkvw", "ÀÖØöøÿ".encode(), b"internationalisation"]
+        if keeps_space:
+            probes += [b" " + p for p in probes]
+        self.direct = [self._merged(p) for p in probes] == self._through_all(probes)
 
     @classmethod
     def of(cls, path: str, keeps_space: bool) -> "WordEncoder":
@@ -89,7 +108,20 @@ class WordEncoder:
             _ENCODERS[key] = cls(path, keeps_space)
         return _ENCODERS[key]
 
+    def _merged(self, piece: bytes) -> bytes:
+        if not self.keeps_space:
+            piece = piece.decode().lower().encode()
+        return array("I", [t.id for t in self.model.tokenize(codecs.charmap_decode(piece, "strict", _BYTE_CHARACTERS)[0])]).tobytes()
+
     def _library(self, pieces: list[bytes]) -> list[bytes]:
+        if not self.direct:
+            return self._through_all(pieces)
+        plain = [bool(_PLAIN_WORD.fullmatch(p)) for p in pieces]
+        others = iter(self._through_all([p for p, own in zip(pieces, plain) if not own]))
+        return [self._merged(p) if own else next(others) for p, own in zip(pieces, plain)]
+
+    def _through_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids by way of every step of the tokenizer."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = array("I", itertools.chain.from_iterable(ids)).tobytes()

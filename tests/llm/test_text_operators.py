@@ -65,6 +65,23 @@ def test_memo_gives_what_the_library_gives(name, keeps, monkeypatch):
     assert encoder.core and all(len(w) <= tokens.MEMO_BYTES for w in encoder.memo)
 
 
+@pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_merge_model_gives_what_all_steps_give(name, keeps):
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and (c < 0x80 or c >= 0xC0)]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))).encode() for _ in range(3000)]
+    words += [rng.choice(["the", "The", "straße", "ÉCOLE", "co", "w" * 300]).encode() for _ in range(20)]
+    if keeps:
+        words = [b" " * rng.randint(0, 1) + w for w in words]
+    encoder = tokens.WordEncoder(public_path(name), keeps)
+    assert encoder.direct and all(tokens._PLAIN_WORD.fullmatch(w) for w in words)
+    assert encoder._library(words) == encoder._through_all(words)
+    odd = [b"it's", "x×y".encode(), b"a1", "日本".encode(), b"a b", b"\n"]
+    assert not any(tokens._PLAIN_WORD.fullmatch(w) for w in odd)
+    mixed = [*words[:50], *odd, *words[50:90]]
+    assert encoder._library(mixed) == encoder._through_all(mixed)
+
+
 def test_shards_in_ranges(tmp_path, monkeypatch):
     monkeypatch.setattr(tokens, "READ_BYTES", 40)
     lengths = [0, 3, 50, 1, 1, 0, 9, 11, 20]

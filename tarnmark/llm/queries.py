@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnmark.llm import centroids, decontaminate, html_text, language, license_scan, media, near_dup, packing, pii, quality, tokens
+from tarnmark.llm import centroids, decontaminate, html_text, language, license_scan, line_dedup, media, near_dup, packing, pii, quality, tokens
 
 QUERIES = {
     "op1_html_text": html_text.page_texts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": license_scan.scan_documents,
     "op9_quality": quality.quality_documents,
     "op10_pack": packing.pack_documents,
+    "op11_line_dedup": line_dedup.dedup_documents,
     "op13_centroids": centroids.cluster_embeddings,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_duplicates": near_dup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_licenses": license_scan.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnmark.llm import centroids, decontaminate, html_text, language, license_scan, line_dedup, media, near_dup, packing, pii, quality, tokens
+from tarnmark.llm import centroids, conversation_trie, decontaminate, html_text, language, license_scan, line_dedup, media, near_dup, packing, pii, quality, tokens
 
 QUERIES = {
     "op1_html_text": html_text.page_texts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.quality_documents,
     "op10_pack": packing.pack_documents,
     "op11_line_dedup": line_dedup.dedup_documents,
+    "op12_conversation_trie": conversation_trie.trie_of_conversations,
     "op13_centroids": centroids.cluster_embeddings,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_licenses": license_scan.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }

@@ -14,7 +14,7 @@ WEIGHTS = {"title": 4, "tags": 3, "description": 2, "body": 1}
 BLOCK, PASS_BYTES = 256, 16 << 20
 
 
-def _folded() -> Column:
+def folded() -> Column:
     """The case-folded fields as the only element of an array: bound to a lambda, they are computed once for each row."""
     blank = lambda n: casefold(F.coalesce(F.col(n), F.lit("")))
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), casefold)
@@ -32,8 +32,8 @@ def score(query_tokens: Column, fields: Column) -> Column:
     return F.aggregate(query_tokens, F.lit(0), lambda total, t: total + weight(t, fields))
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
-    """(part, terms, asked): up to BLOCK queries; their distinct tokens, and of each query the places of its tokens among them."""
+def blocks_of(queries: DataFrame) -> DataFrame:
+    """(part, b, terms, asked): up to BLOCK queries; their distinct tokens, and of each query the places of its tokens among them."""
     asked = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0")
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
     parts = -(-size // PASS_BYTES) or 1
@@ -41,7 +41,7 @@ def _blocks(queries: DataFrame) -> DataFrame:
     grouped = asked.groupBy(F.pmod(h, F.lit(parts)).alias("part"), F.pmod(F.shiftright(h, 20), F.lit(max(1, -(-n // (BLOCK * parts))))).alias("b"))
     blocks = grouped.agg(F.collect_list(F.struct("query_id", "t")).alias("q")).withColumn("terms", F.array_distinct(F.flatten("q.t")))
     places = F.transform("q", lambda q: F.struct(q["query_id"].alias("query_id"), F.transform(q["t"], lambda t: F.array_position("terms", t).cast("int") - 1).alias("at")))
-    return materialize(blocks.select("part", "terms", places.alias("asked")), "queries")
+    return materialize(blocks.select("part", "b", "terms", places.alias("asked")), "queries")
 
 
 def _spread(concepts: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
     """
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
-    blocks, concepts = _blocks(queries), _spread(concepts)
+    blocks, concepts = blocks_of(queries), _spread(concepts)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = None
     for part in sorted(r.part for r in blocks.select("part").distinct().collect()) or [0]:  # one for each PASS_BYTES of queries
@@ -73,7 +73,7 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
         weights = F.transform("f", lambda f: F.transform("terms", lambda t: weight(t, f)))
         total = lambda at, w: F.aggregate(at, F.lit(0), lambda n, i: n + F.get(w, i))
         scores = F.transform(weights, lambda w: F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), total(q["at"], w).alias("score"))))
-        scored = concepts.select("id", _folded().alias("f")).join(some).select("id", F.explode(F.flatten(scores)).alias("s"))
+        scored = concepts.select("id", folded().alias("f")).join(some).select("id", F.explode(F.flatten(scores)).alias("s"))
         scored = scored.where("s.score > 0").select("s.query_id", "id", "s.score")
         found = scored if found is None else found.unionByName(scored)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
@@ -84,7 +84,7 @@ def search_one(concepts: DataFrame, query: str, top_k: int = 5) -> DataFrame:
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
     asked = tokens(F.lit(query))
-    scored = _spread(concepts).select("id", F.get(F.transform(_folded(), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
+    scored = _spread(concepts).select("id", F.get(F.transform(folded(), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
     top = scored.orderBy(F.desc("score"), "id").limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "score")
 
@@ -106,5 +106,9 @@ def documents_of(concepts: DataFrame, bundle_root: str, source: str = "bundle")
 
 def retrieve(concepts: DataFrame, queries: DataFrame, bundle_root: str, top_k: int = 5) -> DataFrame:
     """(query_id, rank, concept_id, page_content, metadata) of the best concepts of each query."""
-    hits = search(concepts, queries, top_k).withColumnRenamed("id", "concept_id")
+    return documents_of_hits(search(concepts, queries, top_k), concepts, bundle_root)
+
+
+def documents_of_hits(hits: DataFrame, concepts: DataFrame, bundle_root: str) -> DataFrame:
+    hits = hits.withColumnRenamed("id", "concept_id")
     return hits.join(documents_of(concepts, bundle_root), "concept_id").select("query_id", "rank", "concept_id", "page_content", "metadata")

@@ -33,7 +33,7 @@ class LexicalRetriever:
     def retrieve(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """queries (query_id, query) to (query_id, rank, concept_id, page_content, metadata)."""
         k = self.top_k if top_k is None else top_k
-        return search.retrieve(self.bundle.concepts, queries, self.bundle.root, k)
+        return search.documents_of_hits(self.bundle.search_many(queries, k), self.bundle.concepts, self.bundle.root)
 
 
 class GraphRetriever:

@@ -12,6 +12,7 @@ from tarnmark.functions.markdown import Invalid, index_heading, links
 from tarnmark.operators import graph, search
 from tarnmark.operators.links import backlinks, links_from, resolve, synthesized_index
 from tarnmark.operators.parsing import concepts_of, occurrences, parse_notes
+from tarnmark.operators.search_index import SearchIndex
 from tarnmark.shipping import ship
 from tarnmark.sources.files import decode, list_files, read_notes
 from tarnmark.storage import materialize
@@ -24,6 +25,7 @@ class Bundle:
 
     def __init__(self, root: str, concepts: DataFrame, edges: DataFrame, skipped: DataFrame, index: DataFrame):
         self.root, self.concepts, self.edges, self.skipped, self._index = root, concepts, edges, skipped, index
+        self.search_index: SearchIndex | None = None
 
     @classmethod
     def of_notes(cls, notes: DataFrame, root: str, index: DataFrame | None = None) -> "Bundle":
@@ -90,9 +92,22 @@ class Bundle:
         if self.concepts.where(F.col("id") == concept_id).select("id").first() is None:
             raise ConceptNotFound(concept_id)
 
+    def build_search_index(self, path: str | None = None) -> SearchIndex:
+        """Write an index (to ``path``, or a folder of its own) that searches use from now on."""
+        self.search_index = SearchIndex.build(self.concepts, path)
+        return self.search_index
+
     def search(self, query: str, top_k: int = 5) -> DataFrame:
+        if self.search_index is not None:
+            return self.search_index.search_one(query, top_k)
         return search.search_one(self.concepts, query, top_k)
 
+    def search_many(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
+        """(query_id, rank, id, score) of queries (query_id, query)."""
+        if self.search_index is not None:
+            return self.search_index.search(queries, top_k)
+        return search.search(self.concepts, queries, top_k)
+
     def links_from(self, concept_id: str) -> DataFrame:
         self._known(concept_id)
         return links_from(self.edges, concept_id)

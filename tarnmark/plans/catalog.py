@@ -9,7 +9,9 @@ from tarnmark.functions.text import escapes, link_target, snippet, token_estimat
 from tarnmark.operators import graph, links, navigation, routing, search, sync, vectors
 from tarnmark.operators.agent_tools import concept_texts, link_texts, result_texts
 from tarnmark.operators.parsing import skipped_of
+from tarnmark.operators.search_index import SearchIndex
 from tarnmark.sources.tables import generated_bundle, generated_notes, key_graph, table, text_concepts, turn_chain
+from tarnmark.storage import materialize
 
 QUERY = "the erin src1 anti en the"
 ROOT = "/kb"
@@ -111,6 +113,24 @@ def retriever_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "concept_id", F.length("page_content").alias("n_chars"), meta("$.title").alias("title"), meta("$.tags[0]").alias("first_tag"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, search_it) -> DataFrame:
+    """What search_it finds by an index of all documents; the index goes once the result is written."""
+    index = SearchIndex.build(text_concepts(table(spark, sf_dir, "documents")))
+    found = materialize(search_it(index), "found")
+    index.delete()
+    return found
+
+
+@query("search_batch_indexed", ORACLE["search_batch"])
+def search_batch_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, lambda index: index.search(_item_queries(spark, sf_dir), 5))
+
+
+@query("search_tags_indexed", ORACLE["search_tags"])
+def search_tags_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, lambda index: index.search_one("src3 fr", 25))
+
+
 # ------------------------------------------------------------------- parsing
 
 

@@ -3,6 +3,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -55,7 +56,7 @@ def rows_of(frame):
             v = v.tolist()
         if isinstance(v, float):
             return "null" if v != v else f"{v:.9g}"
-        return "null" if v is None else str(v)
+        return "null" if v is None or v is pd.NA else str(v)
 
     return sorted(tuple(plain(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 

@@ -45,7 +45,7 @@ STORED = "vec_id long, v array<int>, means array<double>, norms array<double>"
 
 def summaries(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(means, norms of the remainders) of the segments of integer vectors."""
-    parts = v.reshape(len(v), -1, SEGMENT).astype(np.float64)
+    parts = v.reshape(len(v), v.shape[1] // SEGMENT, SEGMENT).astype(np.float64)
     means = parts.mean(axis=2)
     return means, np.sqrt(((parts - means[:, :, None]) ** 2).sum(axis=2))
 

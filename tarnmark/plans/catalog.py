@@ -10,6 +10,7 @@ from tarnmark.operators import graph, links, navigation, routing, search, sync,
 from tarnmark.operators.agent_tools import concept_texts, link_texts, result_texts
 from tarnmark.operators.parsing import skipped_of
 from tarnmark.operators.search_index import SearchIndex
+from tarnmark.operators.vector_index import VectorIndex
 from tarnmark.sources.tables import generated_bundle, generated_notes, key_graph, table, text_concepts, turn_chain
 from tarnmark.storage import materialize
 
@@ -282,6 +283,16 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("knn_clustered", ORACLE["knn_cosine"])
+def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(e.select(F.col("vec_id").alias("doc_id"), "embedding"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = materialize(index.nearest(asked, 5).withColumn("similarity", F.round("similarity", 6)), "found")
+    index.delete()
+    return found
+
+
 _HEX = "(strpos('0123456789abcdef', {h}[{k}]) - 1)"
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tarnmark.functions.text import escapes, link_target, snippet, token_estimate
 from tarnmark.operators import graph, links, navigation, routing, search, sync, vectors
 from tarnmark.operators.agent_tools import concept_texts, link_texts, result_texts
+from tarnmark.operators.delta_store import DeltaStore
 from tarnmark.operators.parsing import skipped_of
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.operators.vector_index import VectorIndex
 from tarnmark.sources.tables import generated_bundle, generated_notes, key_graph, table, text_concepts, turn_chain
-from tarnmark.storage import materialize
+from tarnmark.storage import fresh_path, materialize
+from tarnmark.streaming.incremental import sync_stream as start_stream
 
 QUERY = "the erin src1 anti en the"
 ROOT = "/kb"
@@ -356,10 +358,13 @@ query("sync_overwrite", _TALLY.format(updated="doc_id % 5 <> 0", skipped="false"
 
 @query("sync_merged", "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS ids FROM documents")
 def sync_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     old = sync.prepared(text_concepts(docs.where("doc_id % 5 <> 0")), ROOT)
-    new = sync.merged(old, sync.sync_status(sync.prepared(text_concepts(docs.where("doc_id % 2 = 0 or doc_id % 5 = 0")), ROOT), old))
-    return new.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    return sync.merged(old, sync.sync_status(sync.prepared(text_concepts(docs.where("doc_id % 2 = 0 or doc_id % 5 = 0")), ROOT), old))
 
 
 # ------------------------------------------------------------------- routing
@@ -494,14 +499,49 @@ def search_concepts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sync_stream", "SELECT count(*) FILTER (doc_id % 50 NOT IN (7, 23, 41))::BIGINT AS n FROM documents")
 def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated notes, arriving as files, merged into a snapshot store."""
-    from tarnmark.storage import fresh_path
-    from tarnmark.streaming.incremental import SnapshotStore
-    from tarnmark.streaming.incremental import sync_stream as start
+    """Generated notes, arriving as files, merged into a store."""
+    return _streamed(spark, sf_dir).agg(F.count("*").alias("n"))
+
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrived = fresh_path(spark, "arrived")
     generated_notes(table(spark, sf_dir, "documents")).write.parquet(arrived)
-    store = SnapshotStore(spark, fresh_path(spark, "store"))
+    store = DeltaStore(spark, fresh_path(spark, "store"))
     notes = spark.readStream.schema("id string, path string, raw string").parquet(arrived)
-    start(notes, store, ROOT, fresh_path(spark, "stream")).awaitTermination()
-    return store.read().agg(F.count("*").alias("n"))
+    start_stream(notes, store, ROOT, fresh_path(spark, "stream")).awaitTermination()
+    return store.read()
+
+
+@query("sync_stream_rows", f"WITH {_NOTES} SELECT id AS concept_id, sha256({_BODY}) AS body_sha256, length({_BODY})::INT AS n_chars FROM c, n")
+def sync_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that a stream has put into the store."""
+    return _streamed(spark, sf_dir).select("concept_id", F.sha2("page_content", 256).alias("body_sha256"), F.length("page_content").alias("n_chars"))
+
+
+#: Rows of the store as SQL: its metadata and hash as JSON text, of documents with a column ``body``.
+_HASHED = (
+    "SELECT 'docs/' || source || '/' || doc_id AS concept_id, sha256('{\"metadata\":' || to_json('{\"bundle_root\":\"/kb\",\"concept_id\":\"docs/' || source || '/' || doc_id || "
+    "'\",\"path\":\"/kb/docs/' || source || '/' || doc_id || '.md\",\"source\":\"bundle\",\"tags\":[\"' || source || '\",\"' || lang || '\"],\"title\":\"Doc ' || doc_id || "
+    "'\",\"type\":\"' || lang || '\"}') || ',\"page_content\":' || to_json(body) || '}') AS content_hash"
+)
+
+
+@query("sync_delta", f"""WITH x AS (SELECT *, CASE WHEN doc_id % 100 = 3 THEN text || '?' WHEN doc_id % 2 = 0 THEN text WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS body
+  FROM documents WHERE (doc_id % 5 <> 0 OR doc_id % 2 = 0 OR doc_id % 100 = 3) AND doc_id % 50 <> 1) {_HASHED} FROM x""")
+def sync_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after three batches and a deletion: four fifths, then every second document anew, then one of a hundred."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    store = DeltaStore(spark, fresh_path(spark, "store"), compact_after=3)
+    put = lambda rows: store.sync(sync.prepared(text_concepts(rows), ROOT))
+    put(docs.where("doc_id % 5 <> 0").withColumn("text", F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    put(docs.where("doc_id % 2 = 0"))
+    put(docs.where("doc_id % 100 = 3").withColumn("text", F.concat("text", F.lit("?"))))
+    store.delete(sync.prepared(text_concepts(docs.where("doc_id % 50 = 1")), ROOT))
+    return store.read().select("concept_id", "content_hash")
+
+
+@query("sync_merged_rows", f"WITH x AS (SELECT *, text AS body FROM documents) {_HASHED} FROM x")
+def sync_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of sync_merged with their hashes."""
+    return _merged(spark, sf_dir).select("concept_id", "content_hash")

@@ -5,52 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnmark.operators.delta_store import DeltaStore
 from tarnmark.operators.parsing import concepts_of, parse_notes
-from tarnmark.operators.sync import merged, prepared, sync_status
+from tarnmark.operators.sync import prepared
 
-STORE = "doc_id string, concept_id string, page_content string, metadata string, content_hash string"
 
+def latest_of(notes: DataFrame) -> DataFrame:
+    """One row (id, path, raw) of each id: the last modified one where rows tell when (``modified``), else the greatest text."""
+    when = F.col("modified") if "modified" in notes.columns else F.lit(0)
+    return notes.groupBy("id").agg(F.max(F.struct(when.alias("modified"), "raw", "path")).alias("n")).select("id", "n.path", "n.raw")
 
-class SnapshotStore:
-    """A vector table as a row of written snapshots; the newest complete one counts.
 
-    A batch writes a new snapshot under its own number, so a repeated batch
-    overwrites only itself and a failed one leaves the last good state.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = []
-        for s in fs.listStatus(path):
-            name = s.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], STORE)
-        return self.spark.read.schema(STORE).parquet(f"{self.path}/v{versions[-1]}")
+def sync_stream(notes: DataFrame, store: DeltaStore, bundle_root: str, checkpoint: str):
+    """Start a stream of rows (id, path, raw[, modified]) into the store.
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.select(*[f.split()[0] for f in STORE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-
-
-def sync_stream(notes: DataFrame, store: SnapshotStore, bundle_root: str, checkpoint: str):
-    """Start a stream of rows (id, path, raw) into the store; of repeats in a batch one counts."""
+    Each batch appends what it adds or changes; the store knows the number of the
+    last batch, so one that is repeated after a failure is not applied twice.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("id").agg(F.max(F.struct("raw", "path")).alias("n")).select("id", "n.path", "n.raw")
-        docs = prepared(concepts_of(parse_notes(latest)), bundle_root)
-        before = store.read(before=number)
-        store.write(merged(before, sync_status(docs, before)), number)
+        store.sync(prepared(concepts_of(parse_notes(latest_of(batch))), bundle_root), batch=number)
 
     return notes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmark.functions.text import casefold
+from tarnmark.storage import discard, materialize
 
 
 def wiki_index(concepts: DataFrame) -> DataFrame:
@@ -26,13 +27,15 @@ def resolve(occurrences: DataFrame, concepts: DataFrame) -> DataFrame:
     Path links resolve if their target is a concept. Wikilinks resolve to the
     one concept with their key; with several they are ambiguous and keep the key.
     Both sides are joined on equality with at most one match, so nothing fans out.
+    The index is a written table when it is joined, so that Spark can split a key
+    that many notes use; the edges are a written table too.
     """
     known = concepts.select(F.col("id").alias("known_id")).distinct()
-    index = wiki_index(concepts).select(F.col("key"), "n", "concept_id")
+    index = materialize(wiki_index(concepts).select(F.col("key"), "n", "concept_id"), "wiki-index")
     is_wiki = F.col("link_kind") == "wiki"
     joined = occurrences.join(known, ~is_wiki & (F.col("target_id") == F.col("known_id")), "left")
     joined = joined.join(index, is_wiki & (F.col("target_id") == F.col("key")), "left")
-    return joined.select(
+    edges = joined.select(
         "source_id",
         "edge_pos",
         F.coalesce("concept_id", "target_id").alias("target_id"),
@@ -41,6 +44,9 @@ def resolve(occurrences: DataFrame, concepts: DataFrame) -> DataFrame:
         "link_kind",
         F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"),
     )
+    edges = materialize(edges, "edges")
+    discard(index)
+    return edges
 
 
 def links_from(edges: DataFrame, concept_id: str) -> DataFrame:

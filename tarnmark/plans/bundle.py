@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmark.errors import BundleInvalid, ConceptNotFound
@@ -14,8 +14,9 @@ from tarnmark.operators.links import backlinks, links_from, resolve, synthesized
 from tarnmark.operators.parsing import concepts_of, occurrences, parse_notes
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.shipping import ship
-from tarnmark.sources.files import decode, list_files, read_notes
-from tarnmark.storage import materialize
+from tarnmark.sources.files import checked_root, decode
+from tarnmark.sources.tree import read_tree
+from tarnmark.storage import discard, materialize
 
 INDEX = "title string, description string, body string, concept_ids array<string>"
 
@@ -29,28 +30,32 @@ class Bundle:
 
     @classmethod
     def of_notes(cls, notes: DataFrame, root: str, index: DataFrame | None = None) -> "Bundle":
-        """From rows (id, path, raw[, reason]); each note is parsed once."""
+        """From rows (id, path, raw[, reason]); each note is parsed once, and of rows with one id the last in path order stays."""
         parsed = materialize(parse_notes(notes), "parsed")
+        if not parsed.groupBy("id").count().where("count > 1").isEmpty():
+            last = Window.partitionBy("id").orderBy(F.desc("path"))
+            again, parsed = parsed, materialize(parsed.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n"), "parsed")
+            discard(again)
         concepts = concepts_of(parsed)
-        edges = materialize(resolve(occurrences(concepts), concepts), "edges")
-        skipped = parsed.where("reason is not null").select("path", "reason")
+        edges = resolve(occurrences(concepts), concepts)
+        below = F.when(F.startswith("path", F.lit(root + "/")), F.substring("path", len(root) + 2, 1 << 30)).otherwise(F.col("path"))
+        skipped = parsed.where("reason is not null").select(below.alias("path"), "reason")
         return cls(root, concepts.drop("links"), edges, skipped, index if index is not None else synthesized_index(concepts))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, *, on_error: str = "raise") -> "Bundle":
-        """From a directory tree. ``raise`` reports all bad files in one error; ``skip`` leaves them out."""
+        """From a directory tree. ``raise`` reports all bad files in one error; ``skip`` leaves them out, as rows of ``skipped``."""
         if on_error not in ("raise", "skip"):
             raise ValueError(f"on_error must be 'raise' or 'skip', got {on_error!r}")
-        root, listed = list_files(str(path))
-        relative = {p: r for _, p, r, _ in listed}
-        bundle = cls.of_notes(read_notes(ship(spark), listed), root)
-        failed = {relative.get(r.path, r.path): r.reason for r in bundle.skipped.collect()}  # bad files only
+        root = checked_root(str(path))
+        bundle = cls.of_notes(read_tree(ship(spark), root), root)
         index, reason = cls._read_index(root)
         if reason:
-            failed["index.md"] = reason
-        if failed and on_error == "raise":
-            raise BundleInvalid(failed)
-        bundle.skipped = spark.createDataFrame(sorted(failed.items()), "path string, reason string")
+            bundle.skipped = bundle.skipped.unionByName(spark.createDataFrame([("index.md", reason)], "path string, reason string"))
+        if on_error == "raise":
+            failed = {r.path: r.reason for r in bundle.skipped.collect()}  # they are all told in the error
+            if failed:
+                raise BundleInvalid(failed)
         if index is not None:
             bundle._index = spark.createDataFrame([index], INDEX)
         if bundle.concepts.isEmpty():

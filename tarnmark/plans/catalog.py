@@ -12,7 +12,9 @@ from tarnmark.operators.delta_store import DeltaStore
 from tarnmark.operators.parsing import skipped_of
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.operators.vector_index import VectorIndex
+from tarnmark.plans.bundle import Bundle
 from tarnmark.sources.tables import generated_bundle, generated_notes, key_graph, table, text_concepts, turn_chain
+from tarnmark.sources.tree import read_tree, write_tree
 from tarnmark.storage import fresh_path, materialize
 from tarnmark.streaming.incremental import sync_stream as start_stream
 
@@ -205,6 +207,47 @@ def synthesize_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.synthesized_index(generated_bundle(spark, sf_dir)[0]).select("title", "body", F.size("concept_ids").alias("n"))
 
 
+# --------------------------------------------------------------------- trees
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """A tree written from the documents: the generated notes under many folders, some names that no concept may have, some bytes that are no text."""
+    root = fresh_path(spark, "tree")
+    i = F.col("doc_id")
+    odd = i % 50
+    folder = F.concat(F.lit("a"), (i % 5).cast("string"), F.lit("/"), F.when(i % 3 == 0, "_b/.c/").otherwise(""))
+    name = F.concat(F.when(i % 4 == 0, "_").otherwise(""), F.lit("n"), i.cast("string"), F.when(odd == 13, ".txt").otherwise(".md"))
+    apart = F.concat(i.cast("string"), F.when(odd == 11, "/log.md").otherwise("/index.md"))
+    path = F.concat(folder, F.when(odd.isin(11, 12), apart).otherwise(name))
+    notes = generated_notes(table(spark, sf_dir, "documents"), 1 << 40).withColumn("doc_id", F.substring("id", 10, 20).cast("long"))
+    content = F.when(odd == 9, F.unhex(F.lit("2D2D2DFF"))).otherwise(F.col("raw").cast("binary"))
+    write_tree(notes.select(path.alias("relative"), content.alias("content")), root)
+    return root
+
+
+#: What is written there, as SQL: the concept files with their folder, some of which cannot be read.
+_FILES = """f AS (SELECT doc_id AS i, 'a' || (doc_id % 5) || '/' || CASE WHEN doc_id % 3 = 0 THEN '_b/.c/' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN '_' ELSE '' END || 'n' || doc_id AS id, text, lang
+  FROM documents WHERE doc_id % 50 NOT IN (11, 12, 13))"""
+
+
+@query("tree_scan", f"""WITH {_FILES} SELECT id, id || '.md' AS relative, CASE WHEN i % 50 = 9 THEN 'file is not valid UTF-8' END AS reason,
+  CASE WHEN i % 50 <> 9 THEN ends_with(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'e') END AS ends_in_e FROM f""")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tree(spark, _tree(spark, sf_dir)).select("id", "relative", "reason", F.endswith("raw", F.lit("e\n")).alias("ends_in_e"))
+
+
+@query("bundle_skipped", f"""WITH {_FILES} SELECT id || '.md' AS path, CASE i % 50 WHEN 9 THEN 'file is not valid UTF-8' WHEN 7 THEN 'frontmatter is missing required key ''type'''
+  WHEN 23 THEN 'missing opening ''---'' frontmatter delimiter' ELSE 'missing closing ''---'' frontmatter delimiter' END AS reason FROM f WHERE i % 50 IN (7, 9, 23, 41)""")
+def bundle_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What loading the tree leaves out, and why."""
+    return Bundle.load(spark, _tree(spark, sf_dir), on_error="skip").skipped
+
+
+@query("bundle_concepts", f"WITH {_FILES} SELECT id, lang AS type, 'Doc ' || i AS title FROM f WHERE i % 50 NOT IN (7, 9, 23, 41)")
+def bundle_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Bundle.load(spark, _tree(spark, sf_dir), on_error="skip").all_concepts().select("id", "type", "title")
+
+
 # --------------------------------------------------------------------- graph
 
 

@@ -1,71 +1,47 @@
-"""A directory tree of Markdown files as rows (id, path, raw, reason)."""
+"""Reading of single files, local or in any store that pyarrow reads."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
 from tarnmark.errors import BundleNotFound
 
 #: File names that are no concepts, at any depth.
 RESERVED = {"index.md", "log.md"}
 
 
-def _is_local(root: str) -> bool:
-    return "://" not in root
+def is_local(path: str) -> bool:
+    return "://" not in path
+
 
+def is_concept(name: str) -> bool:
+    return name.endswith(".md") and name not in RESERVED
 
-def list_files(root: str) -> tuple[str, list[tuple[str, str, str, str | None]]]:
-    """The resolved root, and (id, path, relative path, reason) of each concept file in path order.
 
-    Only names are listed here; contents are read by the tasks. Hidden and
-    underscored names count, which Spark's own file sources would leave out. Of
-    files that resolve to one id the last in path order stays.
-    """
-    found = []
-    if _is_local(root):
+def checked_root(root: str) -> str:
+    """The resolved root; BundleNotFound if it is missing, no directory, or cannot be listed."""
+    if is_local(root):
         top = Path(root).resolve()
         if not top.exists():
             raise BundleNotFound(str(root))
         if not top.is_dir():
             raise BundleNotFound(str(root), reason="not_a_directory")
         try:
-            names = [Path(d, n) for d, _, files in os.walk(top, onerror=_raise) for n in files if n.endswith(".md") and n not in RESERVED]
+            next(top.iterdir(), None)
         except OSError as e:
             raise BundleNotFound(str(root)) from e
-        for file in sorted((n for n in names if n.is_file()), key=lambda n: n.relative_to(top).as_posix()):
-            real = file.resolve()
-            inside = real.is_relative_to(top)
-            relative = real.relative_to(top).as_posix() if inside else str(file)
-            found.append((relative.removesuffix(".md"), str(real), relative, None if inside else "concept file lies outside the bundle root"))
-        root = str(top)
-    else:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root)
-        info = store.get_file_info(base)
-        if info.type == fs.FileType.NotFound:
-            raise BundleNotFound(root)
-        if info.type != fs.FileType.Directory:
-            raise BundleNotFound(root, reason="not_a_directory")
-        for f in store.get_file_info(fs.FileSelector(base, recursive=True)):
-            if f.type == fs.FileType.File and f.path.endswith(".md") and f.base_name not in RESERVED:
-                relative = f.path[len(base) :].lstrip("/")
-                found.append((relative.removesuffix(".md"), f"{root.rstrip('/')}/{relative}", relative, None))
-        found.sort(key=lambda x: x[2])
-    return root, list({x[0]: x for x in found}.values())
-
-
-def _raise(error: OSError) -> None:
-    raise error
+        return str(top)
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    kind = store.get_file_info(base).type
+    if kind != fs.FileType.Directory:
+        raise BundleNotFound(root, reason="missing" if kind == fs.FileType.NotFound else "not_a_directory")
+    return root.rstrip("/")
 
 
 def read_bytes(path: str) -> bytes:
-    if _is_local(path):
+    if is_local(path):
         return Path(path).read_bytes()
     from pyarrow import fs
 
@@ -83,21 +59,3 @@ def decode(path: str) -> tuple[str | None, str | None]:
     except OSError as e:
         return None, f"file could not be read: {e}"
     return text.replace("\r\n", "\n").replace("\r", "\n"), None
-
-
-def read_notes(spark: SparkSession, listed: list[tuple[str, str, str, str | None]], files_per_task: int = 2000) -> DataFrame:
-    """(id, path, raw, reason, relative): the listed files, read by the tasks."""
-    schema = "id string, path string, relative string, reason string"
-    names = spark.createDataFrame(listed, schema) if listed else spark.createDataFrame([], schema)
-    names = names.repartition(max(1, -(-len(listed) // files_per_task)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200).to_pylist()
-                for r in rows:
-                    r["raw"], bad = (None, r["reason"]) if r["reason"] else decode(r["path"])
-                    r["reason"] = r["reason"] or bad
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string()) for n in ("id", "path", "raw", "reason", "relative")]))
-
-    return names.mapInArrow(run, "id string, path string, raw string, reason string, relative string")

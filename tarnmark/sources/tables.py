@@ -63,7 +63,7 @@ def generated_bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """(concepts, edges, parsed) of the generated notes."""
     parsed = materialize(parse_notes(generated_notes(table(spark, sf_dir, "documents"))), "parsed")
     concepts = concepts_of(parsed)
-    return concepts, materialize(resolve(occurrences(concepts), concepts), "edges"), parsed
+    return concepts, resolve(occurrences(concepts), concepts), parsed
 
 
 def key_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation as an edge to the next one."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     name = lambda turn: F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
-    after = c.select("conv_id", F.col("turn").alias("next"))
-    return c.join(after, "conv_id").where(F.col("next") == F.col("turn") + 1).select(
-        name(F.col("turn")).alias("source_id"), F.lit(0).alias("edge_pos"), name(F.col("next")).alias("target_id"), F.lit(True).alias("resolved")
+    before = c.select("conv_id", F.col("turn").alias("last"), (F.col("turn") + 1).alias("turn"))
+    return c.join(before, ["conv_id", "turn"]).select(
+        name(F.col("last")).alias("source_id"), F.lit(0).alias("edge_pos"), name(F.col("turn")).alias("target_id"), F.lit(True).alias("resolved")
     )

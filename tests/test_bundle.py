@@ -13,18 +13,21 @@ def note(meta, body=""):
     return f"---\n{meta}\n---\n{body}"
 
 
+#: Ferries: three levels of folders, wikilinks by title and alias, one note that all roads lead to, and one that nothing links to.
 STORE = {
-    "index.md": "# Night Sky\n\nAll about the sky.\n\n- [Nights](sky/nights.md)\n- [Cameras](sky/cameras.md)\n- [Nights](sky/nights.md)\n",
-    "log.md": "a log",
-    "sky/index.md": "no metadata here",
-    "sky/cameras.md": note("type: chart\ntitle: Cameras\ndescription: Lenses and mounts.\ntags: [optics, diary]", "What we look through.\n\nSee [nights](nights.md).\n"),
-    "sky/nights.md": note(
-        "type: chart\ntitle: Nights\ndescription: What was seen.\ntags: [diary]\ntimestamp: 2025-11-03T21:15:00\nobserver: mira",
-        "# Nights\n\nA list of [aims](stars.md), some [gone](missing.md), seen [x](https://e.com/a.md) by a camera of [ours](cameras.md).\n```\n[no](stars.md)\n```\n",
+    "index.md": "Routes of the northern islands,\nkept by the harbour office.\n\n## Where to begin\n\nSee [[Skarv]] or the [fares](money/fares.md#adults).\n",
+    "boats/log.md": "06:10 left Skarv",
+    "boats/new/asta.md": note("type: boat\ntitle: Asta", "Replaces [[M/F Hilma]], not the [sunken one](../old/gudrun.md).\n"),
+    "boats/old/hilma.md": note(
+        "type: boat\ntitle: M/F Hilma\ntimestamp: 2019-05-04T06:00:00+02:00\nberths: 12",
+        "Calls at [one](/islands/north/skarv.md), [two](/islands/north/tern.md) and [three](/islands/south/lunde.md), back at [[Cormorant]].\n~~~\n[four](/money/fares.md)\n~~~\n",
     ),
-    "sky/stars.md": note("type: chart\ntitle: Stars\ntags: [deepfield]", "What to point at.\n"),
-    "tips/first-night.md": note("type: guide\ntitle: First Night", "Look at this chart first: [[Nights]] and [o](../sky/nights.md)\n"),
+    "islands/north/skarv.md": note("type: island\ntitle: Skarv\naliases: [Cormorant]", "By way of [[tern]]; see [[fares|what it costs]].\n"),
+    "islands/north/tern.md": note("type: island\ntitle: Tern\ntags: [quiet]", "[The boat](../../boats/old/hilma.md) comes from [[Skarv]].\n"),
+    "islands/south/lunde.md": note("type: island\ndescription: Puffins, mostly.\ntags: [quiet, windy]", "No links here.\n"),
+    "money/fares.md": note("type: table\ntitle: Fares", "Adults pay 40, children sail free.\n"),
 }
+ASTA, HILMA, SKARV, TERN, LUNDE, FARES = "boats/new/asta", "boats/old/hilma", "islands/north/skarv", "islands/north/tern", "islands/south/lunde", "money/fares"
 
 
 def write(root, files):
@@ -45,40 +48,43 @@ def ids(df):
 
 
 def test_loaded(store):
-    assert ids(store.all_concepts().select("id")) == ["sky/cameras", "sky/nights", "sky/stars", "tips/first-night"]
+    assert ids(store.all_concepts().select("id")) == [ASTA, HILMA, SKARV, TERN, LUNDE, FARES]
     index = store.index().first()
-    assert (index.title, index.description, index.concept_ids) == ("Night Sky", "All about the sky.", ["sky/nights", "sky/cameras"])
-    nights = store.get("sky/nights")
-    assert (nights.ts_iso, nights.extra, nights.outbound_links) == ("2025-11-03T21:15:00", '{"observer": "mira"}', ["sky/stars", "sky/missing", "sky/cameras"])
-    with pytest.raises(ConceptNotFound, match="sky/Nights"):
-        store.get("sky/Nights")
+    assert (index.title, index.description, index.concept_ids) == (None, "Routes of the northern islands, kept by the harbour office.", ["skarv", FARES])
+    hilma = store.get(HILMA)
+    assert (hilma.ts_iso, hilma.ts_offset_s, hilma.extra) == ("2019-05-04T06:00:00+02:00", 7200, '{"berths": 12}')
+    assert hilma.outbound_links == [SKARV, TERN, LUNDE, "cormorant"]
+    with pytest.raises(ConceptNotFound, match="Asta"):
+        store.get("boats/new/Asta")
 
 
 def test_search(store):
-    assert ids(store.search("camera")) == ["sky/cameras", "sky/nights"]
-    assert ids(store.search("DEEPFIELD")) == ["sky/stars"]
-    assert ids(store.search("chart")) == ["tips/first-night"]
+    assert ids(store.search("quiet")) == [TERN, LUNDE]
+    assert ids(store.search("HILMA")) == [HILMA, ASTA, TERN]
+    assert [(r.id, r.score) for r in store.search("puffins pay pay", 2).collect()] == [(LUNDE, 2), (FARES, 2)]
     assert ids(store.search("?!")) == [] and ids(store.search("")) == []
-    assert [(r.id, r.score) for r in store.search("nights nights", 1).collect()] == [("sky/nights", 10)]
+    assert [(r.id, r.score) for r in store.search("tern tern", 1).collect()] == [(TERN, 8)]
     with pytest.raises(ValueError):
         store.search("", 0)
 
 
 def test_links(store):
-    assert [(r.target_id, r.resolved) for r in store.links_from("sky/nights").collect()] == [("sky/stars", True), ("sky/missing", False), ("sky/cameras", True)]
-    assert [r.source_id for r in store.backlinks("sky/nights").collect()] == ["sky/cameras", "tips/first-night", "tips/first-night"]
+    assert [(r.target_id, r.link_kind) for r in store.links_from(HILMA).collect()] == [(SKARV, "markdown"), (TERN, "markdown"), (LUNDE, "markdown"), (SKARV, "wiki")]
+    assert [(r.target_id, r.resolved) for r in store.links_from(ASTA).collect()] == [(HILMA, True), ("boats/old/gudrun", False)]
+    assert [r.source_id for r in store.backlinks(SKARV).collect()] == [HILMA, HILMA, TERN]
+    assert store.backlinks(ASTA).count() == 0
     with pytest.raises(ConceptNotFound):
         store.backlinks("none")
 
 
 def test_neighbors(store):
-    assert ids(store.neighbors("sky/stars", 2, "in")) == ["sky/nights", "sky/cameras", "tips/first-night"]
-    assert ids(store.neighbors("sky/nights")) == ["sky/cameras", "sky/stars"]
-    assert ids(store.neighbors("sky/nights", 0)) == []
+    assert ids(store.neighbors(FARES, 2, "in")) == [SKARV, HILMA, TERN]
+    assert ids(store.neighbors(ASTA, 3)) == [HILMA, SKARV, TERN, LUNDE, FARES]
+    assert ids(store.neighbors(LUNDE, 1, "both")) == [HILMA] and ids(store.neighbors(LUNDE, 0)) == []
     with pytest.raises(ValueError):
-        store.neighbors("sky/nights", -1)
+        store.neighbors(ASTA, -1)
     with pytest.raises(ValueError):
-        store.neighbors("sky/nights", 1, "up")
+        store.neighbors(ASTA, 1, "up")
 
 
 def test_errors_are_gathered(spark, tmp_path):
@@ -119,11 +125,11 @@ def test_wiki_resolution(spark, tmp_path):
 
 
 def test_graph_retrieval(spark, store):
-    hits = [("q", 1, "none", None), ("q", 2, "tips/first-night", store.root), ("q", 3, "tips/first-night", None), ("q", 4, "sky/stars", "/other"), ("q", 5, None, None)]
+    hits = [("q", 1, "none", None), ("q", 2, ASTA, store.root), ("q", 3, ASTA, None), ("q", 4, FARES, "/other"), ("q", 5, None, None)]
     df = spark.createDataFrame(hits, "query_id string, hit_rank int, concept_id string, bundle_root string")
     got = vectors.graph_retrieve(df, store.concepts, store.edges, store.root, expand_hops=2).orderBy("rank").collect()
-    assert [r.concept_id for r in got] == ["tips/first-night", "sky/nights", "sky/cameras", "sky/stars"]
-    assert '"title":"First Night"' in got[0].metadata and "description" not in got[0].metadata
+    assert [r.concept_id for r in got] == [ASTA, HILMA, SKARV, TERN, LUNDE]
+    assert '"title":"Asta"' in got[0].metadata and "description" not in got[0].metadata
     assert vectors.graph_retrieve(df, store.concepts, store.edges, store.root, expand_hops=0).count() == 1
 
 
@@ -146,13 +152,13 @@ def test_sync(spark, store):
     docs = sync.prepared(store.concepts, store.root)
     empty = docs.limit(0)
     counts = lambda status: tuple(sync.sync_counts(status).first())[:4]
-    assert counts(sync.sync_status(docs, empty)) == (4, 0, 0, 0)
+    assert counts(sync.sync_status(docs, empty)) == (6, 0, 0, 0)
     full = sync.merged(empty, sync.sync_status(docs, empty))
-    assert counts(sync.sync_status(docs, full)) == (0, 0, 4, 0)
-    assert counts(sync.sync_status(docs, full, overwrite=True)) == (0, 4, 0, 0)
-    changed = sync.prepared(store.concepts.withColumn("body", F.when(F.col("id") == "sky/nights", "new").otherwise(F.col("body"))), store.root)
-    assert counts(sync.sync_status(changed, full)) == (0, 1, 3, 0)
-    assert sync.merged(full, sync.sync_status(changed, full)).count() == 4
+    assert counts(sync.sync_status(docs, full)) == (0, 0, 6, 0)
+    assert counts(sync.sync_status(docs, full, overwrite=True)) == (0, 6, 0, 0)
+    changed = sync.prepared(store.concepts.withColumn("body", F.when(F.col("id") == FARES, "new").otherwise(F.col("body"))), store.root)
+    assert counts(sync.sync_status(changed, full)) == (0, 1, 5, 0)
+    assert sync.merged(full, sync.sync_status(changed, full)).count() == 6
     with pytest.raises(TypeError, match="content_hash"):
         sync.sync_status(docs, full.drop("content_hash"))
 
@@ -161,52 +167,61 @@ def test_sync_outside_spark(store):
     docs = sync.prepared(store.concepts, store.root).coalesce(1)
 
     def write(rows):
-        if any(r["concept_id"] == "sky/cameras" for r in rows):
+        if any(r["concept_id"] == ASTA for r in rows):
             raise RuntimeError("store is full\nand more")
 
     got = {r.concept_id: (r.status, r.error) for r in sync.sync_external(docs, lambda ids: {}, write, batch_size=2).collect()}
-    assert got["sky/nights"] == ("failed", "sky/nights: RuntimeError: store is full")
-    assert sorted(s for s, _ in got.values()) == ["added", "added", "failed", "failed"]
+    assert got[HILMA] == ("failed", f"{HILMA}: RuntimeError: store is full")
+    assert sorted(s for s, _ in got.values()) == ["added"] * 4 + ["failed"] * 2
     with pytest.raises(ValueError):
         sync.sync_external(docs, None, None, batch_size=0)
 
 
-def test_routing(spark, store):
-    asked = ["Nights", "  NIGHTS  ", "first-night", "deepfield", "order", "nights and refunds", "", "  "]
+def test_routing(spark, store, tmp_path):
+    asked = ["Asta", "  TERN ", "m f  HILMA!", "windy", "skar", "asta and fares", "", "  ", None]
     df = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, query string")
     route = lambda **k: [r.route for r in routing.route(df, store.concepts, **k).orderBy("i").collect()]
-    assert route(has_store=True) == ["bundle"] * 4 + ["vector"] * 4
-    assert route(has_store=False) == ["bundle"] * 8
-    said = lambda prompt: "Route: BOTH." if "refunds" in prompt else "bundle or vector"
-    assert route(has_store=True, classifier=said) == ["bundle"] * 4 + ["vector", "both", "vector", "vector"]
-    assert route(has_store=False, classifier=said) == ["bundle"] * 8
+    assert route(has_store=True) == ["bundle"] * 4 + ["vector"] * 5
+    assert route(has_store=False) == ["bundle"] * 9
+    log = str(tmp_path / "calls")
+
+    def said(prompt):
+        with open(log, "a") as f:
+            f.write("x")
+        return "Route: BOTH." if "fares" in prompt else "bundle or vector"
+
+    routed = routing.route(df, store.concepts, has_store=True, classifier=said)
+    for _ in range(2):
+        assert [r.route for r in routed.orderBy("i").collect()] == ["bundle"] * 4 + ["vector", "both", "vector", "vector", "vector"]
+    assert routed.count() == 9
+    assert len(open(log).read()) == 6  # once for each query that is not blank
+    assert route(has_store=False, classifier=said) == ["bundle"] * 9
 
 
 def test_retriever_documents(spark, store):
-    queries = spark.createDataFrame([(1, "diary"), (2, "zzz")], "query_id int, query string")
+    queries = spark.createDataFrame([(1, "quiet"), (2, "zzz")], "query_id int, query string")
     got = search.retrieve(store.concepts, queries, store.root, 2).orderBy("rank").collect()
-    assert [(r.query_id, r.concept_id) for r in got] == [(1, "sky/cameras"), (1, "sky/nights")]
+    assert [(r.query_id, r.concept_id) for r in got] == [(1, TERN), (1, LUNDE)]
 
 
 def test_tools(store):
     read, find, show, index = create_tools(store)
     assert [t.name for t in (read, find, show, index)] == ["read_concept", "search_concepts", "list_links", "read_index"]
-    assert read.invoke({"concept_id": "sky/stars"}) == (
-        "# Stars\n\nID: sky/stars\nType: chart\nTags: deepfield\nRelated (resolved): none\nRelated (unresolved): none\n\n---\n\nWhat to point at."
+    assert read.invoke({"concept_id": LUNDE}) == (
+        f"# {LUNDE}\n\nID: {LUNDE}\nType: island\nDescription: Puffins, mostly.\nTags: quiet, windy\nRelated (resolved): none\nRelated (unresolved): none\n\n---\n\nNo links here."
     )
-    text = read.invoke({"concept_id": "sky/nights"})
-    assert "Timestamp: 2025-11-03T21:15:00\nRelated (resolved): sky/cameras, sky/stars\nRelated (unresolved): sky/missing\n" in text
+    assert f"Timestamp: 2019-05-04T06:00:00+02:00\nRelated (resolved): {SKARV}, {TERN}, {LUNDE}\nRelated (unresolved): none\n" in read.invoke({"concept_id": HILMA})
     assert read.invoke({"concept_id": "x"}) == "Error: Concept not found in bundle: x"
-    assert find.invoke({"query": "deepfield"}) == "1. sky/stars - Stars (type: chart)\n   What to point at."
+    assert find.invoke({"query": "puffins"}) == f"1. {LUNDE} - {LUNDE} (type: island)\n   Puffins, mostly."
     assert find.invoke({"query": "zzz'zz"}) == "No concepts matched the query \"zzz'zz\"."
     assert find.invoke({"query": "a", "top_k": 26}).startswith("Error: invalid tool input at top_k: ")
     assert find.invoke({}).startswith("Error: invalid tool input at query: ")
-    assert show.invoke({"concept_id": "sky/nights"}) == (
-        "Links for sky/nights (direction: both):\n-> sky/stars - Stars\n-> sky/missing - sky/missing (unresolved)\n"
-        "-> sky/cameras - Cameras\n<- sky/cameras - Cameras\n<- tips/first-night - First Night"
+    assert show.invoke({"concept_id": HILMA}) == (
+        f"Links for {HILMA} (direction: both):\n-> {SKARV} - Skarv\n-> {TERN} - Tern\n-> {LUNDE} - {LUNDE}\n<- {ASTA} - Asta\n<- {TERN} - Tern"
     )
-    assert show.invoke({"concept_id": "sky/stars", "direction": "out"}) == "No links found for sky/stars (direction: out)."
-    assert show.invoke({"concept_id": "sky/stars", "direction": "up"}).startswith("Error: ")
+    assert show.invoke({"concept_id": ASTA, "direction": "out"}).endswith("\n-> boats/old/gudrun - boats/old/gudrun (unresolved)")
+    assert show.invoke({"concept_id": LUNDE, "direction": "out"}) == f"No links found for {LUNDE} (direction: out)."
+    assert show.invoke({"concept_id": LUNDE, "direction": "up"}).startswith("Error: ")
     assert index.invoke() == STORE["index.md"]
     with pytest.raises(TypeError):
         create_tools("bundle")
@@ -226,9 +241,9 @@ def test_nearest_ties_count_after_rounding(spark):
 
 
 def test_batch_search_in_passes(spark, store, monkeypatch):
-    asked = spark.createDataFrame([(i, q) for i, q in enumerate(["camera", "nights nights deepfield", "", "?!", "chart camera what"] * 3)], "query_id int, query string")
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(["hilma", "quiet quiet puffins", "", "?!", "island boat what"] * 3)], "query_id int, query string")
     want = sorted(tuple(r) for r in search.search(store.concepts, asked, 3).collect())
-    assert [r[2] for r in want if r[0] == 0] == ids(store.search("camera", 3))
+    assert [r[2] for r in want if r[0] == 0] == ids(store.search("hilma", 3))
     monkeypatch.setattr(search, "PASS_BYTES", 20)
     monkeypatch.setattr(search, "BLOCK", 2)
     assert sorted(tuple(r) for r in search.search(store.concepts, asked, 3).collect()) == want

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmark.functions.markdown import Invalid, check_metadata, index_heading, internal_target, links, parse_note, split_note, wiki_key
+from tarnmark.functions.markdown import Invalid, check_metadata, index_heading, internal_target, links, open_stretches, parse_note, split_note, wiki_key
 from tarnmark.functions.text import casefold, escapes, lines, link_target, normal_path, snippet, strip, tokens, uuid5
 
 
@@ -84,6 +84,15 @@ def test_index_heading():
     assert index_heading("# Top ##\n\n- [a](a.md)\n\nFirst line\n- more\n\nnext") == ("Top", "First line - more")
     assert index_heading("---\ntitle: x\n---\n\n# T\n") == (None, "--- title: x ---")
     assert index_heading("```\n# no\n```\n## two\n") == (None, None)
+    assert index_heading("~~~\n# a\n```\n# B #\n\n1) x\npart one\n * part two\n```\nmore\n") == ("B", "part one * part two")
+    assert index_heading("") == (None, None) and index_heading("```\nx") == (None, None)
+
+
+def test_open_stretches():
+    text = "a\n```x\nb\n~~~\n   ```\nc\x0b~~~\nd"
+    assert open_stretches(text) == ["a\n", "c\x0b", ""]
+    assert open_stretches(text, paired=False) == ["a\n", "", "d"]
+    assert open_stretches("    ```\nx") == ["    ```\nx"]
 
 
 def test_text_functions(spark):

@@ -371,6 +371,12 @@ def test_stages_bear_any_columns(spark, sf_dir):
             assert got.columns == docs.columns and got.count() <= docs.count(), name
 
 
+def test_timestamps_survive_the_mask(spark, sf_dir):
+    text = "logged at 1700000000123 by 4006381333931, card 4111 1111 1111 1111"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert corpus_pipeline.mask_personal_data(spark, df, sf_dir).first().text == text.replace("4111 1111 1111 1111", "<card>")
+
+
 def test_one_row_of_each_group_stays(spark):
     rng = random.Random(9)
     text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(80))

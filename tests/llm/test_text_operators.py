@@ -319,6 +319,35 @@ def test_field():
     assert base == [] and [text[s:e] for s, _, e in added] == ["7536784127813050", "4845168114407329"]
 
 
+def test_numbers_that_are_no_personal_data():
+    """Numbers made here, not by the generator of the training windows."""
+    field, rng = pii.trained(), random.Random(19)
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def luhn(n):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(n[::-1])) % 10 == 0
+
+    def ean():
+        n = num(12)
+        return n + str(-sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(n)) % 10)
+
+    plain = [n for size in range(1, 25) for n in (num(size) for _ in range(40)) if not (14 <= size <= 19 and luhn(n))]
+    plain += [make() for make in (ean, lambda: "1" + num(12), lambda: f"20{num(2)}-{num(2)}-{num(2)}T{num(2)}:{num(2)}:{num(2)}.{num(3)}Z", lambda: f"{num(3)}.{num(12)}", lambda: f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}") for _ in range(40)]
+    for n in plain:
+        for text in (n, f"logged at {n} by host", f"id={n};", f"({n}), next"):
+            base, added = pii.find_spans(text, field)
+            assert not added, (text, added)
+            assert base or pii.mask(text, field) == text
+    for _ in range(100):
+        cards = []
+        while len(cards) < 3:
+            n = num(16)
+            cards += [n] if luhn(n) else []
+        text = "cards " + " ".join(cards) + " here"
+        base, added = pii.find_spans(text, field)
+        assert [text[s:e] for s, _, e in sorted(base + added)] == cards
+
+
 def test_field_decodes_the_best_segmentation():
     field = pii.trained()
     rng = random.Random(2)

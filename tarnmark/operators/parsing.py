@@ -12,7 +12,7 @@ from pyspark.sql.types import (
     ArrayType, IntegerType, StringType, StructField, StructType, TimestampNTZType,
 )
 
-from tarnmark.functions.markdown import parse_note
+from tarnmark.functions.markdown import Invalid, index_heading, links, parse_note
 
 _TEXT, _LIST = StringType(), ArrayType(StringType())
 LINK = StructType(
@@ -58,3 +58,21 @@ def skipped_of(parsed: DataFrame) -> DataFrame:
 def occurrences(concepts: DataFrame) -> DataFrame:
     """One row for each link occurrence: source_id, edge_pos, target_id, anchor_text, link_kind."""
     return concepts.select(F.col("id").alias("source_id"), F.inline("links"))
+
+
+def index_row(raw: str) -> tuple[str | None, str | None, list[str]]:
+    """(title, description, concept_ids) of an index; ids in order, first of repeats."""
+    return (*index_heading(raw), list(dict.fromkeys(e["target_id"] for e in links(raw, "index"))))
+
+
+def parse_indexes(rows: DataFrame) -> DataFrame:
+    """Rows with an index text ``raw`` get title, description, concept_ids and reason; a bad one has its reason only."""
+    kind = StructType([StructField("title", _TEXT), StructField("description", _TEXT), StructField("concept_ids", _LIST), StructField("reason", _TEXT)])
+
+    def parse(raw: str | None) -> tuple:
+        try:
+            return (*index_row(raw or ""), None)
+        except Invalid as e:
+            return None, None, None, str(e)
+
+    return rows.withColumn("_index", F.udf(parse, kind, useArrow=True)("raw")).select("*", "_index.*").drop("_index")

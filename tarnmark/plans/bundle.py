@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmark.errors import BundleInvalid, ConceptNotFound
-from tarnmark.functions.markdown import Invalid, index_heading, links
+from tarnmark.functions.markdown import Invalid
 from tarnmark.operators import graph, search
 from tarnmark.operators.links import backlinks, links_from, resolve, synthesized_index
-from tarnmark.operators.parsing import concepts_of, occurrences, parse_notes
+from tarnmark.operators.parsing import concepts_of, index_row, occurrences, parse_notes
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.shipping import ship
 from tarnmark.sources.files import checked_root, decode
@@ -71,10 +71,10 @@ class Bundle:
             absent = "No such file" in reason or "does not exist" in reason or "not found" in reason.lower()
             return None, None if absent else f"index could not be read: {reason}"
         try:
-            targets = [e["target_id"] for e in links(text, "index")]
+            title, description, ids = index_row(text)
         except Invalid as e:
             return None, str(e)
-        return (*index_heading(text), text, list(dict.fromkeys(targets))), None
+        return (title, description, text, ids), None
 
     @property
     def concept_count(self) -> int:

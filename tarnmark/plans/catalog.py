@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmark.functions.text import escapes, link_target, snippet, token_estimate
+from tarnmark.functions.text import escapes, link_target, snippet
 from tarnmark.operators import graph, links, navigation, routing, search, sync, vectors
 from tarnmark.operators.agent_tools import concept_texts, link_texts, result_texts
 from tarnmark.operators.delta_store import DeltaStore
-from tarnmark.operators.parsing import skipped_of
+from tarnmark.operators.digests import status_by_digests
+from tarnmark.operators.graph_bits import expand_bits
+from tarnmark.operators.index_files import IndexFiles, index_cost
+from tarnmark.operators.parsing import parse_indexes, skipped_of
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.operators.vector_index import VectorIndex
 from tarnmark.plans.bundle import Bundle
@@ -285,9 +290,20 @@ _STARTS = "SELECT i AS query_id, id FROM c UNION ALL SELECT i, 'notes/doc' || (i
 @query("expand_many", f"WITH RECURSIVE {_NOTES}, {_OUT}, {_reach(_STARTS, 2)} SELECT query_id, id, distance FROM v")
 def expand_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, e, _ = generated_bundle(spark, sf_dir)
+    return graph.expand(_all_starts(c), e, 2)
+
+
+def _all_starts(concepts: DataFrame) -> DataFrame:
+    """Each note and the one after it as the starts of a query."""
     i = F.substring("id", 10, 20).cast("long")
-    d = c.select(i.alias("query_id"), F.explode(F.array(i, i + 1)).alias("i"))
-    return graph.expand(d.select("query_id", F.concat(F.lit("notes/doc"), F.col("i").cast("string")).alias("id")), e, 2)
+    d = concepts.select(i.alias("query_id"), F.explode(F.array(i, i + 1)).alias("i"))
+    return d.select("query_id", F.concat(F.lit("notes/doc"), F.col("i").cast("string")).alias("id"))
+
+
+@query("expand_many_bits", ORACLE["expand_many"])
+def expand_many_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, e, _ = generated_bundle(spark, sf_dir)
+    return expand_bits(_all_starts(c), e, 2)
 
 
 _KEYS = """a AS (SELECT 'region/' || n_regionkey AS src, 'nation/' || n_nationkey AS dst FROM nation
@@ -390,6 +406,42 @@ def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _synced(spark, sf_dir, False).select("concept_id", "status")
 
 
+@query("sync_status_digests", ORACLE["sync_status"])
+def sync_status_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of sync_status by digests of ranges."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    found = status_by_digests(sync.prepared(text_concepts(docs), ROOT), sync.prepared(text_concepts(old), ROOT))
+    return found.select("concept_id", "status")
+
+
+@query("stable_ids", f"""WITH x AS (SELECT 'docs/' || source || '/' || doc_id AS concept_id, sha1(unhex('{sync.NAMESPACE.hex}') || encode('/kb') || unhex('00') || encode('docs/' || source || '/' || doc_id)) AS h FROM documents)
+  SELECT concept_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS doc_id FROM x""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.prepared(text_concepts(table(spark, sf_dir, "documents")), ROOT).select("concept_id", "doc_id")
+
+
+def _lookup(ids: list[str]) -> dict[str, str]:
+    """A store that knows some ids by their last digit, and cannot be asked for others."""
+    if ids[0].endswith("0"):
+        raise ConnectionError("lookup went wrong: \nand more")
+    return {i: "old" for i in ids if i.endswith(("1", "2", "3"))}
+
+
+def _put(rows: list[dict]) -> None:
+    if rows[0]["doc_id"].endswith(("3", "4")):
+        raise ValueError("disk full")
+
+
+@query("sync_external_errors", """SELECT item_id AS concept_number, CASE right(md5(item_id::VARCHAR), 1) WHEN '0' THEN 'failed' WHEN '1' THEN 'updated' WHEN '2' THEN 'updated' WHEN '3' THEN 'failed' WHEN '4' THEN 'failed' ELSE 'added' END AS status,
+  CASE right(md5(item_id::VARCHAR), 1) WHEN '0' THEN item_id || ': ConnectionError: lookup went wrong' WHEN '3' THEN item_id || ': ValueError: disk full' WHEN '4' THEN item_id || ': ValueError: disk full' END AS error FROM benchmark""")
+def sync_external_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store outside Spark answers to each benchmark text, one at a time."""
+    number = F.col("item_id").cast("string")
+    docs = table(spark, sf_dir, "benchmark").select(F.md5(number.cast("binary")).alias("doc_id"), number.alias("concept_id"), F.lit("new").alias("content_hash"))
+    return sync.sync_external(docs, _lookup, _put, batch_size=1).select(F.col("concept_id").cast("long").alias("concept_number"), "status", "error")
+
+
 def _counts(overwrite: bool):
     return lambda spark, sf_dir: sync.sync_counts(_synced(spark, sf_dir, overwrite)).drop("errors")
 
@@ -422,6 +474,22 @@ def route_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(docs.select(F.col("doc_id").alias("query_id"), q.alias("query")), text_concepts(docs), has_store=True)
 
 
+def _say(prompt: str) -> str:
+    """A classifier that only looks at the words of the line it is asked about."""
+    line = prompt.splitlines()[0]
+    return "Route: BOTH." if line.endswith("and more") else "vector or bundle" if line.startswith(" ") else "bundle"
+
+
+@query("route_classified", """WITH q AS (SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '  DOC ' || doc_id WHEN 1 THEN 'what of ' || source WHEN 2 THEN 'Doc ' || doc_id || ' and more' WHEN 3 THEN CASE WHEN doc_id % 8 = 3 THEN '' END END AS query FROM documents)
+  SELECT query_id, query, CASE query_id % 4 WHEN 2 THEN 'both' WHEN 3 THEN 'vector' ELSE 'bundle' END AS route FROM q""")
+def route_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title (the classifier names two routes), a question, a title and more, and nothing at all: blank or null."""
+    docs = table(spark, sf_dir, "documents")
+    d, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    q = F.when(k == 0, F.concat(F.lit("  DOC "), d)).when(k == 1, F.concat(F.lit("what of "), "source")).when(k == 2, F.concat(F.lit("Doc "), d, F.lit(" and more"))).when(F.col("doc_id") % 8 == 3, "")
+    return routing.route(docs.select(F.col("doc_id").alias("query_id"), q.alias("query")), text_concepts(docs), has_store=True, classifier=_say)
+
+
 @query("route_from_classifier_output", """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'vector' WHEN 1 THEN 'both' WHEN 3 THEN 'bundle' END AS route FROM conversations""")
 def route_from_classifier_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("conv_id") + F.col("turn")) % 5
@@ -481,6 +549,31 @@ query("navigate_exhaustive", _explored(3, 10, 20000))(_explore(3, 10, 20000))
 query("navigate_budget_blocked", _explored(3, 10, 1500))(_explore(3, 10, 1500))
 
 
+def _reader(messages: list[tuple[str, str]]) -> str:
+    """A model that opens the note it is asked about, then one linked note, and quotes what it opened."""
+    task, sheet = messages[0][1], messages[1][1]
+    if "contents page" in task:
+        return json.dumps({"concept_ids": [sheet.rpartition("[question]\n")[2], "no/such/note"]})
+    if "sufficient" in task:
+        linked = json.loads(sheet.partition("[linked]\n")[2].partition("\n")[0])
+        return json.dumps({"sufficient": False, "next_concept_ids": linked[1:2]})
+    opened = json.loads(sheet.partition("[opened]\n")[2].partition("\n")[0])
+    return json.dumps({"answer": f"read {len(opened)}", "citations": [opened[-1], "no/such/note"]}) if len(opened) > 1 else "no format here"
+
+
+@query("navigate_model", f"""WITH {_NOTES}, l AS (SELECT i, target_id, row_number() OVER (PARTITION BY i ORDER BY min(edge_pos)) AS k, count(*) OVER (PARTITION BY i) AS m FROM e
+    WHERE resolved AND target_id <> source_id AND i % 20 = 0 GROUP BY i, target_id), p AS (SELECT i, target_id FROM l WHERE k = CASE WHEN m > 1 THEN 2 ELSE 1 END)
+  SELECT c.id AS question, c.id || coalesce(',' || p.target_id, '') AS visited, CASE WHEN p.i IS NULL THEN 1 ELSE 2 END::INT AS hops, CASE WHEN p.i IS NULL THEN 'no format here' ELSE 'read 2' END AS answer,
+    coalesce(p.target_id, '') AS citations, CASE WHEN p.i IS NULL THEN 'generate' ELSE '' END AS degraded_steps FROM c LEFT JOIN p ON p.i = c.i WHERE c.i % 20 = 0""")
+def navigate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progressive reading with a model that follows a rule: two rounds, then an answer."""
+    c, e, _ = generated_bundle(spark, sf_dir)
+    asked = c.where("cast(substring(id, 10) as long) % 20 = 0").select("id", F.col("id").alias("question"))
+    out = navigation.navigate(asked.withColumnRenamed("id", "question_id"), c, e, _INDEX, _reader, max_hops=2, token_budget=1 << 40)
+    joined = lambda n: F.array_join(n, ",").alias(n)
+    return out.select("question", joined("visited"), "hops", "answer", joined("citations"), joined("degraded_steps"))
+
+
 @query("link_candidates", f"""WITH {_NOTES} SELECT i::VARCHAR AS question_id, string_agg(target_id, ',' ORDER BY p) AS candidates FROM (SELECT i, target_id, min(edge_pos) AS p FROM e WHERE resolved AND target_id <> source_id GROUP BY i, target_id) GROUP BY i""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, e, _ = generated_bundle(spark, sf_dir)
@@ -490,7 +583,27 @@ def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_token_cost", f"""WITH {_NOTES} SELECT greatest(1, length('# Index' || chr(10) || chr(10) || string_agg('- [Doc ' || i || '](/' || id || '.md)', chr(10) ORDER BY id) || chr(10)) // 4)::BIGINT AS tokens FROM c""")
 def index_token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.synthesized_index(generated_bundle(spark, sf_dir)[0]).select(token_estimate(F.col("body")).alias("tokens"))
+    return index_cost(generated_bundle(spark, sf_dir)[0])
+
+
+@query("index_entries", f"""WITH {_NOTES}, x AS (SELECT id, strlen('- [Doc ' || i || '](/' || id || '.md)' || chr(10)) AS size FROM c)
+  SELECT id, (9 + coalesce(sum(size) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, size::INT AS size FROM x""")
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each note's line lies in the index, which is written in parts."""
+    return IndexFiles.write(generated_bundle(spark, sf_dir)[0]).entries()
+
+
+@query("index_parsed", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Top ' || doc_id END AS title, CASE WHEN doc_id % 5 <> 0 THEN 'Words of ' || lang || ' go on' END AS description,
+  CASE WHEN doc_id % 7 = 0 THEN 'notes/a,b' || doc_id ELSE 'notes/a' END AS concept_ids FROM documents""")
+def index_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index text for each document: a heading or none, a paragraph or none, links that repeat or stand in code."""
+    i, d = F.col("doc_id"), F.col("doc_id").cast("string")
+    text = F.concat(
+        F.when(i % 3 == 0, F.concat(F.lit("# Top "), d, F.lit(" ##\n\n"))).otherwise("## Second\n"), F.lit("- [a](notes/a.md)\n\n```\n[x](x.md)\n# no\n```\n"),
+        F.when(i % 5 != 0, F.concat(F.lit("Words of "), "lang", F.lit("\ngo on\n\n"))).otherwise(""), F.when(i % 7 == 0, F.concat(F.lit("* [b](/b"), d, F.lit(".md)\n"))).otherwise(""), F.lit("1. [a](./notes/a.md#z)\n"),
+    )
+    found = parse_indexes(table(spark, sf_dir, "documents").select("doc_id", text.alias("raw")))
+    return found.select("doc_id", "title", "description", F.array_join("concept_ids", ",").alias("concept_ids"))
 
 
 @query("citations_filtered", "SELECT doc_id AS question_id, 'a' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN ',b' ELSE '' END AS citations FROM documents")

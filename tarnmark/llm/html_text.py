@@ -15,10 +15,13 @@ stands for the whole.
 What is never part of an article by its element, ARIA role or visibility (menus,
 forms, scripts and so on) is cut before densities are computed; so is an element
 whose class or id is, as a whole word or with words of place and shape only, one
-of MARKS (adverts, notices, reader comments). Neither holds for an element that
-encloses an article, nor for a form around more than half of the page; buttons
-and labels inside a sentence are text; and if nothing would be left, classes
-count for nothing.
+of MARKS (adverts, notices, reader comments); inside an article, words that its
+own sections bear too (a discussion, a notice) say nothing. What follows an
+article beside it is cut if it is mostly links, or a list of like records each
+shorter than half the article, as comments are under any class. Nothing of this
+holds for an element that encloses an article, nor for a form around more than
+half of the page; buttons and labels inside a sentence are text; and if nothing
+would be left, classes count for nothing.
 
 Defined results: null or empty html, and pages without text, give an empty
 text; broken markup is read to the end, an odd declaration as a comment; equal
@@ -65,6 +68,10 @@ BESIDE = set(
     "area bar block bottom box buttons container content footer form global group header inner item items left links list main "
     "outer page posts primary reader readers right row secondary section site slot stories thread top unit user wrap wrapper".split()
 )
+#: Of these words, the ones that name nothing inside an article, where sections and paragraphs bear them as well.
+OF_SECTIONS = set("banner copyright discussion footer header login masthead menu menubar nav navigation notice notices notification popup reply replies".split())
+#: Records behind an article that are comments: so many of one shape at least, each at most this part of the article.
+RECORDS, RECORD_PART = 3, 2
 _PARTS = re.compile(r"[a-z]+")
 _SIBLINGS = {
     "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
@@ -79,6 +86,7 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.cut, self.marked, self.items = ["html"], [-1], [False], [False], []
+        self.shapes = [("html", "")]  # name and class
         self.open, self.depth = [0], Counter()  # open nodes, and how many of them have a name
 
     def _close(self, depth: int) -> None:
@@ -104,6 +112,7 @@ class _Tree(HTMLParser):
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(self.open[-1])
+        self.shapes.append((tag, next((v or "" for n, v in attrs if n == "class"), "")))
         self.cut.append(self._is_cut(tag, attrs))
         self.marked.append(self._is_marked(tag, attrs))
         self.items.append((node, None))
@@ -153,7 +162,7 @@ class _Tree(HTMLParser):
                 for word in value.lower().split():
                     parts = set(_PARTS.findall(word))
                     marks = parts & MARKS
-                    if marks and parts <= MARKS | BESIDE and not (self._in_article() and marks == {"header"}):
+                    if marks and parts <= MARKS | BESIDE and not (self._in_article() and marks <= OF_SECTIONS):
                         return True
         return False
 
@@ -166,6 +175,47 @@ def _density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> flo
     return c / max(1, t) * (math.log(inner) / math.log(base) if base > 1 and inner > 1 else 0.0 if inner <= 1 else math.log(inner))
 
 
+def _behind_articles(tree: _Tree, held: list[int], encloses: list[bool]) -> list[int]:
+    """Elements that follow an article beside it and hold comments, or little but links.
+
+    Comments are known by their structure: records of one name and class, not bare
+    paragraphs, that are most of the element, each much shorter than the article.
+    """
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
+    linked, children, beside = [0] * n, [[] for _ in range(n)], {}
+    in_link = [False] * n
+    for i in range(1, n):
+        children[parents[i]].append(i)
+        in_link[i] = in_link[parents[i]] or tags[i] == "a"
+    for i, text in tree.items:
+        if text and in_link[i]:
+            linked[i] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        linked[parents[i]] += linked[i]
+
+    def records(i: int, article: int) -> bool:
+        while i is not None:  # down through wrappers of most of it
+            shapes: dict[tuple, list[int]] = {}
+            for c in children[i]:
+                if held[c] and tags[c] != "p":
+                    shapes.setdefault(tree.shapes[c], []).append(held[c])
+            if any(len(x) >= RECORDS and 2 * sum(x) >= held[i] and RECORD_PART * max(x) <= article for x in shapes.values()):
+                return True
+            whole = [c for c in children[i] if 2 * held[c] >= held[i]]
+            i = whole[0] if len(whole) == 1 and len(children[i]) < 4 else None
+        return False
+
+    out = []
+    for i in range(1, n):
+        p = parents[i]
+        if tags[i] == "article" or encloses[i]:
+            beside[p] = max(beside.get(p, 0), held[i])
+        elif p in beside and held[i] and tags[i] in BLOCKS and tags[i] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if 2 * linked[i] >= held[i] or records(i, beside[p]):
+                out.append(i)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, one line for each block."""
     if not html:
@@ -191,6 +241,8 @@ def main_text(html: str | None) -> str:
             out[i] = out[parents[i]] or ((own or (classes and tree.marked[i])) and not encloses[i])
         return out
 
+    for i in _behind_articles(tree, held, encloses):
+        tree.cut[i] = True
     cut = cut_by(True)
     if not any(text and not cut[i] and not text.isspace() for i, text in tree.items):
         cut = cut_by(False)

@@ -431,6 +431,36 @@ def test_words_of_classes_do_not_take_the_text():
     assert html_text.main_text(inside).split("\n") == ["Title", "The share price rose by nine percent.", "Press Save or the name field."]
 
 
+def test_sections_of_an_article_stay_whatever_their_class():
+    body = "<p>A paragraph of the article that is long enough to count for something, as they are.</p>"
+    for odd in ('<section id="discussion"><h2>Discussion</h2><p>What it means.</p></section>', '<section id="copyright"><p>What it means.</p></section>', '<p class="notice">What it means.</p>', '<div class="menu"><p>What it means.</p></div>'):
+        for around in ("<main>{}</main>", "<article>{}</article>", "<main><article>{}</article></main>"):
+            text = html_text.main_text(f"<html><body>{around.format(body + odd + body)}</body></html>")
+            assert "What it means." in text and text.count("A paragraph") == 2
+    kept = html_text.main_text(f'<html><body><article>{body}<div class="comments"><p>I agree</p></div><div class="share">Tell others</div>{body}</article><div class="notice">We use</div></body></html>')
+    assert kept.count("A paragraph") == 2 and "I agree" not in kept and "Tell" not in kept and "We use" not in kept
+
+
+@pytest.mark.parametrize("wrap", ["<main>{}</main>", "<div>{}</div>", "{}"])
+def test_comments_behind_an_article_are_known_by_their_structure(wrap):
+    article = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {i} of an article that says a few things about its matter.</p>" for i in range(8)) + "</article>"
+    said = [f"Reader {i} has a rather long opinion on all of this, and no words of a list around it." for i in range(30)]
+    lists = [
+        '<div class="talkback">' + "".join(f'<div class="entry"><b>u{i}</b><p>{t}</p></div>' for i, t in enumerate(said)) + "</div>",
+        "<section><ol>" + "".join(f"<li><p>{t}</p></li>" for t in said) + "</ol></section>",
+        '<div class="more"><ul>' + "".join(f'<li><a href="/{i}">Another story, number {i}</a></li>' for i in range(12)) + "</ul></div>",
+    ]
+    want = html_text.main_text(f"<html><body>{article}</body></html>")
+    assert want.count("Paragraph") == 8
+    for after in lists:
+        assert html_text.main_text(f"<html><body>{wrap.format(article + after)}</body></html>") == want
+    # a text that only begins with a card stays, and so do paragraphs behind the article
+    card = "<article><a href='/x'>Card</a> short</article>"
+    sections = "".join(f'<section class="part"><p>{t} {t}</p></section>' for t in said[:6])
+    text = html_text.main_text(f"<html><body>{wrap.format(card + '<div>' + sections + '</div>')}</body></html>")
+    assert all(t in text for t in said[:6])
+
+
 def test_density_sums_against_brute_force():
     """Random trees: the subtree of the largest sum of densities, and what the threshold takes in."""
     import math

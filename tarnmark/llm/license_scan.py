@@ -162,9 +162,8 @@ def _dice(pairs: Column, b: Column, m: Column) -> Column:
 def run_matches(texts: DataFrame, templates: DataFrame, pairs: DataFrame, hint, threshold: float) -> DataFrame:
     """(doc_id, unit, license_id, dice) of matching runs of words; unit is -2 minus the first word, null for no further unit.
 
-    texts: doc_id and line; templates: license_id and text; pairs: license_id, m and pair of each template.
+    texts: doc_id, line and h, which tells texts apart; templates: license_id and text; pairs: license_id, m and pair of each template.
     """
-    texts = texts.withColumn("h", F.xxhash64("doc_id", "line"))
     found = (
         texts.select("h", F.explode(bigrams_of(words_of(F.col("line")))).alias("pair"))
         .join(hint(pairs), "pair")
@@ -228,18 +227,19 @@ def license_matches(docs: DataFrame, templates: DataFrame, *, threshold: float =
             folded = F.translate(F.col("line"), UPPER, LOWER)
             # bound to a lambda, the folded text is made once and not for each word
             may = F.exists(F.array(folded), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in sorted(marks)]))
-    whole_may = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("line")).where(may), "licensed")
-    lines = whole_may.select("doc_id", F.posexplode(F.split("line", "\n")).alias("unit", "line")).where(may)
-    whole = whole_may.select("doc_id", F.lit(-1).alias("unit"), "line").where(F.instr("line", "\n") > 0)
+    licensed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("line")).where(may).dropDuplicates()
+    whole_may = materialize(licensed.withColumn("h", F.xxhash64("doc_id", "line")), "licensed")
+    lines = whole_may.select("doc_id", "h", F.posexplode(F.split("line", "\n")).alias("unit", "line")).where(may)
+    whole = whole_may.select("doc_id", "h", F.lit(-1).alias("unit"), "line").where(F.instr("line", "\n") > 0)
     fits = F.size("words") - 1 >= F.lit((limits[0] or 0) * least)
-    units = lines.unionByName(whole).select("doc_id", "unit", words_of(F.col("line")).alias("words")).where(fits)
-    units = units.select("doc_id", "unit", bigrams_of(F.col("words")).alias("b"))
+    units = lines.unionByName(whole).select("doc_id", "h", "unit", words_of(F.col("line")).alias("words")).where(fits)
+    units = units.select("doc_id", "h", "unit", bigrams_of(F.col("words")).alias("b"))
     units = units.where(F.size("b").between((limits[0] or 0) * least, (limits[1] or 0) * most))
-    pairs = units.select("doc_id", "unit", F.size("b").alias("n"), F.explode("b").alias("pair"))
+    pairs = units.select("doc_id", "h", "unit", F.size("b").alias("n"), F.explode("b").alias("pair"))
     shared = (
         pairs.join(hint(t), "pair")
         .where(F.col("n").between(F.col("m") * least, F.col("m") * most))
-        .groupBy("doc_id", "unit", "license_id", "n", "m")
+        .groupBy("doc_id", "h", "unit", "license_id", "n", "m")
         .agg(F.count("*").alias("both"))
     )
     shared = shared.select("doc_id", "unit", "license_id", (2 * F.col("both") / (F.col("n") + F.col("m"))).alias("dice")).where(F.col("dice") >= threshold)

@@ -35,12 +35,18 @@ BUCKETS, COMPACT_AFTER = 16, 8
 
 
 class DeltaStore:
-    """Rows (doc_id, concept_id, page_content, metadata, content_hash), one of each doc_id."""
+    """Rows of a schema, one of each ``key``; of (doc_id, concept_id, page_content, metadata, content_hash) by default.
 
-    def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER):
+    Buckets are cut by a hash of ``by``, the key itself by default; rows of one key
+    must then always have the same ``by``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER, schema: str = STORE, key: str = "doc_id", by: str | None = None):
         if buckets < 1 or compact_after < 1:
             raise ValueError(f"buckets and compact_after must be at least 1, got {buckets} and {compact_after}")
         self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
+        self.schema, self.key, self.by = schema, key, by or key
+        self.columns = [f.name for f in spark.createDataFrame([], schema).schema]
         self._new = {"version": 0, "batch": None, "buckets": buckets, "base": {}, "deltas": []}
 
     # ------------------------------------------------------------------- log
@@ -84,7 +90,7 @@ class DeltaStore:
     # ------------------------------------------------------------------ rows
 
     def _bucket(self, state: dict):
-        return F.pmod(F.xxhash64("doc_id"), F.lit(state["buckets"])).cast("int")
+        return F.pmod(F.xxhash64(self.by), F.lit(state["buckets"])).cast("int")
 
     def _base(self, state: dict, columns: list[str], touched: list[int] | None = None) -> DataFrame:
         """Base rows with their bucket, of some buckets or all."""
@@ -92,53 +98,60 @@ class DeltaStore:
         for bucket, folder in state["base"].items():
             if touched is None or int(bucket) in touched:
                 by_folder.setdefault(folder, []).append(int(bucket))
-        out = self.spark.createDataFrame([], STORE + ", bucket int").select(*columns, "bucket")
+        out = self.spark.createDataFrame([], self.schema + ", bucket int").select(*columns, "bucket")
         for folder, buckets in by_folder.items():
-            rows = self.spark.read.schema(STORE + ", bucket int").parquet(f"{self.path}/{folder}")
+            rows = self.spark.read.schema(self.schema + ", bucket int").parquet(f"{self.path}/{folder}")
             out = out.unionByName(rows.where(F.col("bucket").isin(buckets)).select(*columns, "bucket"))
         return out
 
-    def _latest(self, state: dict, columns: list[str]) -> DataFrame:
-        """(doc_id, r: columns and gone) of the last delta row of each doc_id."""
-        kind = STORE + ", gone boolean, bucket int"
+    def _latest(self, state: dict, columns: list[str], buckets: list[int] | None = None) -> DataFrame:
+        """(key, r: columns and gone) of the last delta row of each key."""
+        kind = self.schema + ", gone boolean, bucket int"
         out = None
         for delta in state["deltas"]:
-            rows = self.spark.read.schema(kind).parquet(f"{self.path}/{delta['folder']}").select(*columns, "gone", F.lit(delta["version"]).alias("at"))
+            rows = self.spark.read.schema(kind).parquet(f"{self.path}/{delta['folder']}")
+            rows = (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select(*columns, "gone", F.lit(delta["version"]).alias("at"))
             out = rows if out is None else out.unionByName(rows)
-        return out.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in columns if c != "doc_id"], "gone"), "at").alias("r"))
+        return out.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in columns if c != self.key], "gone"), "at").alias("r"))
 
     def _merged(self, state: dict, columns: list[str], touched: list[int]) -> DataFrame:
         """Rows of the touched buckets as they are now."""
-        latest = self._latest(state, columns)
-        base = self._base(state, columns, touched).drop("bucket").join(latest.select("doc_id"), "doc_id", "left_anti")
-        return base.unionByName(latest.where("not r.gone").select("doc_id", "r.*").drop("gone"))
+        latest = self._latest(state, columns, touched)
+        base = self._base(state, columns, touched).drop("bucket").join(latest.select(self.key), self.key, "left_anti")
+        return base.unionByName(latest.where("not r.gone").select(self.key, "r.*").drop("gone"))
 
     @staticmethod
     def _touched(state: dict) -> list[int]:
         return sorted({b for delta in state["deltas"] for b in delta["buckets"]})
 
-    def read(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
-        """The rows of a version, the latest by default; only ``columns`` if named (doc_id always)."""
-        state, columns = self.state(version), ["doc_id", *[c for c in columns or COLUMNS if c != "doc_id"]]
-        touched = self._touched(state)
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets where rows with these values of ``by`` lie."""
+        return sorted(r.bucket for r in rows.select(self._bucket(self.state()).alias("bucket")).distinct().collect())
+
+    def read(self, version: int | None = None, columns: list[str] | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version, the latest by default; only ``columns`` if named (the key always), only of some ``buckets``."""
+        state, columns = self.state(version), [self.key, *[c for c in columns or self.columns if c != self.key]]
+        wanted = lambda b: buckets is None or b in buckets
+        touched = [b for b in self._touched(state) if wanted(b)]
+        still = [int(b) for b in state["base"] if int(b) not in touched and wanted(int(b))]
         if not touched:
-            return self._base(state, columns).drop("bucket")
-        still = [int(b) for b in state["base"] if int(b) not in touched]
+            return self._base(state, columns, still).drop("bucket")
         return self._base(state, columns, still).drop("bucket").unionByName(self._merged(state, columns, touched))
 
     # ---------------------------------------------------------------- writes
 
     def write(self, rows: DataFrame, *, batch: int | None = None, gone: DataFrame | None = None) -> bool:
-        """Append a delta of rows to put and of ids (doc_id) to take away; False if this batch was committed before."""
+        """Append a delta of rows to put and of keys to take away (with their ``by``); False if this batch was committed before."""
         state = self.state()
         if batch is not None and state["batch"] is not None and batch <= state["batch"]:
             return False
-        put = rows.select(COLUMNS).withColumn("gone", F.lit(False))
+        put = rows.select(self.columns).withColumn("gone", F.lit(False))
         if gone is not None:
-            empty = [F.lit(None).cast("string").alias(c) for c in COLUMNS[1:]]
-            put = put.unionByName(gone.select("doc_id").distinct().select("doc_id", *empty, F.lit(True).alias("gone")))
+            known = [self.key, *({self.by} - {self.key})]
+            taken = gone.select(known).distinct().withColumn("gone", F.lit(True))
+            put = put.unionByName(taken, allowMissingColumns=True)
         put = materialize(put.withColumn("bucket", self._bucket(state)), "put")
-        require_unique(put)
+        require_unique(put, self.key)
         version = state["version"] + 1
         folder = f"delta-{version}-{uuid.uuid4().hex[:8]}"
         put.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
@@ -150,8 +163,8 @@ class DeltaStore:
         return True
 
     def delete(self, ids: DataFrame, *, batch: int | None = None) -> bool:
-        """Take ids (doc_id) away."""
-        return self.write(self.spark.createDataFrame([], STORE), batch=batch, gone=ids)
+        """Take keys away."""
+        return self.write(self.spark.createDataFrame([], self.schema), batch=batch, gone=ids)
 
     def sync(self, docs: DataFrame, *, overwrite: bool = False, batch: int | None = None) -> DataFrame:
         """docs with ``status``; what was added or updated is written, what is no longer among docs stays."""
@@ -167,7 +180,7 @@ class DeltaStore:
             return
         version = state["version"] + 1
         folder = f"base-{version}-{uuid.uuid4().hex[:8]}"
-        rows = self._merged(state, COLUMNS, touched).withColumn("bucket", self._bucket(state))
+        rows = self._merged(state, self.columns, touched).withColumn("bucket", self._bucket(state))
         rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         fs, at = self._fs(folder)
         full = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(at)} if fs.exists(at) else set()

@@ -9,15 +9,16 @@ from tarnmark.functions.text import casefold
 from tarnmark.storage import discard, materialize
 
 
-def wiki_index(concepts: DataFrame) -> DataFrame:
-    """(key, n, concept_id): each lookup key, how many concepts have it, and the one if it is one.
-
-    Keys are the id, its last segment, the title and the aliases, case-folded.
-    """
+def wiki_keys(concepts: DataFrame) -> DataFrame:
+    """(id, key): the lookup keys of each concept, which are its id, its last segment, the title and the aliases, case-folded."""
     title = F.when(F.col("title") != "", F.col("title"))
     names = F.concat(F.array("id", F.element_at(F.split("id", "/"), -1), title), F.coalesce("aliases", F.array().cast("array<string>")))
-    keys = concepts.select("id", F.explode(names).alias("name")).where("name is not null").select("id", casefold(F.col("name")).alias("key"))
-    grouped = keys.distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("concept_id"))
+    return concepts.select("id", F.explode(names).alias("name")).where("name is not null").select("id", casefold(F.col("name")).alias("key")).distinct()
+
+
+def wiki_index(concepts: DataFrame) -> DataFrame:
+    """(key, n, concept_id): each lookup key, how many concepts have it, and the one if it is one."""
+    grouped = wiki_keys(concepts).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("concept_id"))
     return grouped.select("key", "n", F.when(F.col("n") == 1, F.col("concept_id")).alias("concept_id"))
 
 

@@ -14,7 +14,8 @@ from tarnmark.operators.delta_store import DeltaStore
 from tarnmark.operators.digests import status_by_digests
 from tarnmark.operators.graph_bits import expand_bits
 from tarnmark.operators.index_files import IndexFiles, index_cost
-from tarnmark.operators.parsing import parse_indexes, skipped_of
+from tarnmark.operators.link_view import LinkView
+from tarnmark.operators.parsing import concepts_of, parse_indexes, parse_notes, skipped_of
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.operators.vector_index import VectorIndex
 from tarnmark.plans.bundle import Bundle
@@ -190,6 +191,19 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_bundle(spark, sf_dir)[1]
 
 
+@query("links_maintained", ORACLE["resolve_links"])
+def links_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of resolve_links from a view that was updated three times: two thirds of the notes and a stray one, the rest and some anew, the stray one gone."""
+    parsed = materialize(parse_notes(generated_notes(table(spark, sf_dir, "documents"))), "parsed")
+    notes = concepts_of(parsed).select("id", "title", "aliases", "links").withColumn("i", F.substring("id", 10, 20).cast("long"))
+    view = LinkView(spark, fresh_path(spark, "link-view"), buckets=4, compact_after=3)
+    stray = notes.where("i = 0").select(F.lit("notes/stray").alias("id"), F.lit("Doc 1").alias("title"), F.array(F.lit("shared")).alias("aliases"), "links")
+    view.update(notes.where("i % 3 <> 0").drop("i").unionByName(stray))
+    view.update(notes.where("i % 3 = 0 or i % 7 = 0").drop("i"))
+    view.update(notes.limit(0).drop("i"), stray.select("id"))
+    return view.edges()
+
+
 @query("wiki_ambiguous", f"WITH {_NOTES} SELECT target_id, count(*)::BIGINT AS n FROM e WHERE ambiguous GROUP BY target_id")
 def wiki_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_bundle(spark, sf_dir)[1].where("ambiguous").groupBy("target_id").agg(F.count("*").alias("n"))

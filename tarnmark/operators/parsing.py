@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +10,8 @@ from pyspark.sql.types import (
     ArrayType, IntegerType, StringType, StructField, StructType, TimestampNTZType,
 )
 
-from tarnmark.functions.markdown import Invalid, index_heading, links, parse_note
+from tarnmark.functions import link_text
+from tarnmark.functions.markdown import Invalid, index_heading, links, metadata_row
 
 _TEXT, _LIST = StringType(), ArrayType(StringType())
 LINK = StructType(
@@ -24,27 +23,43 @@ PARSED = StructType(
     + [StructField("ts_offset_s", IntegerType()), StructField("extra", _TEXT), StructField("body", _TEXT)]
     + [StructField("outbound_links", _LIST), StructField("links", ArrayType(LINK))]
 )
+#: What is read from the metadata.
+_READ = ("reason", "type", "title", "description", "resource", "tags", "aliases", "ts_iso", "ts_ntz", "ts_offset_s", "extra")
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
-    """Parse rows (id, path, raw[, reason]) in one pass; a given reason skips parsing.
+    """Parse rows (id, path, raw[, reason]); a given reason skips parsing.
 
-    A bad note gives a row with ``reason`` set, never a failed task.
+    A bad note gives a row with ``reason`` set, never a failed task. Python reads
+    the metadata only: bodies are cut and their links found in the JVM. A null
+    ``raw`` is an empty note. A target named in a reason is quoted as in Python,
+    but for characters that do not print, which stay as they are.
     """
     if "reason" not in notes.columns:
         notes = notes.withColumn("reason", F.lit(None).cast("string"))
-    schema = to_arrow_schema(PARSED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                for row in batch.slice(at, 512).to_pylist():
-                    found = {"reason": row["reason"]} if row["reason"] else parse_note(row["raw"] or "", row["id"])
-                    rows.append({**row, **found})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return notes.select("id", "path", "raw", "reason").mapInArrow(run, PARSED)
+    kind = StructType([f for f in PARSED if f.name in _READ])
+    schema = pa.struct(list(to_arrow_schema(kind)))
+
+    @F.arrow_udf(kind)
+    def read(sources: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else metadata_row(s) for s in sources.to_pylist()], schema)
+
+    text = F.coalesce("raw", F.lit(""))
+    whole = F.coalesce(F.length(link_text.head(text)) > 0, F.lit(False))
+    rows = notes.select("id", "path", "raw", F.when(F.col("reason") != "", F.col("reason")).alias("given"), whole.alias("whole"))
+    text = F.when(F.col("given").isNull() & F.col("whole"), F.col("raw"))
+    rows = rows.select("*", link_text.after_head(text).alias("body_text"), read(link_text.head_source(text)).alias("meta"))
+    rows = rows.select("*", F.when(F.col("meta.reason").isNull(), link_text.links(F.col("body_text"), F.col("id"))).alias("found"))
+    unclosed = F.when(F.coalesce("raw", F.lit("")).rlike(link_text.OPENING), "closing").otherwise("opening")
+    missing = F.when(~F.col("whole"), F.concat(F.lit("missing "), unclosed, F.lit(" '---' frontmatter delimiter")))
+    rows = rows.select("*", F.coalesce("given", missing, "meta.reason", link_text.escape_reason(F.col("found"))).alias("reason"))
+    good = F.col("reason").isNull()
+    made = {
+        "body": F.col("body_text"),
+        "outbound_links": F.array_distinct(F.transform("found", lambda x: x.target_id)),
+        "links": link_text.numbered(F.col("found")),
+    } | {name: F.col("meta")[name] for name in kind.names if name != "reason"}
+    return rows.select([F.when(good, made[f.name]).alias(f.name) if f.name in made else F.col(f.name) for f in PARSED])
 
 
 def concepts_of(parsed: DataFrame) -> DataFrame:

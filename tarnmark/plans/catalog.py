@@ -15,6 +15,7 @@ from tarnmark.operators.digests import status_by_digests
 from tarnmark.operators.graph_bits import expand_bits
 from tarnmark.operators.index_files import IndexFiles, index_cost
 from tarnmark.operators.link_view import LinkView
+from tarnmark.operators.long_bodies import links_by_pieces
 from tarnmark.operators.parsing import concepts_of, parse_indexes, parse_notes, skipped_of
 from tarnmark.operators.search_index import SearchIndex
 from tarnmark.operators.vector_index import VectorIndex
@@ -166,6 +167,12 @@ def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(generated_bundle(spark, sf_dir)[0])
 
 
+@query("extract_edges_long", ORACLE["extract_edges"])
+def extract_edges_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The occurrences of extract_edges with every body cut into pieces that are read apart."""
+    return links_by_pieces(generated_bundle(spark, sf_dir)[0].select("id", "body"), piece_chars=4096)[0]
+
+
 @query("outbound_links", f"""WITH {_NOTES}, k AS (SELECT source_id, edge_pos, CASE WHEN j IS NULL THEN 'shared' WHEN link_kind = 'wiki' THEN 'doc ' || j ELSE 'notes/doc' || j END AS t FROM e),
   f AS (SELECT source_id, t, min(edge_pos) AS p FROM k GROUP BY source_id, t) SELECT source_id AS id, string_agg(t, ',' ORDER BY p) AS outbound FROM f GROUP BY source_id""")
 def outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Letters, numbers and the underscore, as Python's \w.
 WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space that is more than one blank, or another; a heading with the line end before it.
+_SPACES = f"[[^!-~]&&{_SPACE}](?:(?<! )|{_SPACE}){_SPACE}*"
+_HEADING = r"(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*#[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*"
 
 
 @functools.cache
@@ -37,12 +40,14 @@ def _ranges(chars: list[str]) -> str:
 def casefold(column: Column) -> Column:
     """Python's str.casefold: lower case, then the few characters that fold further, each replaced at once."""
     folds = _folds()
-    special = _ranges(list(folds))
+    special = f"[[^\\x00-\\x7F]&&{_ranges(list(folds))}]"  # the long class is asked of characters beyond ASCII only
     table = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
-    low = F.lower(column)
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"({special})"), F.lit(1)))
-    slow = F.aggregate(found, low, lambda text, c: F.replace(text, c, F.element_at(table, c)))
-    return F.when(low.rlike(r"[^\x00-\x7F]") & low.rlike(special), slow).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"({special})"), F.lit(1)))
+        return F.when(low.rlike(special), F.aggregate(found, low, lambda text, c: F.replace(text, c, F.element_at(table, c)))).otherwise(low)
+
+    return F.get(F.transform(F.array(F.lower(column)), fold), F.lit(0))  # bound to a lambda: lower case once
 
 
 def tokens(column: Column, fold: bool = True) -> Column:
@@ -105,11 +110,20 @@ def uuid5(namespace: uuid.UUID, name: Column) -> Column:
 
 
 def snippet(column: Column, limit: int = 200) -> Column:
-    """Prose of a Markdown text on one line: headings gone, white space collapsed, cut at ``limit``."""
-    prose = F.array_join(F.filter(lines(column), lambda x: ~strip(x).startswith("#")), " ")
-    flat = strip(F.regexp_replace(prose, f"{_SPACE}+", " "))
-    cut = F.concat(F.regexp_replace(F.substring(flat, 1, limit), f"{_SPACE}+$", ""), F.lit("..."))
-    return F.when(F.length(flat) <= limit, flat).otherwise(cut)
+    """Prose of a Markdown text on one line: headings gone, white space collapsed, cut at ``limit``.
+
+    A line's prose depends on nothing behind it, so where the beginning of a text
+    has more than ``limit`` characters of prose, the rest cannot change the snippet.
+    """
+    def flat(text: Column) -> Column:
+        prose = F.when(F.contains(text, F.lit("#")), F.regexp_replace(text, _HEADING, " ")).otherwise(text)
+        return F.regexp_replace(F.regexp_replace(prose, _SPACES, " "), "^ | $", "")
+
+    def short(x: Column) -> Column:
+        return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, limit), " $", ""), F.lit("...")))
+
+    begun = F.transform(F.array(flat(F.substring(column, 1, 4 * limit))), lambda x: F.when((F.length(x) > limit) & (F.length(column) > 4 * limit), x).otherwise(flat(column)))
+    return F.get(F.transform(begun, short), F.lit(0))
 
 
 def token_estimate(column: Column) -> Column:

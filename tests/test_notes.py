@@ -112,3 +112,12 @@ def test_uuid_and_paths(spark):
 
     row = spark.range(1).select(uuid5(uuid.NAMESPACE_URL, F.lit("a\x00é")).alias("u"), normal_path(F.lit("a/./b/../../../c")).alias("p"), normal_path(F.lit("a/..")).alias("e")).first()
     assert (row.u, row.p, row.e) == (str(uuid.uuid5(uuid.NAMESPACE_URL, "a\x00é")), "../c", ".")
+
+
+def test_snippets_end_early_only_where_nothing_can_change(spark):
+    rows = [("a " * 90 + " \n" * 5000 + "# no\n" + "b" * 9,), ("# t\n x  y\r\n\x1c #z\n",), (("word " * 40 + "\n") * 20000,), (None,), ("# all\n#more",), ("x" * 200 + " ",), ("x" * 200 + " y",)]
+    df = spark.createDataFrame(rows, "t string").repartition(1)
+    got = [r.s for r in df.select(snippet(F.col("t")).alias("s")).collect()]
+    assert got == ["a " * 90 + "b" * 9, "x y", ("word " * 40).rstrip() + "...", None, "", "x" * 200, "x" * 200 + "..."]
+    plan = df.select(snippet(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # lines are not cut one by one

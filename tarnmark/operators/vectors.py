@@ -14,8 +14,8 @@ from tarnmark.functions.text import tokens
 from tarnmark.operators.graph import expand
 from tarnmark.operators.search import documents_of
 
-#: Query vectors that one pass over the store takes; more come in further passes.
-BLOCK = 2048
+#: Query vectors that one pass over the store takes; more come in further passes. Vectors of the store that a task multiplies at once.
+BLOCK, SLICE = 2048, 512
 
 
 def hashed_embedding(column: Column, dims: int = 64) -> Column:
@@ -30,7 +30,42 @@ def hashed_embedding(column: Column, dims: int = 64) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    if len(column.value_lengths().unique()) > 1:
+        raise ValueError("vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _own_best(shipped, k: int):
+    """Rows (id, vector) to the task's own best k of each query (query_id, doc_id, similarity, near)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, norms, kinds = shipped.value
+        best: list[list[tuple]] = [[] for _ in names]  # (minus rounded similarity, id, similarity)
+        least = np.full(len(names), -np.inf)  # the k-th of each query so far
+        for at, batch in ((at, batch) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+            part = batch.slice(at, SLICE)
+            ids, x = part.column(0).to_pylist(), _matrix(part.column(1))
+            size = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
+            sim = np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 0)
+            near = np.round(sim, 12, out=size)
+            able = np.flatnonzero((near >= least).any(axis=0))
+            n = min(k, len(ids))
+            edge = np.maximum(np.partition(near[:, able], len(ids) - n, axis=0)[len(ids) - n], least[able])
+            cols, rows = np.nonzero((near[:, able] >= edge).T)  # ties at the edge included
+            bounds = np.searchsorted(cols, np.arange(len(able) + 1))
+            for place, c in enumerate(able.tolist()):
+                here = rows[bounds[place] : bounds[place + 1]]
+                own = best[c]
+                own += zip((-near[here, c]).tolist(), [ids[r] for r in here], sim[here, c].tolist())
+                own.sort(key=lambda x: x[:2])
+                del own[k:]
+                if len(own) == k:
+                    least[c] = -own[-1][0]
+        flat = [(name, i, s, -r) for name, own in zip(names, best) for r, i, s in own]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), kinds)], names=["query_id", "doc_id", "similarity", "near"])
+
+    return run
 
 
 def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -40,7 +75,7 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     sent to the tasks in blocks of BLOCK, each a pass over the store. Similarities
     are compared to twelve digits. Each task keeps its own best k of each query
     over all its batches, so the shuffle carries tasks x queries x k rows,
-    whatever the size of the store.
+    whatever the size of the store. A task holds SLICE x BLOCK similarities.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
@@ -52,34 +87,9 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         block = asked[at : at + BLOCK]
         names, q = [r.query_id for r in block], np.array([r.embedding for r in block], dtype=np.float64)
         norms = np.linalg.norm(q, axis=1)
-        shipped = spark.sparkContext.broadcast((names, q, norms))  # BLOCK vectors at most
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, norms = shipped.value
-            best: list[list[tuple]] = [[] for _ in names]  # (minus rounded similarity, id, similarity)
-            for batch in batches:
-                ids, x = batch.column(0).to_pylist(), _matrix(batch.column(1))
-                if not ids:
-                    continue
-                size = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
-                sim = np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 0)
-                near = np.round(sim, 12)
-                n = min(k, len(ids))
-                edge = np.partition(near, len(ids) - n, axis=0)[len(ids) - n]
-                cols, rows = np.nonzero((near >= edge[None, :]).T)  # ties at the edge included
-                bounds = np.searchsorted(cols, np.arange(len(names) + 1))
-                for c, own in enumerate(best):
-                    here = rows[bounds[c] : bounds[c + 1]]
-                    own += zip((-near[here, c]).tolist(), [ids[r] for r in here], sim[here, c].tolist())
-                    own.sort(key=lambda x: x[:2])
-                    del own[k:]
-            flat = [(name, i, s, -r) for name, own in zip(names, best) for r, i, s in own]
-            if flat:
-                kinds = (asked_type, doc_type, pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), kinds)], names=["query_id", "doc_id", "similarity", "near"])
-
+        shipped = spark.sparkContext.broadcast((names, q, norms, (asked_type, doc_type, pa.float64(), pa.float64())))  # BLOCK vectors at most
         rows = store.select("doc_id", F.col("embedding").cast("array<double>")).where("embedding is not null")
-        found.append(rows.mapInArrow(run, f"query_id {kind}, doc_id {key}, similarity double, near double"))
+        found.append(rows.mapInArrow(_own_best(shipped, k), f"query_id {kind}, doc_id {key}, similarity double, near double"))
     if not found:
         return spark.createDataFrame([], f"query_id {kind}, hit_rank int, doc_id {key}, similarity double")
     out = found[0]

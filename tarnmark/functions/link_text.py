@@ -62,7 +62,12 @@ def visible(body: Column) -> Column:
     """What lies outside fenced code, lines ended by \n, after a line end."""
     text = F.concat(F.lit("\n"), body)
     text = F.when(F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")), F.regexp_replace(text, _FENCED, "\n")).otherwise(text)
-    return F.regexp_replace(text, f"[{ENDS}&&[^\n]]", "\n")
+    return F.regexp_replace(text, f"[{ENDS[1:]}]", "\n")
+
+
+def linking_lines(text: Column) -> Column:
+    """The lines of a visible text that may have links, none of which goes beyond its line."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: F.contains(line, F.lit("["))), "\n")
 
 
 def _unembedded(shape: str) -> str:
@@ -100,7 +105,7 @@ def _read(x: Column, note_id: Column) -> Column:
 
 def links(body: Column, note_id: Column) -> Column:
     """Links to notes in document order, not yet resolved: (target_id, anchor_text, link_kind, written)."""
-    sources = F.when(F.contains(body, F.lit("[")), link_sources(visible(body))).when(body.isNotNull(), F.array().cast("array<string>"))
+    sources = F.when(F.contains(body, F.lit("[")), link_sources(linking_lines(visible(body)))).when(body.isNotNull(), F.array().cast("array<string>"))
     found = F.transform(F.transform(sources, _parts), lambda x: _read(x, note_id))
     return F.filter(found, lambda x: x.target_id.isNotNull() & ((x.link_kind == "markdown") | (x.target_id != "")))
 

@@ -121,3 +121,12 @@ def test_snippets_end_early_only_where_nothing_can_change(spark):
     assert got == ["a " * 90 + "b" * 9, "x y", ("word " * 40).rstrip() + "...", None, "", "x" * 200, "x" * 200 + "..."]
     plan = df.select(snippet(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan  # lines are not cut one by one
+
+
+def test_links_are_looked_for_in_lines_that_have_brackets(spark):
+    from tarnmark.functions import link_text
+
+    body = "no\n[a](a.md)\r\nwords ](x.md) ![i](i.md) [b](b.md)\x0b[c\nd](e.md)\n```\n[h](h.md)\n```\n!\n[[W]]"
+    df = spark.createDataFrame([(body,), (None,), ("none",)], "t string").repartition(1)
+    got = df.select(link_text.linking_lines(link_text.visible(F.col("t"))).alias("v"), link_text.links(F.col("t"), F.lit("n")).target_id.alias("x")).collect()
+    assert sorted(((r.v, r.x) for r in got), key=str) == sorted([("[a](a.md)\n![i](i.md) [b](b.md)\n[c\n[[W]]", ["a", "b", "w"]), (None, None), ("", [])], key=str)

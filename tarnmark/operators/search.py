@@ -17,8 +17,9 @@ from tarnmark.storage import materialize
 WEIGHTS = {"title": 4, "tags": 3, "description": 2, "body": 1}
 #: Queries that come together as one row, and UTF-8 bytes of queries that one pass over the concepts takes.
 BLOCK, PASS_BYTES = 256, 16 << 20
-#: Weights of a slice of concepts (concepts x terms of a pass), concepts of a slice at most, and words whose terms a task remembers.
-SLICE_CELLS, SLICE_ROWS, KNOWN_WORDS = 1 << 22, 512, 1 << 19
+#: Weights of a slice of concepts (concepts x terms of a pass), concepts of a slice at most, and words whose terms a task remembers, of so many characters at most.
+SLICE_CELLS, SLICE_ROWS, KNOWN_WORDS, KNOWN_CHARS = 1 << 22, 512, 1 << 19, 64
+NONE = np.zeros(0, np.int32)
 
 
 def folded() -> Column:
@@ -81,7 +82,9 @@ class _Terms:
             for at in range(len(word) - 2):
                 if more := lengths.get(word[at : at + 3]):
                     parts += [x for n in more if (x := word[at : at + n]) in number]
-            found = self.known[word] = np.array([number[x] for x in set(parts)], np.int32)
+            found = np.array([number[x] for x in set(parts)], np.int32) if parts else NONE
+            if len(word) <= KNOWN_CHARS:
+                self.known[word] = found
         return found
 
     def of(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,8 @@ Layout (two Parquet tables below one folder):
   are places in the lot, two bytes each, or a bitmap where that is shorter.
 
 A search reads the postings of its own grams, bounds the scores lot by lot, and
-cuts to a few candidates of each query. These get exact scores from their bodies.
+cuts to a few candidates of each query. These get exact scores from their bodies;
+a task keeps the best of each query only.
 Where a bound beyond the cut still exceeds the k-th exact score, one more round
 takes just the concepts whose bounds do; then nothing else can win. So the rows
 are those of a full scan, while bodies are read for candidates only.
@@ -31,26 +32,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmark.operators.search import WEIGHTS, blocks_of, folded
+from tarnmark.operators.search import SLICE_CELLS, WEIGHTS, _Terms, blocks_of, folded
 from tarnmark.storage import discard, fresh_path, materialize
 
 FIELDS = tuple(WEIGHTS)
 #: Characters are digits of a gram's code in this base; documents of a block; folders of gram hashes.
 BASE, BLOCK, SHELVES = 1 << 21, 1 << 15, 64
-#: Characters of a text, and entries of a lot, that are taken at once; from so many documents on a posting is a bitmap.
-STRETCH, LOT_ENTRIES, DENSE = 1 << 20, 1 << 23, BLOCK // 16
+#: Characters of a text, and entries of a lot, that are taken at once; from so many documents on a posting is a bitmap; documents that are scored at once.
+STRETCH, LOT_ENTRIES, DENSE, SCORED = 1 << 20, 1 << 23, BLOCK // 16, 128
 #: Candidates of a query in the first round: so many times top_k, and so many at least. Blocks that are named to the scan.
 FIRST, LEAST_FIRST, NAMED_BLOCKS = 4, 32, 10_000
 
 
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """The distinct codes in order; ``codes`` is sorted in place."""
+    codes.sort()
+    return codes[np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]])]
+
+
 def grams(text: str) -> np.ndarray:
     """Codes of the distinct runs of one, two and three characters."""
-    found = [np.zeros(0, np.int64)]
+    found = []
     for at in range(0, len(text), STRETCH):
         p = np.frombuffer(text[at : at + STRETCH + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
         two = p[:-1] * BASE + p[1:]
-        found.append(np.unique(np.concatenate([p, two, two[:-1] * BASE + p[2:]])))
-    return np.unique(np.concatenate(found))
+        found.append(_distinct(np.concatenate([p, two, two[:-1] * BASE + p[2:]])))
+    return found[0] if len(found) == 1 else _distinct(np.concatenate([np.zeros(0, np.int64), *found]))
 
 
 def token_grams(token: str) -> np.ndarray:
@@ -68,6 +75,19 @@ def pack(places: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _packed(places: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """What pack gives for each run of places; only runs that become bitmaps are looked at one by one."""
+    size = np.diff(starts, append=len(places))
+    two, pieces, done = places.astype("<u2"), [], 0
+    for k in np.flatnonzero(size >= DENSE):
+        stop = starts[k] + size[k]
+        pieces += [two[done : starts[k]].tobytes(), pack(places[starts[k] : stop])]
+        done = stop
+    pieces.append(two[done:].tobytes())
+    offsets = np.concatenate([[0], np.cumsum(np.where(size >= DENSE, BLOCK // 8, 2 * size))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(pieces))])
+
+
 def unpack(docs: bytes, size: int = BLOCK) -> np.ndarray:
     """A flag for each of ``size`` places from what pack gave."""
     if len(docs) == BLOCK // 8:
@@ -89,9 +109,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(code, kind="stable")
                 code, place = code[order], place[order]
                 starts = np.flatnonzero(np.diff(code, prepend=-1))
-                docs = [pack(x) for x in np.split(place, starts[1:])]
                 same = [pa.array(np.full(len(starts), x, t)) for x, t in ((field, np.int32), (lot, np.int64), (last - lot + 1, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(code[starts]), *same, pa.array(docs, pa.binary())], names=["gram", "field", "lot", "size", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[starts]), *same, _packed(place, starts)], names=["gram", "field", "lot", "size", "docs"])
                 parts.clear()
 
     for batch in batches:
@@ -107,7 +126,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts = row[name] if name == "tags" else [row[name]]
                     codes = [grams(x) for x in texts if x]
                     if codes:
-                        waiting[field].append((np.unique(np.concatenate(codes)) if len(codes) > 1 else codes[0], row["doc"]))
+                        waiting[field].append((_distinct(np.concatenate(codes)) if len(codes) > 1 else codes[0], row["doc"]))
                         n += len(waiting[field][-1][0])
                 n += 1
     yield from flush()
@@ -126,31 +145,61 @@ def _bounds(pool: dict, size: int, terms: list[str], asked: list) -> Iterator[tu
         yield query, weights[at].sum(axis=0, dtype=np.int32)
 
 
-def _exact(terms: dict[object, list[str]]) -> Callable:
-    """Rows (doc, id, title, tags, description, body, queries) to (query_id, doc, id, score); a token is looked for once in a field."""
+def _exact(shipped, top_k: int) -> Callable:
+    """Rows (doc, id, title, tags, description, body, queries) to the task's own best (query_id, doc, id, score) of each query.
+
+    A token has no white space within, so a task looks at what lies between white
+    space once for the tokens of the pass, but for those of one or two characters:
+    most words hold one. Scores are products, as in a scan.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = list(shipped.value.values())
+        names = sorted({t for terms, _ in asked for t in terms})
+        number = {t: i for i, t in enumerate(names)}
+        short, longer = [(t, i) for t, i in number.items() if len(t) < 3], np.array([i for t, i in number.items() if len(t) > 2], np.int64)
+        find, own_terms = _Terms([names[i] for i in longer]), [np.array([number[t] for t in terms], np.int64) for terms, _ in asked]
+        exact = np.float32 if sum(WEIGHTS.values()) * max((len(at) for _, queries in asked for _, at in queries), default=0) < 1 << 24 else np.float64
+        at_query = {query: (b, k) for b, (_, queries) in enumerate(asked) for k, (query, _) in enumerate(queries)}
+        best: dict[object, list[tuple]] = {}  # (minus score, doc, id)
+        least = [np.ones(len(queries), np.int64) for _, queries in asked]
+        rows, kind = max(1, min(SCORED, SLICE_CELLS // max(1, len(names)))), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out = []
-                for row in batch.slice(at, 64).to_pylist():
-                    known: dict[str, int] = {}
-
-                    def weight(t: str) -> int:
-                        return sum(w * (any(t in g for g in row[n]) if n == "tags" else t in row[n]) for n, w in WEIGHTS.items())
-
+            kind = batch.schema.field("queries").type.value_type
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows).to_pylist()
+                weights, hit = np.zeros((len(part), len(names)), exact), np.zeros(len(names), bool)
+                for total, row in zip(weights, part):
+                    for field, value in WEIGHTS.items():
+                        text = "\n".join(x for x in row[field] or () if x) if field == "tags" else row[field]
+                        if text:
+                            hit[:] = False
+                            hit[[i for t, i in short if t in text]] = True
+                            if held := [x for x in map(find.within, set(text.split())) if len(x)]:
+                                hit[longer[np.concatenate(held)]] = True
+                            total[hit] += value
+                wanted = [np.zeros((len(part), len(queries)), bool) for _, queries in asked]
+                for r, row in enumerate(part):
                     for query in row["queries"]:
-                        total = 0
-                        for t in terms[query]:
-                            if t not in known:
-                                known[t] = weight(t)
-                            total += known[t]
-                        if total:
-                            out.append((query, row["doc"], row["id"], total))
-                if out:
-                    columns = list(zip(*out))
-                    kinds = (batch.schema.field("queries").type.value_type, pa.int64(), pa.string(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "doc", "id", "score"])
+                        b, k = at_query[query]
+                        wanted[b][r, k] = True
+                for columns, (_, queries), want, low in zip(own_terms, asked, wanted, least):
+                    if not want.any():
+                        continue
+                    counts = np.zeros((len(columns), len(queries)), exact)
+                    for k, (_, places) in enumerate(queries):
+                        np.add.at(counts[:, k], places, 1)
+                    scores = (weights[:, columns] @ counts).astype(np.int64)
+                    able = want & (scores >= low)
+                    for k in np.flatnonzero(able.any(axis=0)).tolist():
+                        query = queries[k][0]
+                        new = [(-int(scores[r, k]), part[r]["doc"], part[r]["id"]) for r in np.flatnonzero(able[:, k]).tolist()]
+                        best[query] = sorted(best.get(query, []) + new, key=lambda x: x[:2])[:top_k]
+                        if len(best[query]) == top_k:
+                            low[k] = -best[query][-1][0]
+        flat = [(query, doc, name, -s) for query, found in best.items() for s, doc, name in found]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (kind, pa.int64(), pa.string(), pa.int32()))], names=["query_id", "doc", "id", "score"])
 
     return run
 
@@ -220,8 +269,8 @@ class SearchIndex:
 
         return hits.groupBy("lot", "part", "b").applyInArrow(run, like.schema)
 
-    def _scored(self, found: DataFrame, shipped) -> DataFrame:
-        """(query_id, doc, id, score) of candidates, from their bodies; only positive scores."""
+    def _scored(self, found: DataFrame, shipped, top_k: int) -> DataFrame:
+        """(query_id, doc, id, score) of candidates, from their bodies; of each task the best top_k of each query, and only positive scores."""
         blocks = [r.block for r in found.select((F.col("doc") / BLOCK).cast("long").alias("block")).distinct().limit(NAMED_BLOCKS + 1).collect()]
         fields = self._fields()
         if len(blocks) <= NAMED_BLOCKS:
@@ -229,11 +278,7 @@ class SearchIndex:
         each = found.groupBy("doc").agg(F.collect_list("query_id").alias("queries"))  # queries of one pass
         rows = fields.join(each, "doc").select("doc", "id", *FIELDS, "queries")
         kind = found.schema["query_id"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _exact({q: [terms[i] for i in at] for terms, asked in shipped.value.values() for q, at in asked})(batches)
-
-        return rows.mapInArrow(run, f"query_id {kind}, doc long, id string, score int")
+        return rows.mapInArrow(_exact(shipped, top_k), f"query_id {kind}, doc long, id string, score int")
 
     def search(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
         """(query_id, rank, id, score): the best concepts of each query (query_id, query), as a full scan would find them."""
@@ -264,7 +309,7 @@ class SearchIndex:
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "doc")
         first = self._candidates(shipped, wanted, kind, strongest).withColumn("n", F.row_number().over(order)).where(F.col("n") <= many)
         first = materialize(first, "candidates")
-        scored = materialize(self._scored(first, shipped), "scored")
+        scored = materialize(self._scored(first, shipped, top_k), "scored")
         # the k-th exact score of each query, and the last bound that was looked at
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
         least = scored.withColumn("n", F.row_number().over(place)).where(F.col("n") == top_k).select("query_id", F.col("score").alias("won"), F.col("doc").alias("won_doc"))
@@ -284,7 +329,7 @@ class SearchIndex:
                 return places[((own > won) | (doc < won_doc)) & ((own < last) | (doc > last_doc))]
 
             rest = materialize(self._candidates(shipped, wanted, kind, able), "candidates")
-            scored = scored.unionByName(materialize(self._scored(rest, shipped), "scored"))
+            scored = scored.unionByName(materialize(self._scored(rest, shipped, top_k), "scored"))
             self.pairs += rest.count()
             discard(rest)
         discard(wanted)

@@ -112,3 +112,26 @@ def test_packed_places():
         places = np.sort(rng.choice(search_index.BLOCK, n, replace=False))
         assert (np.flatnonzero(search_index.unpack(search_index.pack(places))) == places).all()
         assert len(search_index.pack(places)) <= search_index.BLOCK // 8
+
+
+class Shipped:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("top_k", [1, 3])
+def test_a_scoring_task_keeps_its_own_best_of_what_was_asked(top_k):
+    """Candidates are as many as pairs, rows that leave a task are not; a tag may be null."""
+    rng = random.Random(top_k)
+    text = lambda n: "".join(rng.choice(["ab", "b", "ba", "é", "-", " ", " "]) for _ in range(n))
+    blocks = {(0, 0): (["a", "ba"], [("p", [0, 0, 1]), ("q", [1])]), (0, 1): (["b", "é", "abba"], [("r", [0, 1, 2])])}
+    rows = [{"doc": d, "id": f"d{d}", "title": text(2), "tags": [text(2), None], "description": "", "body": text(9), "queries": rng.sample("pqr", rng.randrange(1, 4))} for d in range(400)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = [tuple(r.values()) for b in search_index._exact(Shipped(blocks), top_k)(iter([batch.slice(0, 150), batch.slice(150)])) for r in b.to_pylist()]
+    wanted = []
+    for terms, asked in blocks.values():
+        for query, at in asked:
+            score = lambda r: sum(4 * (t in r["title"]) + 3 * (t in r["tags"][0]) + (t in r["body"]) for t in (terms[i] for i in at))  # noqa: B023, E731
+            found = sorted((-score(r), r["doc"]) for r in rows if query in r["queries"] and score(r))
+            wanted += [(query, d, f"d{d}", -s) for s, d in found[:top_k]]
+    assert sorted(got) == sorted(wanted) and len(got) == 3 * top_k

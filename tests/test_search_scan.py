@@ -51,3 +51,9 @@ def test_search_is_the_plain_loop(spark, monkeypatch, top_k):
             scores.setdefault(q, []).append((-sum(w * any(t in (g or "").casefold() for g in f) for t in tokens for w, f in fields), i))
     wanted = [(q, r, i, -s) for q, found in scores.items() for r, (s, i) in enumerate([x for x in sorted(found) if x[0]][:top_k], 1)]
     assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_long_words_are_not_remembered():
+    find = _Terms(["ab", "abc"])
+    assert sorted(find.within("abc" * 40)) == [0, 1]
+    assert sorted(find.within("xab")) == [0] and list(find.known) == ["xab"]

@@ -154,6 +154,7 @@ class _Tree:
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        pa.default_memory_pool().release_unused()  # a worker is kept for later tasks
 
 
 class TreeReader(_Tree, DataSourceReader):
@@ -211,8 +212,8 @@ def stream_tree(spark: SparkSession, root: str, *, tasks: int = TASKS, settle: f
     return spark.readStream.format("note_tree").option("tasks", str(tasks)).option("settle", str(settle)).load(root)
 
 
-def write_tree(notes: DataFrame, root: str) -> int:
-    """Write notes (relative, content) as files below a root, a task each its own; how many were written."""
+def _writer(root: str):
+    """Rows (relative, content) to files below a root, and one row with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -220,14 +221,21 @@ def write_tree(notes: DataFrame, root: str) -> int:
         store, base = fs.FileSystem.from_uri(root) if not is_local(root) else (fs.LocalFileSystem(), root)
         made, n = set(), 0
         for batch in batches:
-            for relative, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for relative, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 folder = f"{base}/{relative}".rpartition("/")[0]
                 if folder not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
                 with store.open_output_stream(f"{base}/{relative}") as f:
-                    f.write(content)
+                    f.write(content.as_buffer())  # bytes of the batch itself: files are not held beside it
                 n += 1
+        batch = content = None
+        pa.default_memory_pool().release_unused()  # a worker is kept for later tasks
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return notes.selectExpr("relative", "cast(content as binary) as content").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+    return run
+
+
+def write_tree(notes: DataFrame, root: str) -> int:
+    """Write notes (relative, content) as files below a root, a task each its own; how many were written."""
+    return notes.selectExpr("relative", "cast(content as binary) as content").mapInArrow(_writer(root), "n long").groupBy().sum("n").first()[0] or 0

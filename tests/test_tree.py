@@ -2,7 +2,9 @@
 
 import os
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tarnmark.plans.bundle import Bundle
@@ -113,3 +115,17 @@ def test_roots(tmp_path):
     assert checked_root(f"{tmp_path}/x/..") == str(tmp_path) if (tmp_path / "x").mkdir() is None else None
     with pytest.raises(Exception, match="not found"):
         checked_root(f"file://{tmp_path}/none")
+
+
+def test_a_writer_does_not_hold_its_files_twice(tmp_path):
+    size, n = 1 << 18, 100
+    batch = pa.RecordBatch.from_pylist([{"relative": f"a/{i}.md", "content": bytes([i]) * size} for i in range(n)])
+    tracemalloc.start()
+    try:
+        out = [b.to_pylist() for b in tree._writer(str(tmp_path))(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == [[{"n": n}]] and peak < 8 * size  # all of them as bytes: n * size
+    assert all((tmp_path / f"a/{i}.md").read_bytes() == bytes([i]) * size for i in range(n))
+    assert [b.to_pylist() for b in tree._writer(str(tmp_path))(iter([]))] == [[{"n": 0}]]

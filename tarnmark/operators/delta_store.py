@@ -8,7 +8,9 @@ rows only. Deltas hold tombstones too.
 
 A read takes the latest delta row of each doc_id, and the base rows of the touched
 buckets that no delta row replaces; untouched buckets are plain scans. Compaction
-rewrites the touched buckets and leaves the others where they lie. Batches carry a
+rewrites the touched buckets and leaves the others where they lie: it finds by keys
+alone which rows are replaced, so whole rows are read and written once, and shuffled
+only if the replaced keys are too many to send to the tasks. Batches carry a
 number: one that was committed is not applied again, so a repeated batch of a
 stream changes nothing, and one that failed before its version file leaves only a
 folder for ``vacuum``.
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 
 from tarnmark.errors import StorageError
 from tarnmark.operators.sync import require_unique, sync_status
-from tarnmark.storage import materialize
+from tarnmark.storage import discard, materialize
 
 STORE = "doc_id string, concept_id string, page_content string, metadata string, content_hash string"
 COLUMNS = [f.split()[0] for f in STORE.split(", ")]
 #: Buckets of a new store, and deltas after which a write compacts.
 BUCKETS, COMPACT_AFTER = 16, 8
+#: Bytes of replaced keys (16 more a row) that a compaction sends to the tasks; beyond them it joins by a shuffle.
+SENT_KEYS = 32 << 20
 
 
 class DeltaStore:
@@ -120,6 +124,29 @@ class DeltaStore:
         base = self._base(state, columns, touched).drop("bucket").join(latest.select(self.key), self.key, "left_anti")
         return base.unionByName(latest.where("not r.gone").select(self.key, "r.*").drop("gone"))
 
+    def _compacted(self, state: dict, touched: list[int]) -> tuple[DataFrame, list[DataFrame]]:
+        """Rows of the touched buckets as they are now, for all columns, and the written tables of keys they depend on."""
+        kind, tables, out, keys = self.schema + ", gone boolean, bucket int", [], None, None
+        for delta in state["deltas"]:
+            rows = self.spark.read.schema(kind).parquet(f"{self.path}/{delta['folder']}").withColumn("at", F.lit(delta["version"]))
+            some, kept = rows.select(self.key, "at"), rows.where("not gone").select(*self.columns, "at")
+            keys, out = (some, kept) if keys is None else (keys.unionByName(some), out.unionByName(kept))
+
+        def without(rows: DataFrame, taken: DataFrame, on: list[str]) -> DataFrame:
+            tables.append(materialize(taken.select([F.col(c).alias(f"_{c}") for c in on]), "taken"))
+            size = tables[-1].agg(F.sum(F.octet_length(F.col(f"_{self.key}").cast("string")) + 16)).first()[0] or 0
+            side = F.broadcast(tables[-1]) if size <= SENT_KEYS else tables[-1]
+            match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+            return rows.join(side, match, "left_anti")
+
+        if len(state["deltas"]) > 1:
+            each = keys.groupBy(self.key).agg(F.array_sort(F.collect_list("at")).alias("at")).where("size(at) > 1")
+            out = without(out, each.select(self.key, F.explode(F.expr("slice(at, 1, size(at) - 1)")).alias("at")), [self.key, "at"])
+        out = out.drop("at")
+        if any(int(b) in touched for b in state["base"]):
+            out = out.unionByName(without(self._base(state, self.columns, touched).drop("bucket"), keys.select(self.key).distinct(), [self.key]))
+        return out, tables
+
     @staticmethod
     def _touched(state: dict) -> list[int]:
         return sorted({b for delta in state["deltas"] for b in delta["buckets"]})
@@ -150,7 +177,14 @@ class DeltaStore:
             known = [self.key, *({self.by} - {self.key})]
             taken = gone.select(known).distinct().withColumn("gone", F.lit(True))
             put = put.unionByName(taken, allowMissingColumns=True)
-        put = materialize(put.withColumn("bucket", self._bucket(state)), "put")
+        put = materialize(put, "put")
+        self._append(state, put, batch)
+        discard(put)
+        return True
+
+    def _append(self, state: dict, put: DataFrame, batch: int | None) -> None:
+        """Write and commit a delta of rows with ``gone`` that lie in a written table."""
+        put = put.withColumn("bucket", self._bucket(state))
         require_unique(put, self.key)
         version = state["version"] + 1
         folder = f"delta-{version}-{uuid.uuid4().hex[:8]}"
@@ -160,7 +194,6 @@ class DeltaStore:
         self._commit(state | {"version": version, "batch": state["batch"] if batch is None else batch, "deltas": deltas})
         if len(deltas) >= self.compact_after:
             self.compact()
-        return True
 
     def delete(self, ids: DataFrame, *, batch: int | None = None) -> bool:
         """Take keys away."""
@@ -168,8 +201,14 @@ class DeltaStore:
 
     def sync(self, docs: DataFrame, *, overwrite: bool = False, batch: int | None = None) -> DataFrame:
         """docs with ``status``; what was added or updated is written, what is no longer among docs stays."""
-        status = materialize(sync_status(docs, self.read(columns=["content_hash"]), overwrite), "status")
-        self.write(status.where("status <> 'skipped'"), batch=batch)
+        state = self.state()
+        if state["base"] or state["deltas"]:
+            told = sync_status(docs, self.read(columns=["content_hash"]), overwrite)
+        else:  # nothing to compare with: no join
+            told = docs.withColumn("status", F.lit("added"))
+        status = materialize(told, "status")
+        if batch is None or state["batch"] is None or batch > state["batch"]:
+            self._append(state, status.where("status <> 'skipped'").select(*self.columns, F.lit(False).alias("gone")), batch)
         return status
 
     def compact(self) -> None:
@@ -180,8 +219,9 @@ class DeltaStore:
             return
         version = state["version"] + 1
         folder = f"base-{version}-{uuid.uuid4().hex[:8]}"
-        rows = self._merged(state, self.columns, touched).withColumn("bucket", self._bucket(state))
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows, tables = self._compacted(state, touched)
+        rows.withColumn("bucket", self._bucket(state)).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        discard(*tables)
         fs, at = self._fs(folder)
         full = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(at)} if fs.exists(at) else set()
         base = {b: f for b, f in state["base"].items() if int(b) not in touched} | {str(b): folder for b in touched if str(b) in full}

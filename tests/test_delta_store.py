@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tarnmark.errors import StorageError
-from tarnmark.operators import sync
+from tarnmark.operators import delta_store, sync
 from tarnmark.operators.delta_store import COLUMNS, STORE, DeltaStore
 from tarnmark.streaming.incremental import latest_of, sync_stream
 
@@ -124,3 +124,35 @@ def test_latest_of_repeats(spark):
     df = spark.createDataFrame(rows, "id string, path string, raw string, modified int")
     assert {r.id: r.raw for r in latest_of(df).collect()} == {"a": "aa", "b": "x"}
     assert {r.id: r.raw for r in latest_of(df.drop("modified")).collect()} == {"a": "zz", "b": "x"}
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_compaction_by_keys_that_are_sent_or_shuffled(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(delta_store, "SENT_KEYS", sent)
+    rng = random.Random(sent)
+    store, want = DeltaStore(spark, str(tmp_path / "s"), buckets=3), {}
+    for batch in range(6):
+        put = {f"d{rng.randrange(20)}": f"t{batch}-{k}" for k in range(9)}
+        gone = {f"d{rng.randrange(20)}" for _ in range(3)} - set(put)
+        store.write(frame(spark, put.items()), gone=spark.createDataFrame([(i,) for i in gone], "doc_id string"))
+        want = {k: v for k, v in (want | put).items() if k not in gone}
+        if batch % 3 == 2:
+            store.compact()
+            assert held(store.read()) == want and not store.state()["deltas"]
+
+
+def test_whole_rows_are_written_once_and_compacted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Volume: a sync writes contents as its status and its delta, and the first one shuffles none before; compaction moves keys only."""
+    seen, real = [], delta_store.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    monkeypatch.setattr(delta_store, "materialize", lambda df, name: seen.append((name, "page_content" in df.columns, plan(df))) or real(df, name))
+    store = DeltaStore(spark, str(tmp_path / "s"))
+    store.sync(frame(spark, [(f"d{i}", "x") for i in range(50)]))
+    assert [name for name, whole, _ in seen if whole] == ["status"] and "Exchange" not in seen[0][2]
+    store.sync(frame(spark, [(f"d{i}", "y") for i in range(5)]))
+    assert [name for name, whole, _ in seen if whole] == ["status"] * 2
+    state = store.state()
+    assert "Exchange" not in plan(store._compacted(state, store._touched(state))[0])
+    store.compact()
+    assert not any(whole for name, whole, _ in seen if name != "status")
+    assert held(store.read()) == {f"d{i}": "y" if i < 5 else "x" for i in range(50)}

@@ -22,7 +22,8 @@ member with the largest share of common shingles. Last, among all members that
 have met a pivot, those outside its component are compared with those of other
 components. Groups of near copies thus cost about two comparisons for each
 member, and no link between different components is lost. Comparisons go to the
-pivot's partition, salted by members, with hashed sets.
+pivot's partition, salted by members, with hashed sets. Links of a later pass
+join components, not documents: only the components that they touch are merged.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; so do rows without an id, which are kept; repeated rows are copies;
@@ -215,40 +216,47 @@ def _as(sets: DataFrame, prefix: str, name: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Of (pivot, member), those with 100 * intersection >= threshold * union on full sets; sets: cls and shingles."""
+    """(a, b) of those (pivot, member, a, b) with 100 * intersection >= threshold * union on full sets; sets: cls and shingles."""
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
     pivots = salts.join(sets, F.col("pivot") == F.col("cls")).select(
-        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "shingles"
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.lit(None).cast("long").alias(x) for x in ("member", "a", "b")], "shingles"
     )
     members = pairs.join(salts, "pivot").join(sets, F.col("member") == F.col("cls")).select(
-        "pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", "shingles"
+        "pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member", "a", "b", "shingles"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             found = []
-            pivots_, salts_, members_, sets_ = (batch.column(k) for k in range(4))
-            for i, (pivot, salt, member) in enumerate(zip(pivots_.to_pylist(), salts_.to_pylist(), members_.to_pylist())):
+            sets_ = batch.column(5)
+            for i, (pivot, salt, member, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
                 other = np.frombuffer(sets_[i].as_buffer(), dtype="<u8")
                 if member is None:
                     now, own = (pivot, salt), other.copy()
                 elif now == (pivot, salt) and 100 * min(len(own), len(other)) >= threshold * max(len(own), len(other)):
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     if 100 * both >= threshold * (len(own) + len(other) - both):
-                        found.append((pivot, member))
+                        found.append((a, b))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["pivot", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     rows = pivots.unionByName(members).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(tidy(compare), "pivot long, member long")
+    return rows.mapInArrow(tidy(compare), "a long, b long")
 
 
-def _mixed(met: DataFrame, component: DataFrame) -> DataFrame:
-    """(cls, pivot, c, pc): members, with their and their pivot's component, of buckets that hold several."""
-    pivot_of = component.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-    labelled = met.join(component.withColumnRenamed("node", "cls"), "cls", "left").join(pivot_of, "pivot", "left")
-    labelled = labelled.select("cls", "pivot", F.coalesce("component", "cls").alias("c"), F.coalesce("pivot_component", "pivot").alias("pc"))
+def _renamed(rows: DataFrame, column: str, component: DataFrame) -> DataFrame:
+    """rows with a column of nodes replaced by their components; a node without an edge is its own."""
+    named = component.select(F.col("node").alias(column), F.col("component").alias("renamed"))
+    return rows.join(named, column, "left").withColumn(column, F.coalesce("renamed", column)).drop("renamed")
+
+
+def _mixed(labelled: DataFrame, component: DataFrame) -> DataFrame:
+    """(cls, pivot, c, pc): members, with their and their pivot's component, of buckets that hold several.
+
+    labelled: the same columns, with c and pc as nodes of component.
+    """
+    labelled = _renamed(_renamed(labelled, "c", component), "pc", component).select("cls", "pivot", "c", "pc")
     several = labelled.groupBy("pivot").agg(F.max(F.col("c") != F.col("pc")).alias("several")).where("several").select("pivot")
     return materialize(labelled.join(several, "pivot", "left_semi"), "mixed")
 
@@ -271,22 +279,27 @@ def _with_bounds(rows: DataFrame, bounds: DataFrame, prefix: str) -> DataFrame:
     return rows.join(bounds, "cls").select("pivot", "pc", *[F.col(x).alias(f"{prefix}{x}") for x in fields])
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    names = {"pivot": "a_cls", "member": "b_cls", "a": "a_c", "b": "b_c"}
+    return rows.select(*[F.col(x).alias(name) for name, x in names.items()]).distinct()
+
+
 def _centre_pairs(mixed: DataFrame, bounds: DataFrame, threshold: int) -> DataFrame:
-    """(pivot, member): the centre of each bucket, and the members of other components that no bound rules out."""
+    """(pivot, member, a, b): the centre of each bucket, the members of other components that no bound rules out, and both components."""
     scored = mixed.join(bounds.select("cls", (F.col("s") / F.col("n")).alias("share")), "cls")
     centres = scored.groupBy("pivot").agg(F.min(F.struct(-F.col("share"), "cls", "c", "pc")).alias("m")).select("pivot", "m.cls", "m.c", "m.pc")
     a = materialize(_with_bounds(centres, bounds, "a_").drop("pc"), "centres")
     pairs = _with_bounds(mixed, bounds, "b_").join(a, "pivot").where(_may_link(threshold))
-    return pairs.select(F.col("a_cls").alias("pivot"), F.col("b_cls").alias("member")).distinct()
+    return _pairs(pairs)
 
 
 def _crossing_pairs(mixed: DataFrame, bounds: DataFrame, threshold: int) -> DataFrame:
-    """(pivot, member): pairs of one bucket in different components that no bound rules out."""
+    """(pivot, member, a, b): pairs of one bucket in different components that no bound rules out, and both components."""
     strays = _with_bounds(mixed.where("c <> pc"), bounds, "a_").select(F.col("pivot").alias("by"), *[F.col(f"a_{x}") for x in ("cls", "c", "s", *_BOUNDS)])
     others = _with_bounds(mixed, bounds, "b_").select(F.col("pivot").alias("with"), "pc", *[F.col(f"b_{x}") for x in ("cls", "c", "s", *_BOUNDS)])
     once = (F.col("b_c") == F.col("pc")) | (F.col("a_cls") < F.col("b_cls"))
     pairs = strays.join(others, (F.col("by") == F.col("with")) & once & _may_link(threshold))
-    return pairs.select(F.col("a_cls").alias("pivot"), F.col("b_cls").alias("member")).distinct()
+    return _pairs(pairs)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -315,24 +328,35 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80) ->
     sets = materialize(sketches(texts.distinct(), width), "sets")  # an id may repeat
 
     stars = met.join(_as(sets, "b_", "cls"), "cls").join(_as(sets, "a_", "pivot"), "pivot").where(_close("a_", "b_", threshold))
-    stars = materialize(stars.select("pivot", F.col("cls").alias("member")), "stars")
+    stars = stars.select("pivot", F.col("cls").alias("member"), F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    stars = materialize(stars, "stars")
     links = materialize(_confirmed(stars, sets, threshold), "links")
-    component = materialize(connected_components(links, "pivot", "member"), "components")
-    mixed, bounds = _mixed(met, component), None
+    merged = [connected_components(links, "a", "b")]  # the nodes of each are components of the one before
+    mixed = _mixed(met.select("cls", "pivot", F.col("cls").alias("c"), F.col("pivot").alias("pc")), merged[0])
+    bounds = None
     for pairs_of in (_centre_pairs, _crossing_pairs):
         if mixed.isEmpty():
             break
         bounds = bounds or _bounds(mixed, sets, threshold)  # later buckets are among the first ones
         pairs = materialize(pairs_of(mixed, bounds, threshold), "pairs")
         if not pairs.isEmpty():
-            before, links = links, materialize(links.unionByName(_confirmed(pairs, sets, threshold)), "links")
+            before, links = links, materialize(_confirmed(pairs, sets, threshold), "links")
             discard(before, pairs)
-            component = materialize(connected_components(links, "pivot", "member"), "components")
-            mixed = _mixed(met, component) if pairs_of is _centre_pairs else mixed
+            merged.append(connected_components(links, "a", "b"))
+            if pairs_of is _centre_pairs:
+                wider, mixed = mixed, _mixed(mixed, merged[-1])
+                discard(wider)
 
     discard(shared, met, sets, stars, mixed, bounds, links)
-    least = classes.select(F.col("cls").alias("node"), "least_id").join(component, "node").groupBy("component").agg(F.min("least_id").alias("of_component"))
-    linked = component.join(materialize(least, "least"), "component").select(F.col("node").alias("cls"), "of_component")
+    linked = classes.select("cls", "least_id", F.col("cls").alias("root"), F.lit(False).alias("linked"))
+    for component in merged:
+        named = component.select(F.col("node").alias("root"), F.col("component").alias("to"))
+        linked = linked.join(named, "root", "left").select(
+            "cls", "least_id", F.coalesce("to", "root").alias("root"), (F.col("linked") | F.col("to").isNotNull()).alias("linked")
+        )
+    linked = linked.where("linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least_id").alias("of_component")), "least")
+    linked = linked.join(least, "root").select("cls", "of_component")
     labelled = classes.select("set_hash", "cls", "least_id").join(linked, "cls", "left")
     labelled = labelled.select("set_hash", F.coalesce("of_component", "least_id").alias("least_id"))
     named = signed.join(labelled, "set_hash", "left")

@@ -50,6 +50,11 @@ def casefold(column: Column) -> Column:
     return F.get(F.transform(F.array(F.lower(column)), fold), F.lit(0))  # bound to a lambda: lower case once
 
 
+def lowercase(column: Column) -> Column:
+    """Lower case as SQL engines have it, each code point by itself: Spark's, but that İ becomes i, and Σ becomes σ at the end of a word too."""
+    return F.lower(F.replace(F.replace(column, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def tokens(column: Column, fold: bool = True) -> Column:
     """Case-folded word tokens, in order, repeats kept."""
     return F.regexp_extract_all(casefold(column) if fold else column, F.lit(f"({WORD})"), F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ SLICE_CELLS, SLICE_ROWS, KNOWN_WORDS, KNOWN_CHARS = 1 << 22, 512, 1 << 19, 64
 NONE = np.zeros(0, np.int32)
 
 
-def folded() -> Column:
+def folded(fold: Callable[[Column], Column] = casefold) -> Column:
     """The case-folded fields as the only element of an array: bound to a lambda, they are computed once for each row."""
-    blank = lambda n: casefold(F.coalesce(F.col(n), F.lit("")))
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), casefold)
+    blank = lambda n: fold(F.coalesce(F.col(n), F.lit("")))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda tag: fold(tag))
     return F.array(F.struct(blank("title").alias("title"), tags.alias("tags"), blank("description").alias("description"), blank("body").alias("body")))
 
 
@@ -40,9 +40,9 @@ def score(query_tokens: Column, fields: Column) -> Column:
     return F.aggregate(query_tokens, F.lit(0), lambda total, t: total + weight(t, fields))
 
 
-def blocks_of(queries: DataFrame) -> DataFrame:
+def blocks_of(queries: DataFrame, fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """(part, b, terms, asked): up to BLOCK queries; their distinct tokens, and of each query the places of its tokens among them."""
-    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0")
+    asked = queries.select("query_id", tokens(fold(F.col("query")), fold=False).alias("t")).where("size(t) > 0")
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
     parts = -(-size // PASS_BYTES) or 1
     h = F.xxhash64("query_id")
@@ -144,7 +144,7 @@ def _best(shipped, top_k: int):
     return run
 
 
-def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
+def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5, fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """(query_id, rank, id, score): the best concepts of each query (query_id, query).
 
     Queries are a stated set: they come in blocks, and a pass takes PASS_BYTES
@@ -152,13 +152,14 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
     of its words does: the distinct words of the folded fields go to the tasks,
     and each is searched for the tokens of a pass once. Scores are products of the
     weights with the counts of the tokens; a task keeps its own best ``top_k`` of
-    each query, so the shuffle carries tasks x queries x top_k rows.
+    each query, so the shuffle carries tasks x queries x top_k rows. ``fold`` makes
+    letters alike, in queries and concepts.
     """
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
-    blocks, concepts = blocks_of(queries), _spread(concepts)
+    blocks, concepts = blocks_of(queries, fold), _spread(concepts)
     words = lambda c: F.array_distinct(tokens(c, fold=False))
-    fields = F.transform(folded(), lambda f: F.struct(*[(F.array_distinct(F.flatten(F.transform(F.filter(f[n], F.isnotnull), words))) if n == "tags" else words(f[n])).alias(n) for n in WEIGHTS]))
+    fields = F.transform(folded(fold), lambda f: F.struct(*[(F.array_distinct(F.flatten(F.transform(F.filter(f[n], F.isnotnull), words))) if n == "tags" else words(f[n])).alias(n) for n in WEIGHTS]))
     rows = concepts.select("id", F.get(fields, F.lit(0)).alias("f")).select("id", "f.*")
     kind = queries.schema["query_id"].dataType
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -174,12 +175,12 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
 
-def search_one(concepts: DataFrame, query: str, top_k: int = 5) -> DataFrame:
+def search_one(concepts: DataFrame, query: str, top_k: int = 5, fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """(rank, id, score) of a single query: a plan of one narrow pass and a top-k."""
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
-    asked = tokens(F.lit(query))
-    scored = _spread(concepts).select("id", F.get(F.transform(folded(), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
+    asked = tokens(fold(F.lit(query)), fold=False)
+    scored = _spread(concepts).select("id", F.get(F.transform(folded(fold), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
     top = scored.orderBy(F.desc("score"), "id").limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "score")
 
@@ -199,9 +200,9 @@ def documents_of(concepts: DataFrame, bundle_root: str, source: str = "bundle")
     )
 
 
-def retrieve(concepts: DataFrame, queries: DataFrame, bundle_root: str, top_k: int = 5) -> DataFrame:
+def retrieve(concepts: DataFrame, queries: DataFrame, bundle_root: str, top_k: int = 5, fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """(query_id, rank, concept_id, page_content, metadata) of the best concepts of each query."""
-    return documents_of_hits(search(concepts, queries, top_k), concepts, bundle_root)
+    return documents_of_hits(search(concepts, queries, top_k, fold), concepts, bundle_root)
 
 
 def documents_of_hits(hits: DataFrame, concepts: DataFrame, bundle_root: str) -> DataFrame:

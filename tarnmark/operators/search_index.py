@@ -29,9 +29,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnmark.functions.text import casefold
 from tarnmark.operators.search import SLICE_CELLS, WEIGHTS, _Terms, blocks_of, folded
 from tarnmark.storage import discard, fresh_path, materialize
 
@@ -205,18 +206,21 @@ def _exact(shipped, top_k: int) -> Callable:
 
 
 class SearchIndex:
-    """An index of concepts in a folder; ``build`` writes one, ``open`` takes one that was written."""
+    """An index of concepts in a folder; ``build`` writes one, ``open`` takes one that was written.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.pairs = spark, path.rstrip("/"), 0
+    ``fold`` makes letters alike, in the concepts as they are indexed and in queries; an index is opened with what it was built with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fold: Callable[[Column], Column] = casefold):
+        self.spark, self.path, self.fold, self.pairs = spark, path.rstrip("/"), fold, 0
 
     @classmethod
-    def build(cls, concepts: DataFrame, path: str | None = None) -> "SearchIndex":
+    def build(cls, concepts: DataFrame, path: str | None = None, fold: Callable[[Column], Column] = casefold) -> "SearchIndex":
         """From concepts (id, title, tags, description, body), sorted by id once."""
         spark = concepts.sparkSession
-        out = cls(spark, path or fresh_path(spark, "search-index"))
+        out = cls(spark, path or fresh_path(spark, "search-index"), fold)
         rows = concepts.select("id", *FIELDS).orderBy("id").withColumn("doc", F.monotonically_increasing_id())
-        rows = rows.select("doc", "id", F.get(folded(), F.lit(0)).alias("f"), (F.col("doc") / BLOCK).cast("long").alias("block"))
+        rows = rows.select("doc", "id", F.get(folded(fold), F.lit(0)).alias("f"), (F.col("doc") / BLOCK).cast("long").alias("block"))
         rows.select("doc", "id", "f.*", "block").write.partitionBy("block").parquet(f"{out.path}/fields")
         made = out._fields().select("doc", *FIELDS).mapInArrow(_postings, "gram long, field int, lot long, size int, docs binary")
         shelf = F.pmod(F.xxhash64("gram"), F.lit(SHELVES)).cast("int")
@@ -224,8 +228,8 @@ class SearchIndex:
         return out
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> "SearchIndex":
-        return cls(spark, path)
+    def open(cls, spark: SparkSession, path: str, fold: Callable[[Column], Column] = casefold) -> "SearchIndex":
+        return cls(spark, path, fold)
 
     def delete(self) -> None:
         files = self.spark.createDataFrame([], "x int")
@@ -284,7 +288,7 @@ class SearchIndex:
         """(query_id, rank, id, score): the best concepts of each query (query_id, query), as a full scan would find them."""
         if top_k < 1:
             raise ValueError(f"top_k must be at least 1, got {top_k}")
-        blocks = blocks_of(queries)
+        blocks = blocks_of(queries, self.fold)
         found = [self._pass(blocks.where(F.col("part") == r.part), top_k) for r in blocks.select("part").distinct().collect()]  # one for each PASS_BYTES of queries
         discard(blocks)
         kind = queries.schema["query_id"].dataType.simpleString()

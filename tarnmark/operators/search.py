@@ -106,13 +106,13 @@ def _best(shipped, top_k: int):
         terms, blocks, kind = shipped.value
         find = _Terms(terms)
         exact = np.float32 if sum(WEIGHTS.values()) * max((len(at) for _, asked in blocks for _, at in asked), default=0) < 1 << 24 else np.float64
-        best: list[list[list[tuple]]] = [[[] for _ in asked] for _, asked in blocks]  # (minus score, is not null, id)
+        best: list[list[list[tuple]]] = [[[] for _ in asked] for _, asked in blocks]  # (minus score, is null, id)
         least = [np.ones(len(asked), exact) for _, asked in blocks]
         rows = max(1, min(SLICE_ROWS, SLICE_CELLS // max(1, len(terms))))
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = [(x is not None, x or "") for x in part.column(0).to_pylist()]
+                ids = [(x is None, x or "") for x in part.column(0).to_pylist()]
                 weights = np.zeros((len(ids), len(terms)), exact)
                 for name, weight in WEIGHTS.items():
                     hit = np.zeros(weights.shape, bool)
@@ -137,7 +137,7 @@ def _best(shipped, top_k: int):
                         if len(own[q]) == top_k:
                             low[q] = -own[q][-1][0]
         for (_, asked), own in zip(blocks, best):
-            flat = [(name, i if given else None, -s) for (name, _), found in zip(asked, own) for s, given, i in found]
+            flat = [(name, None if absent else i, -s) for (name, _), found in zip(asked, own) for s, absent, i in found]
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (kind, pa.string(), pa.int32()))], names=["query_id", "id", "score"])
 
@@ -153,7 +153,8 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5, fold: Callab
     and each is searched for the tokens of a pass once. Scores are products of the
     weights with the counts of the tokens; a task keeps its own best ``top_k`` of
     each query, so the shuffle carries tasks x queries x top_k rows. ``fold`` makes
-    letters alike, in queries and concepts.
+    letters alike, in queries and concepts. Of one score, a concept without an id
+    comes last; queries of one query_id are ranked together.
     """
     if top_k < 1:
         raise ValueError(f"top_k must be at least 1, got {top_k}")
@@ -162,7 +163,7 @@ def search(concepts: DataFrame, queries: DataFrame, top_k: int = 5, fold: Callab
     fields = F.transform(folded(fold), lambda f: F.struct(*[(F.array_distinct(F.flatten(F.transform(F.filter(f[n], F.isnotnull), words))) if n == "tags" else words(f[n])).alias(n) for n in WEIGHTS]))
     rows = concepts.select("id", F.get(fields, F.lit(0)).alias("f")).select("id", "f.*")
     kind = queries.schema["query_id"].dataType
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     found = None
     for part in sorted(r.part for r in blocks.select("part").distinct().collect()) or [0]:  # one for each PASS_BYTES of queries
         some = blocks.where(F.col("part") == part).collect()  # PASS_BYTES or so
@@ -181,8 +182,8 @@ def search_one(concepts: DataFrame, query: str, top_k: int = 5, fold: Callable[[
         raise ValueError(f"top_k must be at least 1, got {top_k}")
     asked = tokens(fold(F.lit(query)), fold=False)
     scored = _spread(concepts).select("id", F.get(F.transform(folded(fold), lambda f: score(asked, f)), F.lit(0)).alias("score")).where("score > 0")
-    top = scored.orderBy(F.desc("score"), "id").limit(top_k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "score")
+    top = scored.orderBy(F.desc("score"), F.asc_nulls_last("id")).limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc_nulls_last("id")))).select("rank", "id", "score")
 
 
 def documents_of(concepts: DataFrame, bundle_root: str, source: str = "bundle") -> DataFrame:

@@ -219,7 +219,7 @@ class SearchIndex:
         """From concepts (id, title, tags, description, body), sorted by id once."""
         spark = concepts.sparkSession
         out = cls(spark, path or fresh_path(spark, "search-index"), fold)
-        rows = concepts.select("id", *FIELDS).orderBy("id").withColumn("doc", F.monotonically_increasing_id())
+        rows = concepts.select("id", *FIELDS).orderBy(F.asc_nulls_last("id")).withColumn("doc", F.monotonically_increasing_id())
         rows = rows.select("doc", "id", F.get(folded(fold), F.lit(0)).alias("f"), (F.col("doc") / BLOCK).cast("long").alias("block"))
         rows.select("doc", "id", "f.*", "block").write.partitionBy("block").parquet(f"{out.path}/fields")
         made = out._fields().select("doc", *FIELDS).mapInArrow(_postings, "gram long, field int, lot long, size int, docs binary")
@@ -288,13 +288,15 @@ class SearchIndex:
         """(query_id, rank, id, score): the best concepts of each query (query_id, query), as a full scan would find them."""
         if top_k < 1:
             raise ValueError(f"top_k must be at least 1, got {top_k}")
-        blocks = blocks_of(queries, self.fold)
+        # by numbers of their own, as a query_id may be repeated or null
+        asked = materialize(queries.select(F.monotonically_increasing_id().alias("number"), "query_id", "query"), "asked")
+        blocks = blocks_of(asked.select(F.col("number").alias("query_id"), "query"), self.fold)
         found = [self._pass(blocks.where(F.col("part") == r.part), top_k) for r in blocks.select("part").distinct().collect()]  # one for each PASS_BYTES of queries
         discard(blocks)
-        kind = queries.schema["query_id"].dataType.simpleString()
-        out = self.spark.createDataFrame([], f"query_id {kind}, doc long, id string, score int")
+        out = self.spark.createDataFrame([], "query_id long, doc long, id string, score int")
         for one in found:
             out = out.unionByName(one)
+        out = out.withColumnRenamed("query_id", "number").join(asked.select("number", "query_id"), "number")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
         return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
